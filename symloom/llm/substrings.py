@@ -148,7 +148,8 @@ class Chunk:
 
     def sort(self, replies: dict[int, bytes]) -> None:
         """Keep the stretches whose pieces repeat, as the buckets' bit masks say, and sort them by content."""
-        piece = np.unique(self.piece)
+        piece = np.sort(self.piece)
+        piece = piece[np.r_[True, piece[1:] != piece[:-1]]] if len(piece) else piece
         bucket = (piece >> np.uint64(32)).astype(np.int64)
         cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(piece) else np.zeros(0, dtype=np.int64)
         repeats = np.zeros(len(piece), dtype=bool)
@@ -237,6 +238,10 @@ class RunLengthIndex:
         new_run[1:] |= before[1:] != before[:-1]
         self.run_start = np.flatnonzero(new_run)
         self.run_char = before[self.run_start]
+        # Runs by row: a bit per row that begins one, and how many began before each 32 rows.
+        bits = np.packbits(np.r_[new_run, np.zeros(-total % 32, dtype=bool)], bitorder="little").view("<u4")
+        self.begins, counts = bits, np.bitwise_count(bits).astype(np.int64)
+        self.began = np.cumsum(counts) - counts
         run_len = np.diff(np.r_[self.run_start, total])
         context = np.minimum.reduceat(owner[string[order]], np.flatnonzero(fresh))
         #: The sample of each run: the smallest document that holds its context.
@@ -264,6 +269,11 @@ class RunLengthIndex:
             key = key << 9 | np.where(left > i, shifted, 0)
         return cls._ranks(key)
 
+    def run_of(self, row: np.ndarray) -> np.ndarray:
+        word = row >> 5
+        upto = np.uint32(0xFFFFFFFF) >> (31 - (row & 31)).astype(np.uint32)
+        return self.began[word] + np.bitwise_count(self.begins[word] & upto) - 1
+
     def stream(self, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(string, start, sampled document) for every ``length``-byte match of the strings, each read from its end."""
         order = np.argsort(-self.size, kind="stable")
@@ -272,7 +282,7 @@ class RunLengthIndex:
         for matched in range(int(longest[0]) + 1 if len(order) else 0):
             live = int(np.searchsorted(-longest, -matched, side="right"))
             row, order_live = row[:live], order[:live]
-            run = np.searchsorted(self.run_start, row, side="right") - 1
+            run = self.run_of(row)
             if matched >= length:
                 out.append((order_live, longest[:live] - matched, self.sample[run]))
             row = self.lf_start[run] + row - self.run_start[run]

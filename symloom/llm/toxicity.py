@@ -108,7 +108,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = materialise(chosen, "label-sample")
     texts = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     rows = texts.join(F.broadcast(chosen), texts["doc_id"] == chosen["__id"]).select("key", "y", "text")  # `sample` rows at most
-    model = rows.mapInPandas(featurise, "key long, y double, x array<int>").groupBy(F.lit(1)).applyInPandas(train, "place long, weight double").collect()  # 2^BITS + 1 rows at most
+    model = rows.mapInPandas(featurise, "key long, y double, x array<int>").groupBy().applyInPandas(train, "place long, weight double").collect()  # 2^BITS + 1 rows at most
     found = {r["place"]: r["weight"] for r in model}
     bias = found.pop(-1, -35.0)
     places = np.array(sorted(found), dtype=np.int64)
