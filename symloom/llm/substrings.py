@@ -1,13 +1,15 @@
 """Repeated substrings through run-length indexes.
 
-Every LENGTH-byte string of a text has a smallest 20-byte piece (by hash); strings that follow each other and share it
+Every LENGTH-byte string of a text has a smallest 24-byte piece (by hash); strings that follow each other and share it
 make a stretch of text. Equal strings share their smallest piece, so stretches are dealt to buckets by it, and a
 bucket sees every occurrence of its strings. First the buckets only learn the pieces and tell which occur in more than
 one document; other stretches hold no repeats and go no further. Then of each chunk of documents a bucket gets each
 distinct stretch once, with the smallest document that holds it: the rows of a hot passage grow with the chunks, not
 with its copies.
 
-A bucket builds a run-length index of its stretches:
+A bucket first sets aside stretches that cannot match another: a common string would hold the piece and, on one side
+of it, half of what else it has, and no other stretch has either of those two extensions. It builds a run-length index
+of all others:
 their Burrows-Wheeler transform as runs, cut also where the LENGTH-byte context changes, with a sample at each run's
 end: the smallest document that holds the run's context. Stretches stream backwards through it, one LF step per byte,
 all side by side; each step's run gives both the next row and, once the match is LENGTH long, the sampled document.
@@ -35,12 +37,12 @@ from pyspark.sql import functions as F
 from symloom.llm.common import materialise, text_or_empty
 
 LENGTH = 50
-PIECE = 20
+PIECE = 24
 #: Most strings in a stretch.
 STRETCH = 64
 CHUNK_BYTES = 4 << 20
 #: Bytes of text per bucket; its stretches take some 0.6 of that.
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 5 << 20
 
 _RNG = np.random.default_rng(50)
 _CODES = _RNG.integers(1, 1 << 63, (2, 256), dtype=np.uint64)
@@ -76,15 +78,41 @@ def _ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(int(size.sum()), dtype=np.int64) - np.repeat(first - start, size)
 
 
+def _piece_hashes(data: np.ndarray) -> np.ndarray:
+    """A hash of the PIECE bytes from each position on."""
+    words = np.ndarray((len(data) - 7,), dtype="<u8", buffer=np.ascontiguousarray(data), strides=(1,))
+    m = len(data) - PIECE + 1
+    return _mixed(words[:m] * _BASES[0] ^ (words[8 : m + 8] + _BASES[1]) * _MIX ^ _mixed(words[PIECE - 8 :]))
+
+
+def _may_repeat(data: np.ndarray, start: np.ndarray, size: np.ndarray, length: int) -> np.ndarray:
+    """Of stretches laid end to end: which may share a string with another one."""
+    h = np.full(len(data), np.iinfo(np.uint64).max, dtype=np.uint64)
+    h[: len(data) - PIECE + 1] = _piece_hashes(data)
+    for i in range(1, PIECE):  # pieces that would run over a stretch's end
+        h[start + size - i] = np.iinfo(np.uint64).max
+    at = np.flatnonzero(h == np.repeat(np.minimum.reduceat(h, start), size))
+    owner = np.searchsorted(start, at, side="right") - 1
+    count = np.bincount(owner, minlength=len(start))
+    place = at[np.searchsorted(owner, np.arange(len(start)))]
+    more = (length - PIECE) // 2
+    keep = count > 1  # the piece comes twice: no telling which one a string holds
+    for a, b in ((place - more, place + PIECE), (place, place + PIECE + more)):
+        there = np.flatnonzero((a >= start) & (b <= start + size))
+        key, _ = _range_hashes(data, a[there], b[there])
+        order = np.argsort(key)
+        same = key[order][1:] == key[order][:-1]
+        keep[there[order[np.r_[False, same] | np.r_[same, False]]]] = True
+    return keep
+
+
 def stretches(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(document row, first string's start, number of strings, smallest piece's hash) of every stretch, in text order."""
     n, none = len(data), np.zeros(0, dtype=np.int64)
     sizes = np.diff(offsets)
     if n < length or not (sizes >= length).any():
         return none, none, none, none.astype(np.uint64)
-    words = np.ndarray((n - 7,), dtype="<u8", buffer=np.ascontiguousarray(data), strides=(1,))
-    m = n - PIECE + 1
-    h = _mixed(words[:m] * _BASES[0] ^ (words[8 : m + 8] + _BASES[1]) * _MIX ^ _mixed(words[PIECE - 8 :]))
+    h = _piece_hashes(data)
     # Smallest over `length - PIECE + 1` pieces, by doubling.
     wide, low = 1, h
     span = length - PIECE + 1
@@ -317,6 +345,12 @@ def answer_bucket(table: pa.Table, length: int = LENGTH) -> Iterator[tuple[int,
     spread = zstandard.ZstdDecompressor()
     data = np.frombuffer(b"".join([spread.decompress(x) for x in table.column("data").to_pylist()]), dtype=np.uint8)
     start = np.cumsum(size) - size
+    keep = several | _may_repeat(data, start, size, length)
+    if not keep.any():
+        return
+    data = data[np.repeat(keep, size)]
+    size, ids, several, source, entry = size[keep], ids[keep], several[keep], source[keep], entry[keep]
+    start = np.cumsum(size) - size
     h1, h2 = _range_hashes(data, start, start + size)
     order = np.lexsort((size, h2, h1))
     fresh = np.r_[True, (np.diff(h1[order]) != 0) | (np.diff(h2[order]) != 0) | (np.diff(size[order]) != 0)]
