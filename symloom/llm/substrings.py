@@ -39,10 +39,12 @@ from symloom.llm.common import materialise, text_or_empty
 LENGTH = 50
 PIECE = 24
 #: Most strings in a stretch.
-STRETCH = 64
+STRETCH = 32
 CHUNK_BYTES = 4 << 20
 #: Bytes of text per bucket; its stretches take some 0.6 of that.
-BUCKET_BYTES = 5 << 20
+BUCKET_BYTES = 12 << 20
+#: A bucket indexes its stretches in so many parts, one after another: a part fits the processor's cache.
+PARTS = 16
 
 _RNG = np.random.default_rng(50)
 _CODES = _RNG.integers(1, 1 << 63, (2, 256), dtype=np.uint64)
@@ -189,9 +191,10 @@ class Chunk:
         self.bucket = (self.piece[which] >> np.uint64(32)).astype(np.int64)
         begin = np.cumsum(self.size) - self.size
         h1, h2 = _range_hashes(self.data[_ragged(self.at, self.size)], begin, begin + self.size)
-        order = np.lexsort((self.ids[self.row], self.size, h2, h1, self.bucket))
+        part = (self.piece[which] % np.uint64(PARTS)).astype(np.uint8)
+        order = np.lexsort((self.ids[self.row], self.size, h2, h1, part, self.bucket))
         self._keep(order)
-        self.bucket, h1, h2 = self.bucket[order], h1[order], h2[order]
+        self.bucket, self.part, h1, h2 = self.bucket[order], part[order], h1[order], h2[order]
         new = np.ones(len(order), dtype=bool)
         new[1:] = (self.bucket[1:] != self.bucket[:-1]) | (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]) | (self.size[1:] != self.size[:-1])
         #: Of each distinct stretch: its first occurrence in the sorted arrays.
@@ -199,15 +202,15 @@ class Chunk:
         self.copies = np.diff(np.r_[self.first, len(order)])
         self.bucket_first = np.flatnonzero(np.r_[True, np.diff(self.bucket[self.first]) != 0]) if len(self.first) else np.zeros(0, dtype=np.int64)
 
-    def bundles(self) -> Iterator[tuple[int, bytes, bytes, bytes, bytes]]:
-        """(bucket, lengths, smallest ids, in several documents?, bytes) for each bucket."""
+    def bundles(self) -> Iterator[tuple[int, bytes, bytes, bytes, bytes, bytes]]:
+        """(bucket, parts, lengths, smallest ids, in several documents?, bytes) for each bucket."""
         squeeze = zstandard.ZstdCompressor(level=1)
         for lo, hi in zip(self.bucket_first, np.r_[self.bucket_first[1:], len(self.first)], strict=True):
             f = self.first[lo:hi]
             ids = self.ids[self.row[f]]
             last = self.ids[self.row[f + self.copies[lo:hi] - 1]]  # sorted by id within a stretch
             raw = self.data[_ragged(self.at[f], self.size[f])]
-            yield int(self.bucket[f[0]]), self.size[f].astype(np.uint8).tobytes(), ids.tobytes(), (last != ids).tobytes(), squeeze.compress(raw.tobytes())
+            yield int(self.bucket[f[0]]), self.part[f].tobytes(), self.size[f].astype(np.uint8).tobytes(), ids.tobytes(), (last != ids).tobytes(), squeeze.compress(raw.tobytes())
 
     def removed(self, replies: Iterator[tuple[int, bytes, bytes, bytes]]) -> np.ndarray:
         """Which bytes go, from the answers of the buckets."""
@@ -247,19 +250,29 @@ class RunLengthIndex:
         text[_ragged(start, size)] = data.astype(np.int64) + 1
         left = np.repeat(start + size, size + 1) - np.arange(total)  # bytes up to the string's end
         string = np.repeat(np.arange(m), size + 1)
-        rank, known = self._first_ranks(text, left), 7
-        half = None
-        while known < int(size.max()) if m else False:
-            if known == 28:
-                half = rank.copy()
-            ahead = np.minimum(np.arange(total) + known, total - 1)
-            key = rank.astype(np.int64) << 32 | np.where(left > known, rank[ahead] + 1, 0)
-            rank, known = self._ranks(key), known * 2
+        codes, text = np.unique(text, return_inverse=True)  # 0 stays 0
+        bits = max(1, int(len(codes) - 1).bit_length())
+        known = 63 // bits
+        key = np.zeros(total, dtype=np.int64)
+        for i in range(known):
+            key = key << bits | np.where(left > i, text[np.minimum(np.arange(total) + i, total - 1)], 0)
+        rank = self._ranks(key)
+        part, covered = rank, known  # equal over `covered` bytes: the longest such ranks within a context
+        while known < int(size.max(initial=0)):
+            after = [np.where(left > i * known, rank[np.minimum(np.arange(total) + i * known, total - 1)] + 1, 0) for i in (1, 2)]
+            if total < 1 << 20:
+                key = rank.astype(np.int64) << 42 | after[0].astype(np.int64) << 21 | after[1]
+            else:
+                key = self._ranks(rank.astype(np.int64) << 32 | after[0]).astype(np.int64) << 32 | after[1]
+            rank, known = self._ranks(key), known * 3
+            if known <= length:
+                part, covered = rank, known
         order = (np.sort(rank.astype(np.int64) << 32 | np.arange(total)) & 0xFFFFFFFF).astype(np.int32)
         # Rows that share their first `length` bytes lie side by side.
         a, b = order[:-1], order[1:]
-        ahead = lambda x: np.minimum(x + length - 28, total - 1)
-        same = (left[a] >= length) & (left[b] >= length) & (half[a] == half[b]) & (half[ahead(a)] == half[ahead(b)])
+        same = (left[a] >= length) & (left[b] >= length)
+        for i in sorted({*range(0, max(1, length - covered), covered), max(0, length - covered)}):
+            same &= part[np.minimum(a + i, total - 1)] == part[np.minimum(b + i, total - 1)]
         fresh = np.r_[True, ~same]
         before = np.where((order > 0), text[order - 1], 0)
         new_run = fresh.copy()
@@ -288,15 +301,6 @@ class RunLengthIndex:
         rank[order] = step
         return rank
 
-    @classmethod
-    def _first_ranks(cls, text: np.ndarray, left: np.ndarray) -> np.ndarray:
-        key = np.zeros(len(text), dtype=np.int64)
-        for i in range(7):
-            shifted = np.zeros(len(text), dtype=np.int64)
-            shifted[: len(text) - i] = text[i:]
-            key = key << 9 | np.where(left > i, shifted, 0)
-        return cls._ranks(key)
-
     def run_of(self, row: np.ndarray) -> np.ndarray:
         word = row >> 5
         upto = np.uint32(0xFFFFFFFF) >> (31 - (row & 31)).astype(np.uint32)
@@ -335,15 +339,24 @@ def repeated_pieces(table: pa.Table) -> Iterator[tuple[int, int, bytes]]:
 
 
 def answer_bucket(table: pa.Table, length: int = LENGTH) -> Iterator[tuple[int, int, bytes, bytes, bytes]]:
-    """(chunk, bucket, entry, start, owner) for each chunk whose stretches repeat elsewhere."""
+    """(chunk, bucket, entry, start, owner) for chunks whose stretches repeat elsewhere."""
     chunk, bucket = table.column("chunk").to_pylist(), table.column("bucket")[0].as_py()
-    cols = {c: table.column(c).to_pylist() for c in ("sizes", "ids", "several")}
+    cols = {c: table.column(c).to_pylist() for c in ("parts", "sizes", "ids", "several")}
     n = np.array([len(x) for x in cols["sizes"]])
-    size = np.frombuffer(b"".join(cols["sizes"]), dtype=np.uint8).astype(np.int64)
+    part, size = (np.frombuffer(b"".join(cols[c]), dtype=np.uint8).astype(np.int64) for c in ("parts", "sizes"))
     ids, several = np.frombuffer(b"".join(cols["ids"]), dtype=np.int64), np.frombuffer(b"".join(cols["several"]), dtype=bool)
     source, entry = np.repeat(np.arange(len(n)), n), _ragged(np.zeros(len(n), dtype=np.int64), n)
     spread = zstandard.ZstdDecompressor()
     data = np.frombuffer(b"".join([spread.decompress(x) for x in table.column("data").to_pylist()]), dtype=np.uint8)
+    start = np.cumsum(size) - size
+    order = np.argsort(part, kind="stable")
+    cuts = np.flatnonzero(np.r_[True, np.diff(part[order]) != 0, True])
+    for lo, hi in zip(cuts, cuts[1:], strict=False):
+        own = order[lo:hi]
+        yield from _answer_part(chunk, bucket, data[_ragged(start[own], size[own])], size[own], ids[own], several[own], source[own], entry[own], length)
+
+
+def _answer_part(chunk: list[int], bucket: int, data: np.ndarray, size: np.ndarray, ids: np.ndarray, several: np.ndarray, source: np.ndarray, entry: np.ndarray, length: int) -> Iterator[tuple[int, int, bytes, bytes, bytes]]:
     start = np.cumsum(size) - size
     keep = several | _may_repeat(data, start, size, length)
     if not keep.any():
@@ -382,8 +395,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Removed is each byte that a string of ``length`` bytes covers which also starts in a row with a smaller id.
     """
-    if not 2 * 28 >= length > 28:
-        raise ValueError("length must be from 29 to 56")
+    if length < PIECE or length + STRETCH > 255:
+        raise ValueError(f"length must be from {PIECE} to {255 - STRETCH}")
     raw = F.encode(text_or_empty(text_col), "UTF-8")
     total = docs.select(F.octet_length(raw).cast("long").alias("n")).agg(F.sum("n")).first()[0] or 0
     chunks, buckets = max(1, -(-total // chunk_bytes)), max(1, -(-total // bucket_bytes))
@@ -433,13 +446,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pa.Table.from_arrays([*cols, *([pa.array(kept, pa.binary())] if with_text else [])], names=[n for n, _ in out])
 
     key = [("chunk", pa.int32()), ("bucket", pa.int32())]
-    sent = key + [("sizes", pa.binary()), ("ids", pa.binary()), ("several", pa.binary()), ("data", pa.binary())]
+    sent = key + [("parts", pa.binary()), ("sizes", pa.binary()), ("ids", pa.binary()), ("several", pa.binary()), ("data", pa.binary())]
     told = key + [("entry", pa.binary()), ("start", pa.binary()), ("owner", pa.binary())]
     out = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())] + [("kept", pa.binary())] * with_text
     by_chunk = rows.groupBy("chunk")
     known = by_chunk.applyInArrow(pieces, "chunk int, bucket int, pieces binary").groupBy("bucket").applyInArrow(repeated, "chunk int, bucket int, mask binary")
     known = materialise(known, "repeated-pieces")
-    bundles = by_chunk.cogroup(known.groupBy("chunk")).applyInArrow(send, "chunk int, bucket int, sizes binary, ids binary, several binary, data binary")
+    bundles = by_chunk.cogroup(known.groupBy("chunk")).applyInArrow(send, "chunk int, bucket int, parts binary, sizes binary, ids binary, several binary, data binary")
     replies = bundles.groupBy("bucket").applyInArrow(answer, "chunk int, bucket int, entry binary, start binary, owner binary")
     both = replies.withColumn("mask", F.lit(None).cast("binary")).unionByName(known.select("chunk", "bucket", *[F.lit(None).cast("binary").alias(c) for c in ("entry", "start", "owner")], "mask"))
     return by_chunk.cogroup(both.groupBy("chunk")).applyInArrow(mark, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
