@@ -152,8 +152,9 @@ class Chunk:
         self.row, self.at, count, low = stretches(self.data, self.offsets, length)
         self.size = count + length - 1
         if None in ids:
-            self._keep(~np.array([x is None for x in ids])[self.row])
-            low = low[~np.array([x is None for x in ids])[stretches(self.data, self.offsets, length)[0]]]
+            known = ~np.array([x is None for x in ids])[self.row]
+            self._keep(known)
+            low = low[known]
         # Bucket above, 31 bits of the piece's hash below.
         key = _mixed(low * _BASES[1])
         self.piece = key % np.uint64(buckets) << np.uint64(32) | key >> np.uint64(33)
@@ -173,7 +174,7 @@ class Chunk:
         bucket = (piece >> np.uint64(32)).astype(np.int64)
         told = ((piece & np.uint64(0x7FFFFFFF)).astype(np.uint32) << np.uint32(1)) | several
         cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-        for lo, hi in zip(cuts, np.r_[cuts[1:], len(piece)], strict=True):
+        for lo, hi in zip(cuts, np.r_[cuts[1:], len(piece)], strict=False):
             yield int(bucket[lo]), told[lo:hi].tobytes()
 
     def sort(self, replies: dict[int, bytes]) -> None:
@@ -183,7 +184,7 @@ class Chunk:
         bucket = (piece >> np.uint64(32)).astype(np.int64)
         cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(piece) else np.zeros(0, dtype=np.int64)
         repeats = np.zeros(len(piece), dtype=bool)
-        for lo, hi in zip(cuts, np.r_[cuts[1:], len(piece)], strict=True):
+        for lo, hi in zip(cuts, np.r_[cuts[1:], len(piece)], strict=False):
             if (mask := replies.get(int(bucket[lo]))) is not None:
                 repeats[lo:hi] = np.unpackbits(np.frombuffer(mask, dtype=np.uint8), count=hi - lo).astype(bool)
         which = repeats[np.searchsorted(piece, self.piece)] if len(piece) else np.zeros(0, dtype=bool)
@@ -205,7 +206,7 @@ class Chunk:
     def bundles(self) -> Iterator[tuple[int, bytes, bytes, bytes, bytes, bytes]]:
         """(bucket, parts, lengths, smallest ids, in several documents?, bytes) for each bucket."""
         squeeze = zstandard.ZstdCompressor(level=1)
-        for lo, hi in zip(self.bucket_first, np.r_[self.bucket_first[1:], len(self.first)], strict=True):
+        for lo, hi in zip(self.bucket_first, np.r_[self.bucket_first[1:], len(self.first)], strict=False):
             f = self.first[lo:hi]
             ids = self.ids[self.row[f]]
             last = self.ids[self.row[f + self.copies[lo:hi] - 1]]  # sorted by id within a stretch
