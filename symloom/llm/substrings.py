@@ -101,6 +101,8 @@ def _may_repeat(data: np.ndarray, start: np.ndarray, size: np.ndarray, length: i
     keep = count > 1  # the piece comes twice: no telling which one a string holds
     for a, b in ((place - more, place + PIECE), (place, place + PIECE + more)):
         there = np.flatnonzero((a >= start) & (b <= start + size))
+        if not len(there):
+            continue
         key, _ = _range_hashes(data, a[there], b[there])
         order = np.argsort(key)
         same = key[order][1:] == key[order][:-1]
