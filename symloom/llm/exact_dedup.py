@@ -1,7 +1,7 @@
 """Exact duplicates by deterministic block naming (DataFrame functions only).
 
-Texts are cut into blocks of a fixed number of characters. Sorting the distinct blocks gives every block an integer
-name; then adjacent names are paired, and sorting the distinct pairs names them in turn, until each text has one
+Texts are cut into blocks of a fixed number of characters. Sorting the distinct blocks, dealt by hash, gives every block
+an integer name; then adjacent names are paired, and sorting the distinct pairs names them in turn, until each text has one
 name. Two texts have one name if and only if they are equal: no hash decides.
 
 A 64-bit hash and the length come first, only to set aside texts that share neither with any other row: unequal
@@ -28,8 +28,11 @@ def normalised(column: str) -> Column:
 
 
 def _named(keys: DataFrame, columns: list[str], label: str) -> DataFrame:
-    """Distinct keys in sorted order with an integer name each; written, so that the names stay what they are."""
-    distinct = keys.select(*columns).distinct().orderBy(*columns)
+    """Distinct keys, sorted in each partition of their hash, with an integer name each; written, so that names stay.
+
+    The partition is part of the name, so no order across partitions, and no sample of keys at the driver, is needed.
+    """
+    distinct = keys.select(*columns).distinct().sortWithinPartitions(*columns)
     return materialise(distinct.withColumn("name", F.monotonically_increasing_id()), label)
 
 
