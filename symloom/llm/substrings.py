@@ -57,20 +57,22 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(29)
 
 
+def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(high, low): base to the power i, for i up to n, is high[i >> 12] * low[i & 4095]."""
+    low = np.cumprod(np.r_[np.uint64(1), np.full(4095, base, dtype=np.uint64)])
+    step = np.uint64(pow(base, 4096, 1 << 64))
+    return np.cumprod(np.r_[np.uint64(1), np.full(n >> 12, step, dtype=np.uint64)]), low
+
+
 def _range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit hashes of data[start:end] each."""
     out = []
     for k, base in enumerate(_BASES):
-        power = np.ones(len(data) + 1, dtype=np.uint64)
-        power[1:] = base
-        power = np.cumprod(power)
-        inverse = np.uint64(pow(int(base), -1, 1 << 64))
-        back = np.ones(len(data) + 1, dtype=np.uint64)
-        back[1:] = inverse
-        back = np.cumprod(back)
+        high, low = _powers(int(base), len(data))
         sums = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(_CODES[k][data] * power[:-1], out=sums[1:])
-        out.append(_mixed((sums[end] - sums[start]) * back[start]))
+        np.cumsum(_CODES[k][data] * (high[:, None] * low).ravel()[: len(data)], out=sums[1:])
+        high, low = _powers(pow(int(base), -1, 1 << 64), len(data))
+        out.append(_mixed((sums[end] - sums[start]) * (high[start >> 12] * low[start & 4095])))
     return out[0], out[1]
 
 
@@ -90,7 +92,7 @@ def _piece_hashes(data: np.ndarray) -> np.ndarray:
 def _may_repeat(data: np.ndarray, start: np.ndarray, size: np.ndarray, length: int) -> np.ndarray:
     """Of stretches laid end to end: which may share a string with another one."""
     h = np.full(len(data), np.iinfo(np.uint64).max, dtype=np.uint64)
-    h[: len(data) - PIECE + 1] = _piece_hashes(data)
+    h[: len(data) - PIECE + 1] = pieces = _piece_hashes(data)
     for i in range(1, PIECE):  # pieces that would run over a stretch's end
         h[start + size - i] = np.iinfo(np.uint64).max
     at = np.flatnonzero(h == np.repeat(np.minimum.reduceat(h, start), size))
@@ -103,7 +105,8 @@ def _may_repeat(data: np.ndarray, start: np.ndarray, size: np.ndarray, length: i
         there = np.flatnonzero((a >= start) & (b <= start + size))
         if not len(there):
             continue
-        key, _ = _range_hashes(data, a[there], b[there])
+        # Two pieces that overlap cover the extension; a hash that two of them share by chance only keeps more.
+        key = _mixed(pieces[a[there]] * _BASES[1] ^ pieces[b[there] - PIECE])
         order = np.argsort(key)
         same = key[order][1:] == key[order][:-1]
         keep[there[order[np.r_[False, same] | np.r_[same, False]]]] = True
@@ -125,19 +128,19 @@ def stretches(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tu
         wide *= 2
     if wide < span:
         low = np.minimum(low[: len(low) - (span - wide)], low[span - wide :])
+    fresh = np.ones(len(low) + 1, dtype=bool)
+    np.not_equal(low[1:], low[:-1], out=fresh[1:-1])
     own = np.flatnonzero(sizes >= length)
-    counts = sizes[own] - length + 1
-    at = _ragged(offsets[own], counts)  # starts of all strings
-    row = np.repeat(own, counts)
-    low = low[at]
-    fresh = np.ones(len(at), dtype=bool)
-    fresh[1:] = (low[1:] != low[:-1]) | (row[1:] != row[:-1])
+    fresh[offsets[own]] = fresh[offsets[own + 1] - length + 1] = True  # a text's first string, and past its last
     first = np.flatnonzero(fresh)
-    run = np.diff(np.r_[first, len(at)])
+    first, run = first[:-1], np.diff(first)
+    row = np.searchsorted(offsets, first, side="right") - 1
+    inside = first + length <= offsets[row + 1]
+    first, run, row = first[inside], run[inside], row[inside]
     parts = -(-run // STRETCH)
     begin = np.repeat(first, parts) + _ragged(np.zeros(len(run), dtype=np.int64), parts) * STRETCH
     count = np.minimum(STRETCH, np.repeat(first + run, parts) - begin)
-    return row[begin], at[begin], count, low[begin]
+    return np.repeat(row, parts), begin, count, np.repeat(low[first], parts)
 
 
 class Chunk:
@@ -195,7 +198,9 @@ class Chunk:
         begin = np.cumsum(self.size) - self.size
         h1, h2 = _range_hashes(self.data[_ragged(self.at, self.size)], begin, begin + self.size)
         part = (self.piece[which] % np.uint64(PARTS)).astype(np.uint8)
-        order = np.lexsort((self.ids[self.row], self.size, h2, h1, part, self.bucket))
+        # Equal stretches have one bucket and part: these, above half of a hash, lead the order.
+        lead = (self.bucket.astype(np.uint64) * np.uint64(PARTS) + part) << np.uint64(32) | h1 >> np.uint64(32)
+        order = np.lexsort((self.ids[self.row], h2, lead))
         self._keep(order)
         self.bucket, self.part, h1, h2 = self.bucket[order], part[order], h1[order], h2[order]
         new = np.ones(len(order), dtype=bool)
@@ -248,36 +253,47 @@ class RunLengthIndex:
         m = len(size)
         self.size = size
         total = int(size.sum()) + m
-        text = np.zeros(total, dtype=np.int64)  # 0 ends a string
-        start = np.cumsum(size + 1) - (size + 1)
-        text[_ragged(start, size)] = data.astype(np.int64) + 1
-        left = np.repeat(start + size, size + 1) - np.arange(total)  # bytes up to the string's end
+        end = np.cumsum(size + 1) - 1
+        inside = np.ones(total, dtype=bool)
+        inside[end] = False
+        present = np.bincount(data, minlength=256) > 0
+        text = np.zeros(total, dtype=np.int16)  # 0 ends a string
+        text[inside] = np.cumsum(present).astype(np.int16)[data]
+        left = (np.repeat(end, size + 1) - np.arange(total)).astype(np.int32)  # bytes up to the string's end
         string = np.repeat(np.arange(m), size + 1)
-        codes, text = np.unique(text, return_inverse=True)  # 0 stays 0
-        bits = max(1, int(len(codes) - 1).bit_length())
-        known = 63 // bits
-        key = np.zeros(total, dtype=np.int64)
-        for i in range(known):
-            key = key << bits | np.where(left > i, text[np.minimum(np.arange(total) + i, total - 1)], 0)
+
+        def after(x: np.ndarray, i: int) -> np.ndarray:
+            """What stands i places on in the same string; 0 past its end."""
+            out = np.zeros_like(x)
+            out[: max(0, total - i)] = x[i:]
+            return out * (left > i)
+
+        bits = max(1, int(present.sum()).bit_length())
+        key, known = text.astype(np.int64), 1
+        while known * 2 * bits <= 63:
+            key, known = key << bits * known | after(key, known), known * 2
+        while (known + 1) * bits <= 63:
+            key, known = key << bits | after(text, known), known + 1
         rank = self._ranks(key)
         part, covered = rank, known  # equal over `covered` bytes: the longest such ranks within a context
         while known < int(size.max(initial=0)):
-            after = [np.where(left > i * known, rank[np.minimum(np.arange(total) + i * known, total - 1)] + 1, 0) for i in (1, 2)]
+            further = [after(rank + 1, i * known) for i in (1, 2)]
             if total < 1 << 20:
-                key = rank.astype(np.int64) << 42 | after[0].astype(np.int64) << 21 | after[1]
+                key = rank.astype(np.int64) << 42 | further[0].astype(np.int64) << 21 | further[1]
             else:
-                key = self._ranks(rank.astype(np.int64) << 32 | after[0]).astype(np.int64) << 32 | after[1]
+                key = self._ranks(rank.astype(np.int64) << 32 | further[0]).astype(np.int64) << 32 | further[1]
             rank, known = self._ranks(key), known * 3
             if known <= length:
                 part, covered = rank, known
         order = (np.sort(rank.astype(np.int64) << 32 | np.arange(total)) & 0xFFFFFFFF).astype(np.int32)
         # Rows that share their first `length` bytes lie side by side.
-        a, b = order[:-1], order[1:]
-        same = (left[a] >= length) & (left[b] >= length)
+        long = left[order] >= length
+        same = long[1:] & long[:-1]
         for i in sorted({*range(0, max(1, length - covered), covered), max(0, length - covered)}):
-            same &= part[np.minimum(a + i, total - 1)] == part[np.minimum(b + i, total - 1)]
+            there = part[np.minimum(order + i, total - 1)]
+            same &= there[1:] == there[:-1]
         fresh = np.r_[True, ~same]
-        before = np.where((order > 0), text[order - 1], 0)
+        before = text[order - 1]  # before the first one stands the last one's end, 0 as well
         new_run = fresh.copy()
         new_run[1:] |= before[1:] != before[:-1]
         self.run_start = np.flatnonzero(new_run)
@@ -368,7 +384,7 @@ def _answer_part(chunk: list[int], bucket: int, data: np.ndarray, size: np.ndarr
     size, ids, several, source, entry = size[keep], ids[keep], several[keep], source[keep], entry[keep]
     start = np.cumsum(size) - size
     h1, h2 = _range_hashes(data, start, start + size)
-    order = np.lexsort((size, h2, h1))
+    order = np.lexsort((h2, h1))
     fresh = np.r_[True, (np.diff(h1[order]) != 0) | (np.diff(h2[order]) != 0) | (np.diff(size[order]) != 0)]
     first = order[np.flatnonzero(fresh)]
     string = np.empty(len(order), dtype=np.int64)
@@ -376,8 +392,11 @@ def _answer_part(chunk: list[int], bucket: int, data: np.ndarray, size: np.ndarr
     owner = np.minimum.reduceat(ids[order], np.flatnonzero(fresh))
     index = RunLengthIndex(data[_ragged(start[first], size[first])], size[first], owner, length)
     s, begin, doc = index.stream(length)
-    by = np.lexsort((begin, s))
-    s, begin, doc = s[by], begin[by], doc[by]
+    # Every string of a stretch has one answer: each goes to its place.
+    strings = size[first] - length + 1
+    place = (np.cumsum(strings) - strings)[s] + begin
+    doc[place] = doc.copy()
+    s, begin = np.repeat(np.arange(len(first)), strings), _ragged(np.zeros(len(first), dtype=np.int64), strings)
     change = np.flatnonzero(np.r_[True, (np.diff(s) != 0) | (np.diff(doc) != 0)])
     s, begin, doc = s[change], begin[change], doc[change]
     where = np.searchsorted(s, np.arange(len(first) + 1))
