@@ -10,6 +10,11 @@ other's home. Each anchor compares who is at home there with all who came, over
 Equal fingerprints are joined before that. An anchor gives no pairs but the links of a forest over its fingerprints,
 so copies in thousands cost rows in proportion; alternating stars turn links into components.
 
+With ``similarity`` given, fingerprints only propose. Rows whose fingerprint has a partner get a sketch of one-bit
+minhashes of their distinct five-word shingles, are compared at the anchors once more, and link where the Jaccard
+similarity that the sketches show (standard error 0.02 at 0.8) is high enough too. This keeps chance meetings of
+fingerprints, which grow with the square of the corpus, out of the groups, and so allows a wide radius.
+
 With three pieces an anchor sees one of about 3,000 fingerprints; ``parts=2`` (t = 2) is the choice beyond some
 hundred million distinct ones: more rows for each, but an anchor sees one of some 100,000.
 
@@ -35,37 +40,59 @@ from symloom.llm.components import connected_components
 SHINGLE = 4
 THRESHOLD = 4
 PARTS = 3
-#: Pairs compared at a time in a task.
-BLOCK = 1 << 21
+#: Pairs compared at a time in a task, and sketches.
+BLOCK, SKETCH_BLOCK = 1 << 21, 1 << 17
+#: One-bit minhashes in a sketch, and words in their shingles.
+SKETCH_BITS, SKETCH_WORDS = 1024, 5
 
 
-def fingerprint(text: str, shingle: int = SHINGLE) -> int:
+def shingle_hashes(text: str, shingle: int) -> np.ndarray:
     words = text.encode().lower().split()
     n = len(words)
     if not n:
-        return 0
+        return np.zeros(0, dtype="<u8")
     joined = b" ".join(words)
     ends = list(itertools.accumulate(map(len, words), lambda a, b: a + 1 + b))
     k = min(shingle, n)
     h = xxhash.xxh64_intdigest
     starts = [0, *[e + 1 for e in ends[: n - k]]]
-    hashes = np.array([h(joined[a:b], 42) for a, b in zip(starts, ends[k - 1 :], strict=True)], dtype="<u8")
+    return np.array([h(joined[a:b], 42) for a, b in zip(starts, ends[k - 1 :], strict=True)], dtype="<u8")
+
+
+def fingerprint(text: str, shingle: int = SHINGLE) -> int:
+    hashes = shingle_hashes(text, shingle)
     ones = np.zeros(64, dtype=np.int64)
     for i in range(0, len(hashes), 8192):
         ones += np.unpackbits(hashes[i : i + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(ones * 2 > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fp (the 64 bits as a signed long) of every row."""
+_ORDERS = np.random.default_rng(11).integers(0, 1 << 32, (2, SKETCH_BITS), dtype=np.uint32) | np.array([[1], [0]], dtype=np.uint32)
+
+
+def sketch(text: str, shingle: int = SKETCH_WORDS) -> bytes:
+    """One bit of each of SKETCH_BITS minima over the text's distinct shingles; equal minima give equal bits."""
+    hashes = np.unique((shingle_hashes(text, shingle) >> np.uint64(32)).astype(np.uint32))
+    least = np.full(SKETCH_BITS, (1 << 32) - 1, dtype=np.uint32)
+    for i in range(0, len(hashes), 256):
+        np.minimum(least, (hashes[i : i + 256, None] * _ORDERS[0] + _ORDERS[1]).min(axis=0), out=least)
+    least = (least ^ least >> np.uint32(15)) * np.uint32(0x2C1B3C6D)
+    least = (least ^ least >> np.uint32(12)) * np.uint32(0x297A2D39)
+    return np.packbits(least >> np.uint32(31)).tobytes()
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, sketches: bool = False) -> DataFrame:
+    """doc_id and fp (the 64 bits as a signed long) of every row; with ``sketches`` also sketch."""
+    names = ["doc_id", "fp", *(["sketch"] if sketches else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["doc_id", "fp"])
+            more = [pa.array([sketch(t.as_py()) for t in batch.column(1)], pa.binary())] if sketches else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found), *more], names=names)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, fp long" + ", sketch binary" * sketches)
 
 
 def _hamming_homes() -> np.ndarray:
@@ -117,8 +144,25 @@ def forest(u: np.ndarray, v: np.ndarray, n: int, parent: np.ndarray | None = Non
             parent = up
 
 
-def _compare(anchor: np.ndarray, is_home: np.ndarray, fp: np.ndarray, node: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+def _alike(marks: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """Which of the pairs a, b have sketches that differ in at most ``most`` bits."""
+    cuts = range(0, len(a), SKETCH_BLOCK)
+    return np.concatenate([np.zeros(0, dtype=bool), *(np.bitwise_count(marks[a[i : i + SKETCH_BLOCK]] ^ marks[b[i : i + SKETCH_BLOCK]]).sum(axis=1, dtype=np.int64) <= most for i in cuts)])
+
+
+def _compare(anchor: np.ndarray, is_home: np.ndarray, fp: np.ndarray, node: np.ndarray, threshold: int, marks: np.ndarray | None = None, most: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Links (larger node, smaller node) among rows sorted by anchor, homes before replicas."""
+
+    def join(left: np.ndarray, right: np.ndarray, parent: np.ndarray) -> np.ndarray:
+        near = np.bitwise_count(fp[left] ^ fp[right]) <= threshold
+        left, right = left[near], right[near]
+        if marks is not None:  # only pairs that are not joined yet
+            apart = parent[own[left]] != parent[own[right]]
+            left, right = left[apart], right[apart]
+            good = _alike(marks, left, right, most)
+            left, right = left[good], right[good]
+        return forest(own[left], own[right], len(names), parent)
+
     names, own = np.unique(node, return_inverse=True)
     start = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
     end = np.r_[start[1:], len(anchor)]
@@ -133,15 +177,12 @@ def _compare(anchor: np.ndarray, is_home: np.ndarray, fp: np.ndarray, node: np.n
         if hi - lo == 1 and todo[lo] > BLOCK:
             spans = [(int(start[group[lo]]) + i, min(int(end[group[lo]]), int(start[group[lo]]) + i + BLOCK)) for i in range(0, int(todo[lo]), BLOCK)]
             for a, b in spans:
-                right = np.arange(a, b)
-                near = np.bitwise_count(fp[at[lo]] ^ fp[right]) <= threshold
-                parent = forest(np.full(int(near.sum()), own[at[lo]]), own[right[near]], len(names), parent)
+                parent = join(np.full(b - a, at[lo]), np.arange(a, b), parent)
             continue
         n = todo[lo:hi]
         left = np.repeat(at[lo:hi], n)
         right = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[group[lo:hi]], n)
-        near = np.bitwise_count(fp[left] ^ fp[right]) <= threshold
-        parent = forest(own[left[near]], own[right[near]], len(names), parent)
+        parent = join(left, right, parent)
     linked = np.flatnonzero(parent != np.arange(len(names)))
     return names[linked], names[parent[linked]]
 
@@ -154,9 +195,16 @@ def _portions(todo: np.ndarray, upto: np.ndarray) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
-def links(prints: DataFrame, threshold: int = THRESHOLD, parts: int = PARTS) -> DataFrame:
-    """(fp, node) with distinct fp to edges (a, b) that join all nodes whose fingerprints differ in few enough bits."""
+def links(prints: DataFrame, threshold: int = THRESHOLD, parts: int = PARTS, similarity: float | None = None) -> DataFrame:
+    """(fp, node) with distinct fp to edges (a, b) that join all nodes whose fingerprints differ in few enough bits.
+
+    With ``similarity``, (fp, sketch, node), and the sketches must show that similarity too.
+    """
     t = threshold // parts
+    marked = similarity is not None
+    # Unequal minima give equal bits half of the time.
+    most = int(SKETCH_BITS * (1 - similarity) / 2) if marked else 0
+    names = ["anchor", "home", "fp", "node", *(["sketch"] if marked else [])]
     cut = pieces(parts)
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,18 +217,21 @@ def links(prints: DataFrame, threshold: int = THRESHOLD, parts: int = PARTS) ->
                     row, anchor = anchors(value, width, t)
                     at_home = home(value)[row] == anchor
                     key = (anchor | np.uint64(k) << np.uint64(60)).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(at_home), pa.array(fp[row].view(np.int64)), pa.array(node[row])], names=["anchor", "home", "fp", "node"])
+                    more = [part.column(2).take(pa.array(row))] if marked else []
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(at_home), pa.array(fp[row].view(np.int64)), pa.array(node[row]), *more], names=names)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[np.ndarray] = []
 
         def emit(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            a, b = _compare(cols[0], cols[1], cols[2].view(np.uint64), cols[3], threshold)
+            a, b = _compare(cols[0], cols[1], cols[2].view(np.uint64), cols[3], threshold, cols[4] if marked else None, most)
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         for batch in batches:
             cols = [batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(), batch.column(3).to_numpy()]
+            if marked:
+                cols.append(np.frombuffer(b"".join(batch.column(4).to_pylist()), dtype=np.uint64).reshape(len(batch), -1))
             kept = [np.concatenate(x) for x in zip(kept, cols, strict=True)] if kept else cols
             whole = int(np.searchsorted(kept[0], kept[0][-1])) if len(kept[0]) else 0  # the last anchor may go on
             if whole >= 100_000:
@@ -189,25 +240,43 @@ def links(prints: DataFrame, threshold: int = THRESHOLD, parts: int = PARTS) ->
         if kept and len(kept[0]):
             yield from emit(kept)
 
-    spread = prints.select("fp", "node").mapInArrow(replicate, "anchor long, home boolean, fp long, node long")
+    kind = "anchor long, home boolean, fp long, node long" + ", sketch binary" * marked
+    spread = prints.select("fp", "node", *names[4:]).mapInArrow(replicate, kind)
     dealt = spread.repartition(F.col("anchor")).sortWithinPartitions("anchor", F.desc("home"))
     return dealt.mapInArrow(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: int = THRESHOLD, parts: int = PARTS) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id for each row. Ids are integers."""
-    rows = materialise(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    prints = materialise(rows.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").cast("long").alias("node")), "distinct-fingerprints")
+def _grouped(rows: DataFrame, threshold: int, parts: int, similarity: float | None) -> DataFrame:
+    """doc_id, fp, component_id of rows with doc_id, fp and, with ``similarity``, sketch."""
+    keys = ["fp"] if similarity is None else ["fp", "sketch"]
+    prints = materialise(rows.where("doc_id is not null").groupBy(*keys).agg(F.min("doc_id").cast("long").alias("node")), "distinct-fingerprints")
     # An id with several fingerprints joins them.
-    same = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("x"), F.max("fp").alias("y"))
+    one = F.struct(*keys)
+    same = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min(one).alias("x"), F.max(one).alias("y"))
     repeated = materialise(same.where("x <> y").select("doc_id"), "repeated-ids")
-    edges = links(prints, threshold, parts)
-    extra = rows.join(repeated, "doc_id").join(prints, "fp").select(F.col("doc_id").cast("long").alias("a"), F.col("node").alias("b"))
+    edges = links(prints, threshold, parts, similarity)
+    extra = rows.join(repeated, "doc_id").join(prints, keys).select(F.col("doc_id").cast("long").alias("a"), F.col("node").alias("b"))
     root = materialise(connected_components(edges.union(extra)), "components")
-    by_print = materialise(prints.join(root, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id")), "component-of-print")
-    shown = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    out = rows.join(by_print, "fp", "left").select("doc_id", shown.alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
-    return out
+    by_print = materialise(prints.join(root, "node", "left").select(*keys, F.coalesce("root", "node").alias("component_id")), "component-of-print")
+    return rows.join(by_print, keys, "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: int = THRESHOLD, parts: int = PARTS, similarity: float | None = None) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id for each row. Ids are integers."""
+    rows = materialise(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    if similarity is None:
+        found = _grouped(rows, threshold, parts, None)
+    else:
+        prints = materialise(rows.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").cast("long").alias("node"), F.count(F.lit(1)).alias("n")), "proposed")
+        near = links(prints, threshold, parts).select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        near = prints.join(near, "node", "left_semi").select("fp").union(prints.where("n > 1").select("fp")).distinct()
+        near = materialise(near, "near-fingerprints")
+        ids = materialise(rows.join(near, "fp", "left_semi").where("doc_id is not null").select(F.col("doc_id").alias("__id")).distinct(), "near-ids")
+        own = docs.join(ids, F.col(f"`{id_col}`") == F.col("__id"), "left_semi")
+        marked = materialise(fingerprints(own, id_col, text_col, shingle, sketches=True), "sketches")
+        alone = rows.join(ids, F.col("doc_id") == F.col("__id"), "left_anti").select("doc_id", "fp", F.col("doc_id").cast("long").alias("component_id"))
+        found = _grouped(marked, threshold, parts, similarity).union(alone)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

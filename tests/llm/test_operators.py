@@ -155,6 +155,42 @@ def test_simhash(docs, rows, empty, threshold, parts):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def jaccard(a, b):
+    a, b = ({" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in ((t or "").split() for t in (a, b)))
+    return len(a & b) / len(a | b)
+
+
+def test_simhash_similarity(spark, docs, empty):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(3000)]
+    texts, family = [], []
+    for k in range(60):  # families: a text and three with a few words changed, clearly over 0.8; one clearly under
+        base = [rng.choice(words) for _ in range(400)]
+        for n_changed in (0, 3, 3, 3, 60):
+            own = list(base)
+            for at in rng.sample(range(400), n_changed):
+                own[at] = rng.choice(words)
+            texts.append(" ".join(own))
+            family.append(k if n_changed < 60 else None)
+    texts += ["a a a a a b c d e f", "a a a a a z y x w v", None, ""]  # equal or near fingerprints; empty texts are equal
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df, threshold=11, parts=4, similarity=0.8).collect()}
+    assert len(out) == len(texts) and out[302] == out[303] == 302 and out[300] != out[301]
+    for i, k in enumerate(family):
+        if k is None:
+            assert out[i] == i and max(jaccard(texts[i], texts[j]) for j in range(len(texts)) if j != i) < 0.8
+    joined = sum(out[i] == k * 5 for i, k in enumerate(family) if k is not None)
+    assert joined >= 0.95 * 240
+    for a, b in itertools.pairwise(rng.sample(range(300), 60)):
+        shown = 1 - 2 * int.from_bytes(bytes(x ^ y for x, y in zip(simhash.sketch(texts[a]), simhash.sketch(texts[b]), strict=True))).bit_count() / simhash.SKETCH_BITS
+        assert abs(shown - jaccard(texts[a], texts[b])) < 0.15
+    for a in range(0, 300, 5):
+        shown = 1 - 2 * int.from_bytes(bytes(x ^ y for x, y in zip(simhash.sketch(texts[a]), simhash.sketch(texts[a + 1]), strict=True))).bit_count() / simhash.SKETCH_BITS
+        assert abs(shown - jaccard(texts[a], texts[a + 1])) < 0.08
+    assert simhash.near_duplicates(docs, threshold=11, parts=4, similarity=0.8).count() == docs.count()
+    assert simhash.near_duplicates(empty, threshold=11, parts=4, similarity=0.8).count() == 0
+
+
 def test_anchors_cover():
     rng = np.random.default_rng(5)
     x = rng.integers(0, 1 << 22, 300).astype(np.uint64)
