@@ -42,8 +42,10 @@ DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 END, CENTRAL, LOCAL, END64, LOCATOR64 = b"PK\x05\x06", b"PK\x01\x02", b"PK\x03\x04", b"PK\x06\x06", b"PK\x06\x07"
 FULL16, FULL32 = 0xFFFF, 0xFFFFFFFF
 DATE = "2024-01-01T00:00:00Z"
-#: Payload bytes per package, about.
+#: Records per package, at most.
 PACKAGE_ROWS = 4000
+#: Packages whose indexes one task lists, and bytes of records that one task reads, about.
+PACKAGES_A_TASK, BYTES_A_TASK = 16, 8 << 20
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -246,7 +248,9 @@ def list_records(packages: DataFrame) -> DataFrame:
                 if lines:
                     yield pd.DataFrame({"package": package, "page": [x["page"] for x in lines], "offset": [start + x["offset"] for x in lines], "length": [x["length"] for x in lines]})
 
-    return packages.select("package", "size").repartition(F.col("package")).mapInPandas(run, "package string, page string, offset long, length long")
+    # A number of partitions, for adaptive execution would put so few bytes into one task.
+    n = max(1, -(-packages.count() // PACKAGES_A_TASK))
+    return packages.select("package", "size").repartition(n, "package").mapInPandas(run, "package string, page string, offset long, length long")
 
 
 def read_records(records: DataFrame, with_payload: bool = False) -> DataFrame:
@@ -276,6 +280,8 @@ def archive_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str =
     """Write all pages to packages and read them back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
     kind = pages.schema[id_col].dataType.simpleString()
     packages = write_packages(pages, new_folder(pages.sparkSession, "warc"), id_col, url_col, html_col)
-    listed = list_records(packages)
-    found = read_records(listed)
+    # Records are dealt to tasks by stretches of their package, so one large package is read by many.
+    n = max(1, -(-(packages.agg(F.sum("size")).first()[0] or 0) // BYTES_A_TASK))
+    stretch = F.floor(F.col("offset") / BYTES_A_TASK)
+    found = read_records(list_records(packages).repartition(n, "package", stretch).sortWithinPartitions("package", "offset"))
     return found.select(F.col("page").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
