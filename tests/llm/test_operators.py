@@ -265,6 +265,39 @@ def test_passages(docs, empty):
     assert passages.chain(np.array([0, 10, 20, 5]), np.array([0, 10, 20, 500])) == [[0, 1, 2]]
 
 
+def test_passages_cut_by_older_documents(spark):
+    """Every stretch of 47 words that a smaller document holds too is covered, by brute force over all of them."""
+    rng = random.Random(9)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    texts, pairs = [], []
+    for _ in range(12):  # two older documents hold a half each; an older one holds the middle
+        n = rng.randint(25, 30)
+        p = fresh(2 * n)
+        at = len(texts)
+        texts += [fresh(20) + part + fresh(20) for part in (p[:n], p[n:], p, p)]
+        q = fresh(60)
+        texts += [fresh(20) + part + fresh(20) for part in (q[7:52], q, q)]
+        pairs += [(at + 3, at + 2, 2 * n), (at + 6, at + 5, 60)]
+    pool = [fresh(rng.randint(15, 45)) for _ in range(25)]
+    for _ in range(80):
+        texts.append([w for _ in range(6) for w in (rng.choice(pool) if rng.random() < 0.7 else fresh(12))])
+    # Two equal stretches with a gap between them are two passages, not one that is too unlike.
+    x, y = fresh(50), fresh(50)
+    texts += [x + fresh(40) + y, x + fresh(40) + y]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    out = passages.fuzzy_passages(df).collect()
+    for doc, source, n in pairs:
+        assert any(r["matched"] >= n for r in out if (r["doc_id"], r["source_doc_id"]) == (doc, source)), (doc, source)
+    first, wanted = {}, 0
+    for i, t in enumerate(texts):
+        covered = [(r["start_word"], r["end_word"]) for r in out if r["doc_id"] == i]
+        for k in range(len(t) - 46):
+            if first.setdefault(tuple(t[k : k + 47]), i) < i:
+                wanted += 1
+                assert all(any(a <= j < b for a, b in covered) for j in range(k, k + 47)), (i, k)
+    assert wanted > 500
+
+
 def test_mixing(docs, rows, empty):
     count = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
     out = mixing.mix(docs).collect()
