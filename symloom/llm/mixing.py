@@ -5,8 +5,10 @@ stops at twice its source's words, and the excess is shared again by weight unti
 rate = target / words of the source, each document first gets floor(rate) certain whole copies. The rest of the
 target is a sample of fixed size: documents are ranked by their random odds divided by their inclusion odds,
 (u / (1 - u)) / (p / (1 - p)) with p the fractional rate, and taken in that order until the words are used up. The
-order is cut through counts per bin of the rank, so no source is ever sorted as a whole; only the one or two bins at
-the cut are ordered exactly, and there a document that would pass the target is skipped for later ones that fit.
+order is cut through counts per bin of the rank, so no source is ever sorted as a whole; only the bin at the cut is
+ordered exactly, and there a document that would pass the target is skipped for later ones that fit. The same is done
+again with all later documents that are no larger than the words left, until no source has any: the outcome is that
+of going through the whole source in order.
 
 u comes from a hash of the id, the text's checksum and the seed: reruns agree. Per source, totals go to the driver;
 more than MAX_SOURCES sources are an error, never cut off.
@@ -17,7 +19,7 @@ with equal id and text have equal rank and are taken together where possible; an
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,6 +32,8 @@ SHARE = 1.5
 MOST = 2
 MAX_SOURCES = 200_000
 ROWS_PER_BIN = 20_000
+#: Rows of a source that are ordered at once; of more, at least so many bins are made.
+AT_ONCE, LEAST_BINS = 1000, 64
 
 
 def targets(sizes: dict[str | None, int], weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> dict[str | None, float]:
@@ -68,33 +72,61 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         rate = aim[r["source"]] / r["words"] if r["words"] else 0.0
         whole = min(int(rate), int(most))
         plan.append((r["source"], r["words"], aim[r["source"]], whole, max(0.0, rate - whole), max(0.0, aim[r["source"]] - whole * r["words"])))
-    bins = max(64, -(-sum(r["rows"] for r in totals) // ROWS_PER_BIN))
     per_source = F.broadcast(spark.createDataFrame(plan, "s string, source_size long, target double, whole int, frac double, budget double"))
     ranked = sized.join(per_source, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     odds = (F.col("u") / (1 - F.col("u"))) * ((1 - F.col("frac")) / F.greatest(F.col("frac"), F.lit(1e-12)))
     ranked = ranked.withColumn("rank", odds / (1 + odds))
-    ranked = ranked.withColumn("bin", F.least(F.floor(F.col("rank") * bins), F.lit(bins - 1)).cast("int"))
-    # The last bin that fits as a whole, per source, from at most `bins` sums each.
-    sums = ranked.groupBy("source", "bin").agg(F.sum("size").alias("words"), F.first("budget").alias("budget"))
-    by_bin = Window.partitionBy("source").orderBy("bin")
-    cut = sums.withColumn("before", F.sum("words").over(by_bin) - F.col("words")).withColumn("upto", F.col("before") + F.col("words"))
-    cut = cut.where("upto > budget").groupBy("source").agg(F.min(F.struct("bin", "before")).alias("at")).select(F.col("source").alias("s"), F.col("at.bin").alias("cut"), F.col("at.before").alias("before"))
-    cuts = spark.createDataFrame(cut.collect(), cut.schema)  # one row per source at most
-    placed = ranked.join(F.broadcast(cuts), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-    edge = placed.where("bin in (cut, cut + 1)").select("source", "rank", "doc_id", "key", "size", (F.col("budget") - F.col("before")).alias("left"))
-
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["rank", "doc_id", "key"], na_position="last")
-        left, keep = pdf["left"].iloc[0], []
-        for n in pdf["size"]:
+    id_type = ranked.schema["doc_id"].dataType
+    unit = T.StructType([T.StructField("e_source", T.StringType()), T.StructField("e_id", id_type), T.StructField("e_key", T.LongType()), T.StructField("e_words", T.LongType())])
+
+    def fill(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("rank", "ascending"), ("doc_id", "ascending"), ("key", "ascending")])
+        left, keep = table.column("left")[0].as_py() if len(table) else 0.0, []
+        for n in table.column("words").to_pylist():
             keep.append(n <= left)
             left -= n if n <= left else 0
-        return pdf.loc[keep, ["doc_id", "key"]].drop_duplicates()
-
-    ids = T.StructType([T.StructField("e_id", placed.schema["doc_id"].dataType), T.StructField("e_key", T.LongType())])
-    filled = edge.groupBy("source").applyInPandas(lambda pdf: fill(pdf).set_axis(["e_id", "e_key"], axis=1), ids).withColumn("edge", F.lit(True))
-    out = placed.join(filled.distinct(), F.col("doc_id").eqNullSafe(F.col("e_id")) & (F.col("key") == F.col("e_key")), "left")
-    extra = F.when(F.col("size") == 0, 0).when(F.col("budget") <= 0, 0).when(F.col("cut").isNull() | (F.col("bin") < F.col("cut")), 1).when(F.col("edge") & (F.col("bin") <= F.col("cut") + 1), 1).otherwise(0)
+        return table.filter(pa.array(keep, pa.bool_())).select(["source", "doc_id", "key", "words"]).rename_columns(unit.names)
+
+    whole: dict[str | None, list[tuple[float, float, float]]] = {}  # per source: ranks from, below, of sizes up to
+    edges: list[DataFrame] = []
+    state = {s: (-1.0, budget) for s, *_, budget in plan if budget >= 1}  # the last rank done, words left
+    while state:
+        at = F.broadcast(spark.createDataFrame([(s, lo, left) for s, (lo, left) in state.items()], "o string, lo double, left double"))
+        open_ = ranked.join(at, F.col("source").eqNullSafe(F.col("o"))).where("size > 0 and size <= left and rank > lo")
+        counts = {r["source"]: r["n"] for r in open_.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}
+        if not counts:
+            break
+        bins = [(s, 1 if n <= AT_ONCE else max(LEAST_BINS, -(-n // ROWS_PER_BIN))) for s, n in counts.items()]
+        binned = open_.join(F.broadcast(spark.createDataFrame(bins, "i string, bins int")), F.col("source").eqNullSafe(F.col("i")))
+        low = F.greatest("lo", F.lit(0.0))
+        binned = binned.withColumn("bin", F.least(F.floor((F.col("rank") - low) / (1 - low) * F.col("bins")), F.col("bins") - 1).cast("int"))
+        # The first bin that does not fit as a whole, per source, from at most `bins` sums each.
+        sums = binned.groupBy("source", "bin").agg(F.sum("size").alias("words"), F.min("rank").alias("first"), F.max("rank").alias("last"), F.first("left").alias("left"))
+        before = F.sum("words").over(Window.partitionBy("source").orderBy("bin")) - F.col("words")
+        cut = sums.withColumn("before", before).where("before + words > left").groupBy("source").agg(F.min(F.struct("bin", "before", "first", "last")).alias("at"))
+        cuts = {r["source"]: r["at"] for r in cut.collect()}
+        for s in counts:
+            lo, left = state[s]
+            whole.setdefault(s, []).append((lo, cuts[s]["first"] if s in cuts else 2.0, left))
+        if not cuts:
+            break
+        spans = spark.createDataFrame([(s, x["first"], x["last"], state[s][1], state[s][1] - x["before"]) for s, x in cuts.items()], "o string, first double, last double, most double, left double")
+        edge = ranked.join(F.broadcast(spans), F.col("source").eqNullSafe(F.col("o"))).where("size > 0 and size <= most and rank between first and last")
+        edge = edge.groupBy("source", "rank", "doc_id", "key").agg(F.sum("size").alias("words"), F.first("left").alias("left"))  # equal rows stay together
+        edges.append(materialise(edge.groupBy("source").applyInArrow(fill, unit), "mix-edge"))
+        used = {r["e_source"]: r["words"] for r in edges[-1].groupBy("e_source").agg(F.sum("e_words").alias("words")).collect()}
+        rest = {s: state[s][1] - x["before"] - used.get(s, 0) for s, x in cuts.items()}
+        state = {s: (cuts[s]["last"], left) for s, left in rest.items() if left >= 1}
+
+    runs = spark.createDataFrame(list(whole.items()), "o string, runs array<struct<above: double, below: double, most: double>>")
+    out = ranked.join(F.broadcast(runs), F.col("source").eqNullSafe(F.col("o")), "left")
+    taken = F.exists("runs", lambda x: (F.col("rank") > x["above"]) & (F.col("rank") < x["below"]) & (F.col("size") <= x["most"]))
+    edge = spark.createDataFrame([], unit)
+    for part in edges:
+        edge = edge.union(part)
+    edge = edge.drop("e_words").withColumn("edge", F.lit(True))
+    out = out.join(edge, F.col("source").eqNullSafe(F.col("e_source")) & F.col("doc_id").eqNullSafe(F.col("e_id")) & (F.col("key") == F.col("e_key")), "left")
+    extra = F.when(F.coalesce(taken, F.lit(False)) | F.coalesce("edge", F.lit(False)), 1).otherwise(0)
     copies = F.when(F.col("size") == 0, 0).otherwise(F.col("whole")) + extra
     return out.withColumn("copies", F.least(copies, F.lit(int(most)))).select("doc_id", "key", "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 

@@ -11,6 +11,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from symloom.llm import ann, bpe, exact_dedup, mixing, passages, sharding, simhash, substrings, toxicity, warc
 from symloom.llm.queries import tokenizer_path
@@ -316,6 +317,27 @@ def test_mixing(docs, rows, empty):
     assert taken.columns == docs.columns and sum(count(r["text"]) for r in taken.collect()) == sum(r["taken"] for r in out)
 
 
+def test_mixing_leaves_nothing_that_fits(spark):
+    """Going through each source in order by plain Python: long documents are skipped, all later ones that fit are taken."""
+    rng = random.Random(6)
+    sizes = [("a", 200)] * 50 + [("a", 20_000)] + [("b", rng.randint(1, 60)) for _ in range(3000)] + [("b", 15_000)] * 4
+    sizes += [(None, rng.choice([3, 70, 900, 9000])) for _ in range(40)] + [(f"x{k % 9}", rng.choice([5, 40, 2000])) for k in range(90)]
+    df = spark.createDataFrame([(i, "w " * n, s) for i, (s, n) in enumerate(sizes)], "doc_id long, text string, source string")
+    for seed in (20, 21, 22):
+        out = mixing.mix(df, weights=(1,), share=0.5, seed=seed).collect()
+        u = {r["doc_id"]: r["u"] for r in df.select("doc_id", mixing.uniform(seed, F.col("doc_id"), F.crc32(F.encode("text", "UTF-8"))).alias("u")).collect()}
+        assert len(out) == len(sizes)
+        for s in {s for s, _ in sizes}:
+            own = [r for r in out if r["source"] == s]
+            left, rate = own[0]["target"], own[0]["target"] / own[0]["source_size"]
+            whole = min(int(rate), 2)
+            left -= whole * own[0]["source_size"]
+            for r in sorted(own, key=lambda r: u[r["doc_id"]]):
+                fits = r["size"] <= left
+                left -= r["size"] if fits else 0
+                assert r["copies"] == whole + fits, (seed, s, r)
+
+
 def test_pipeline(spark, docs, tmp_path):
     import corpus_pipeline
 
