@@ -192,6 +192,21 @@ def test_simhash_similarity(spark, docs, empty):
     assert simhash.near_duplicates(empty, threshold=11, parts=4, similarity=0.8).count() == 0
 
 
+def test_pipeline_near_copies_at_13_bits(spark):
+    """Copies clearly over the limit whose fingerprints are 12 or 13 bits apart are compared too."""
+    import corpus_pipeline
+
+    rng, texts = random.Random(8), []
+    while len(texts) < 20:
+        base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+        other = [*base[:-12], *(f"w{rng.randrange(10**6)}" for _ in range(rng.randint(1, 9)))]
+        a, b = " ".join(base), " ".join(other)
+        if jaccard(a, b) >= 0.86 and 12 <= (brute_print(a) ^ brute_print(b)).bit_count() <= 13:
+            texts += [a, b]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()) == list(range(0, 20, 2))
+
+
 def test_anchors_cover():
     rng = np.random.default_rng(5)
     x = rng.integers(0, 1 << 22, 300).astype(np.uint64)
