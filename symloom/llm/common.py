@@ -41,3 +41,12 @@ def text_or_empty(column: str | Column) -> Column:
 
 def word_count(column: str | Column) -> Column:
     return F.regexp_count(text_or_empty(column), F.lit(WORDS)).cast("long")
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Column names that begin with ``names`` and that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    mark = "_"
+    while any(f"{n}{mark}".lower() in taken for n in names):
+        mark += "_"
+    return [f"{n}{mark}" for n in names]
