@@ -10,10 +10,15 @@ other's home. Each anchor compares who is at home there with all who came, over
 Equal fingerprints are joined before that. An anchor gives no pairs but the links of a forest over its fingerprints,
 so copies in thousands cost rows in proportion; alternating stars turn links into components.
 
-With ``similarity`` given, fingerprints only propose. Rows whose fingerprint has a partner get a sketch of one-bit
-minhashes of their distinct five-word shingles, are compared at the anchors once more, and link where the Jaccard
-similarity that the sketches show (standard error 0.02 at 0.8) is high enough too. This keeps chance meetings of
-fingerprints, which grow with the square of the corpus, out of the groups, and so allows a wide radius.
+With ``similarity`` given, fingerprints only propose. They are then two with independent bits, over a text's distinct
+five-word shingles, and a pair within reach in either is proposed. Rows with a partner get a sketch of one-bit minhashes of the
+same shingles and meet at the anchors once more: pairs whose sketches are CLEARLY on one side of the limit (over four
+standard errors) are linked or left; the open ones, unless clear links join them, are compared by the exact Jaccard
+similarity of their shingles' 64-bit hashes. This keeps chance meetings of fingerprints, which grow with the square of
+the corpus, out of the groups, and so allows a wide radius.
+
+At a large anchor a home row skips all that its group already holds, so a cluster of near copies is not compared pair
+by pair once links join it.
 
 With three pieces an anchor sees one of about 3,000 fingerprints; ``parts=2`` (t = 2) is the choice beyond some
 hundred million distinct ones: more rows for each, but an anchor sees one of some 100,000.
@@ -26,7 +31,7 @@ empty table gives an empty result; other columns may have any name.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,16 +39,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symloom.llm.common import materialise, text_or_empty
+from symloom.llm.common import free_names, materialise, text_or_empty
 from symloom.llm.components import connected_components
 
 SHINGLE = 4
 THRESHOLD = 4
 PARTS = 3
-#: Pairs compared at a time in a task, and sketches.
-BLOCK, SKETCH_BLOCK = 1 << 21, 1 << 17
+#: Pairs compared at a time in a task, and sketches; rows that make an anchor large, and home rows taken there at a time.
+BLOCK, SKETCH_BLOCK, LARGE, HOMES_AT_ONCE = 1 << 18, 1 << 15, 4096, 32
 #: One-bit minhashes in a sketch, and words in their shingles.
 SKETCH_BITS, SKETCH_WORDS = 1024, 5
+#: How far from the limit a similarity shown by sketches must be to decide: 4.2 standard errors at 0.8.
+CLEARLY = 0.08
 
 
 def shingle_hashes(text: str, shingle: int) -> np.ndarray:
@@ -59,20 +66,30 @@ def shingle_hashes(text: str, shingle: int) -> np.ndarray:
     return np.array([h(joined[a:b], 42) for a, b in zip(starts, ends[k - 1 :], strict=True)], dtype="<u8")
 
 
-def fingerprint(text: str, shingle: int = SHINGLE) -> int:
-    hashes = shingle_hashes(text, shingle)
+def _majority(hashes: np.ndarray) -> int:
     ones = np.zeros(64, dtype=np.int64)
     for i in range(0, len(hashes), 8192):
         ones += np.unpackbits(hashes[i : i + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(ones * 2 > len(hashes), bitorder="little").tobytes(), "little")
 
 
+def fingerprint(text: str, shingle: int = SHINGLE) -> int:
+    return _majority(shingle_hashes(text, shingle))
+
+
+def fingerprint_pair(shingles: np.ndarray) -> tuple[int, int]:
+    """Two fingerprints with independent bits, of a text's distinct shingles."""
+    other = (shingles ^ shingles >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15)
+    other = (other ^ other >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    return _majority(shingles), _majority(other ^ other >> np.uint64(32))
+
+
 _ORDERS = np.random.default_rng(11).integers(0, 1 << 32, (2, SKETCH_BITS), dtype=np.uint32) | np.array([[1], [0]], dtype=np.uint32)
 
 
-def sketch(text: str, shingle: int = SKETCH_WORDS) -> bytes:
+def sketch(shingles: np.ndarray) -> bytes:
     """One bit of each of SKETCH_BITS minima over the text's distinct shingles; equal minima give equal bits."""
-    hashes = np.unique((shingle_hashes(text, shingle) >> np.uint64(32)).astype(np.uint32))
+    hashes = np.unique((shingles >> np.uint64(32)).astype(np.uint32))
     least = np.full(SKETCH_BITS, (1 << 32) - 1, dtype=np.uint32)
     for i in range(0, len(hashes), 256):
         np.minimum(least, (hashes[i : i + 256, None] * _ORDERS[0] + _ORDERS[1]).min(axis=0), out=least)
@@ -81,18 +98,39 @@ def sketch(text: str, shingle: int = SKETCH_WORDS) -> bytes:
     return np.packbits(least >> np.uint32(31)).tobytes()
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, sketches: bool = False) -> DataFrame:
-    """doc_id and fp (the 64 bits as a signed long) of every row; with ``sketches`` also sketch."""
-    names = ["doc_id", "fp", *(["sketch"] if sketches else [])]
+def _per_text(docs: DataFrame, id_col: str, text_col: str, names: list[str], kind: str, of: Callable[[str], tuple]) -> DataFrame:
+    """doc_id and, for each text, the values that ``of`` gives."""
+    types = [pa.binary() if " binary" in x else pa.list_(pa.int64()) if "array" in x else pa.int64() for x in kind.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], dtype=np.uint64).view(np.int64)
-            more = [pa.array([sketch(t.as_py()) for t in batch.column(1)], pa.binary())] if sketches else []
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found), *more], names=names)
+            for i in range(0, len(batch), 1024):
+                part = batch.slice(i, 1024)
+                found = zip(*[of(t.as_py()) for t in part.column(1)], strict=True)
+                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(x, t) for x, t in zip(found, types, strict=True)]], names=["doc_id", *names])
+
+    id_kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), text_or_empty(F.col(f"`{text_col}`")).alias("text")).mapInArrow(run, f"doc_id {id_kind}, {kind}")
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """doc_id and fp (the 64 bits as a signed long) of every row."""
+    return _per_text(docs, id_col, text_col, ["fp"], "fp long", lambda t: (_signed(fingerprint(t, shingle)),))
+
+
+def proposing_prints(docs: DataFrame, id_col: str, text_col: str, sketches: bool = False, sets: bool = False) -> DataFrame:
+    """doc_id, fp and other (two fingerprints), with ``sketches`` also sketch, with ``sets`` also the shingles."""
+    names = ["fp", "other", *(["sketch"] if sketches else []), *(["shingles"] if sets else [])]
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, fp long" + ", sketch binary" * sketches)
+    def of(text: str) -> tuple:
+        shingles = np.unique(shingle_hashes(text, SKETCH_WORDS))
+        return *map(_signed, fingerprint_pair(shingles)), *([sketch(shingles)] if sketches else []), *([shingles.view(np.int64)] if sets else [])
+
+    return _per_text(docs, id_col, text_col, names, "fp long, other long" + ", sketch binary" * sketches + ", shingles array<long>" * sets, of)
 
 
 def _hamming_homes() -> np.ndarray:
@@ -144,47 +182,79 @@ def forest(u: np.ndarray, v: np.ndarray, n: int, parent: np.ndarray | None = Non
             parent = up
 
 
-def _alike(marks: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
-    """Which of the pairs a, b have sketches that differ in at most ``most`` bits."""
+def _differing(marks: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many bits the sketches of the pairs a, b differ."""
     cuts = range(0, len(a), SKETCH_BLOCK)
-    return np.concatenate([np.zeros(0, dtype=bool), *(np.bitwise_count(marks[a[i : i + SKETCH_BLOCK]] ^ marks[b[i : i + SKETCH_BLOCK]]).sum(axis=1, dtype=np.int64) <= most for i in cuts)])
+    return np.concatenate([np.zeros(0, dtype=np.int64), *(np.bitwise_count(marks[a[i : i + SKETCH_BLOCK]] ^ marks[b[i : i + SKETCH_BLOCK]]).sum(axis=1, dtype=np.int64) for i in cuts)])
 
 
-def _compare(anchor: np.ndarray, is_home: np.ndarray, fp: np.ndarray, node: np.ndarray, threshold: int, marks: np.ndarray | None = None, most: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Links (larger node, smaller node) among rows sorted by anchor, homes before replicas."""
-
-    def join(left: np.ndarray, right: np.ndarray, parent: np.ndarray) -> np.ndarray:
-        near = np.bitwise_count(fp[left] ^ fp[right]) <= threshold
-        left, right = left[near], right[near]
-        if marks is not None:  # only pairs that are not joined yet
-            apart = parent[own[left]] != parent[own[right]]
-            left, right = left[apart], right[apart]
-            good = _alike(marks, left, right, most)
-            left, right = left[good], right[good]
-        return forest(own[left], own[right], len(names), parent)
+def _compare(anchor: np.ndarray, is_home: np.ndarray, fp: np.ndarray, node: np.ndarray, threshold: int, marks: np.ndarray | None = None, like: int = 0, open_: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """Links (nodes, nodes, sure?) among rows sorted by anchor, homes before replicas.
 
+    Sure links are a forest. With sketches, up to ``like`` differing bits are sure and up to ``open_`` are open.
+    """
     names, own = np.unique(node, return_inverse=True)
     start = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
     end = np.r_[start[1:], len(anchor)]
     homes = np.add.reduceat(is_home.astype(np.int64), start)
     parent = np.arange(len(names))
-    # Each home row against all rows of its anchor, a bounded number of pairs at a time.
+    unsure: list[np.ndarray] = []
+
+    def join(left: np.ndarray, right: np.ndarray) -> None:
+        nonlocal parent
+        near = np.bitwise_count(fp[left] ^ fp[right]) <= threshold
+        left, right = left[near], right[near]
+        if marks is not None:
+            apart = parent[own[left]] != parent[own[right]]
+            left, right = left[apart], right[apart]
+            bits = _differing(marks, left, right)
+            maybe = (bits > like) & (bits <= open_)
+            if maybe.any():
+                unsure.append(np.unique(np.sort(np.stack([own[left[maybe]], own[right[maybe]]]), axis=0), axis=1))
+            left, right = left[bits <= like], right[bits <= like]
+        parent = forest(own[left], own[right], len(names), parent)
+
+    def undecided(least: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+        if sum(x.shape[1] for x in unsure) > least:
+            a, b = np.unique(np.concatenate(unsure, axis=1), axis=1)
+            unsure.clear()
+            apart = parent[a] != parent[b]
+            if apart.any():
+                yield names[b[apart]], names[a[apart]], False
+
+    # Small anchors: each home row against all rows of its anchor, a bounded number of pairs at a time.
+    size = end - start
+    small = size <= LARGE
     at = np.flatnonzero(is_home)
     group = np.repeat(np.arange(len(start)), homes)
-    todo = (end - start)[group]
-    upto = np.cumsum(todo)
-    for lo, hi in _portions(todo, upto):
-        if hi - lo == 1 and todo[lo] > BLOCK:
-            spans = [(int(start[group[lo]]) + i, min(int(end[group[lo]]), int(start[group[lo]]) + i + BLOCK)) for i in range(0, int(todo[lo]), BLOCK)]
-            for a, b in spans:
-                parent = join(np.full(b - a, at[lo]), np.arange(a, b), parent)
-            continue
+    at, group = at[small[group]], group[small[group]]
+    todo = size[group]
+    for lo, hi in _portions(todo, np.cumsum(todo)):
         n = todo[lo:hi]
         left = np.repeat(at[lo:hi], n)
         right = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[group[lo:hi]], n)
-        parent = join(left, right, parent)
+        join(left, right)
+        yield from undecided(1 << 20)
+    # Large anchors: some home rows at a time, against rows that the group of those does not hold yet.
+    for g in np.flatnonzero(~small).tolist():
+        todo = np.arange(start[g], start[g] + homes[g])
+        step = 1
+        while len(todo):
+            todo = todo[np.argsort(parent[own[todo]], kind="stable")]  # home rows of one group together
+            left, todo = todo[:step], todo[step:]
+            group_of = parent[own[left]]
+            right = np.arange(start[g], end[g])
+            if (group_of == group_of[0]).all():
+                right = right[parent[own[right]] != group_of[0]]
+            for i in range(0, len(right), max(1, BLOCK // len(left))):
+                part = right[i : i + max(1, BLOCK // len(left))]
+                join(np.repeat(left, len(part)), np.tile(part, len(left)))
+                yield from undecided(1 << 20)
+            step = min(HOMES_AT_ONCE, step * 2)
+    yield from undecided(0)
     linked = np.flatnonzero(parent != np.arange(len(names)))
-    return names[linked], names[parent[linked]]
+    if len(linked):
+        yield names[linked], names[parent[linked]], True
 
 
 def _portions(todo: np.ndarray, upto: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -196,21 +266,22 @@ def _portions(todo: np.ndarray, upto: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def links(prints: DataFrame, threshold: int = THRESHOLD, parts: int = PARTS, similarity: float | None = None) -> DataFrame:
-    """(fp, node) with distinct fp to edges (a, b) that join all nodes whose fingerprints differ in few enough bits.
+    """(fp, node) with distinct fp to edges (a, b, sure) that join all nodes whose fingerprints differ in few enough bits.
 
-    With ``similarity``, (fp, sketch, node), and the sketches must show that similarity too.
+    With ``similarity``, (fp, node, sketch), and the sketches must show that similarity too; edges that are not sure
+    are open.
     """
     t = threshold // parts
     marked = similarity is not None
     # Unequal minima give equal bits half of the time.
-    most = int(SKETCH_BITS * (1 - similarity) / 2) if marked else 0
+    like, open_ = (int(SKETCH_BITS * (1 - similarity + d) / 2) if marked else 0 for d in (-CLEARLY, CLEARLY))
     names = ["anchor", "home", "fp", "node", *(["sketch"] if marked else [])]
     cut = pieces(parts)
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, len(batch), 2048):
-                part = batch.slice(i, 2048)
+            for i in range(0, len(batch), 256):
+                part = batch.slice(i, 256)
                 fp, node = part.column(0).to_numpy().view(np.uint64), part.column(1).to_numpy()
                 for k, (low, width) in enumerate(cut):
                     value = fp >> np.uint64(low) & np.uint64((1 << width) - 1)
@@ -221,66 +292,104 @@ def links(prints: DataFrame, threshold: int = THRESHOLD, parts: int = PARTS, sim
                     yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(at_home), pa.array(fp[row].view(np.int64)), pa.array(node[row]), *more], names=names)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[np.ndarray] = []
+        held: list[list[np.ndarray]] = []
+        rows, limit = 0, 50_000
 
         def emit(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            a, b = _compare(cols[0], cols[1], cols[2].view(np.uint64), cols[3], threshold, cols[4] if marked else None, most)
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            for a, b, sure in _compare(cols[0], cols[1], cols[2].view(np.uint64), cols[3], threshold, cols[4] if marked else None, like, open_):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), sure))], names=["a", "b", "sure"])
 
         for batch in batches:
             cols = [batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(), batch.column(3).to_numpy()]
             if marked:
                 cols.append(np.frombuffer(b"".join(batch.column(4).to_pylist()), dtype=np.uint64).reshape(len(batch), -1))
-            kept = [np.concatenate(x) for x in zip(kept, cols, strict=True)] if kept else cols
-            whole = int(np.searchsorted(kept[0], kept[0][-1])) if len(kept[0]) else 0  # the last anchor may go on
-            if whole >= 100_000:
-                yield from emit([x[:whole] for x in kept])
-                kept = [x[whole:] for x in kept]
-        if kept and len(kept[0]):
-            yield from emit(kept)
+            held.append(cols)
+            rows += len(batch)
+            if rows >= limit:
+                kept = [np.concatenate(x) for x in zip(*held, strict=True)]
+                whole = int(np.searchsorted(kept[0], kept[0][-1]))  # the last anchor may go on
+                if whole:
+                    yield from emit([x[:whole] for x in kept])
+                held, rows = [[x[whole:].copy() for x in kept]], rows - whole
+                limit = max(50_000, 2 * rows)
+        if rows:
+            yield from emit([np.concatenate(x) for x in zip(*held, strict=True)])
 
     kind = "anchor long, home boolean, fp long, node long" + ", sketch binary" * marked
     spread = prints.select("fp", "node", *names[4:]).mapInArrow(replicate, kind)
     dealt = spread.repartition(F.col("anchor")).sortWithinPartitions("anchor", F.desc("home"))
-    return dealt.mapInArrow(compare, "a long, b long")
+    return dealt.mapInArrow(compare, "a long, b long, sure boolean")
 
 
-def _grouped(rows: DataFrame, threshold: int, parts: int, similarity: float | None) -> DataFrame:
-    """doc_id, fp, component_id of rows with doc_id, fp and, with ``similarity``, sketch."""
-    keys = ["fp"] if similarity is None else ["fp", "sketch"]
-    prints = materialise(rows.where("doc_id is not null").groupBy(*keys).agg(F.min("doc_id").cast("long").alias("node")), "distinct-fingerprints")
+def _grouped(rows: DataFrame, prints: DataFrame, keys: list[str], edges: DataFrame) -> DataFrame:
+    """doc_id, fp, component_id of rows with doc_id and keys; prints: keys, node; edges: (a, b) between nodes."""
     # An id with several fingerprints joins them.
     one = F.struct(*keys)
     same = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min(one).alias("x"), F.max(one).alias("y"))
     repeated = materialise(same.where("x <> y").select("doc_id"), "repeated-ids")
-    edges = links(prints, threshold, parts, similarity)
     extra = rows.join(repeated, "doc_id").join(prints, keys).select(F.col("doc_id").cast("long").alias("a"), F.col("node").alias("b"))
     root = materialise(connected_components(edges.union(extra)), "components")
     by_print = materialise(prints.join(root, "node", "left").select(*keys, F.coalesce("root", "node").alias("component_id")), "component-of-print")
     return rows.join(by_print, keys, "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
+def _distinct_prints(rows: DataFrame, keys: list[str]) -> DataFrame:
+    return materialise(rows.where("doc_id is not null").groupBy(*keys).agg(F.min("doc_id").cast("long").alias("node"), F.count(F.lit(1)).alias("n")), "distinct-fingerprints")
+
+
+def _similar_groups(docs: DataFrame, id_col: str, text_col: str, threshold: int, parts: int, similarity: float) -> DataFrame:
+    """doc_id, fp, component_id by exact similarity of proposed pairs."""
+    rows = materialise(proposing_prints(docs, id_col, text_col), "fingerprints")
+    near = None
+    for fp in ("fp", "other"):  # rows with a partner in either fingerprint
+        prints = _distinct_prints(rows, [fp])
+        own = links(prints.withColumnRenamed(fp, "fp"), threshold, parts).select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        own = prints.join(own, "node", "left_semi").select(fp).union(prints.where("n > 1").select(fp)).distinct()
+        ids = rows.join(materialise(own, "near-fingerprints"), fp, "left_semi").where("doc_id is not null").select("doc_id")
+        near = ids if near is None else near.union(ids)
+    id_, = free_names(docs, "id")
+    near = materialise(near.select(F.col("doc_id").alias(id_)).distinct(), "near-ids")
+    own_docs = docs.join(near, F.col(f"`{id_col}`") == F.col(id_), "left_semi")
+    marked = materialise(proposing_prints(own_docs, id_col, text_col, sketches=True), "sketches")
+    keys = ["fp", "other", "sketch"]
+    prints = _distinct_prints(marked, keys)
+    found = None
+    for fp in ("fp", "other"):
+        edges = links(prints.select(F.col(fp).alias("fp"), "node", "sketch"), threshold, parts, similarity)
+        found = edges if found is None else found.union(edges)
+    found = materialise(found.distinct(), "proposed-pairs")
+    sure = found.where("sure").select("a", "b")
+    # Open pairs that sure links do not join are compared exactly.
+    root = materialise(connected_components(sure), "sure-components")
+    ends = [root.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab"]
+    open_ = found.where("not sure").select("a", "b").distinct().join(ends[0], "a", "left").join(ends[1], "b", "left")
+    open_ = materialise(open_.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"), "open-pairs")
+    nodes = materialise(open_.select(F.explode(F.array("a", "b")).alias(id_)).distinct(), "open-nodes")
+    sets = proposing_prints(docs.join(nodes, F.col(f"`{id_col}`") == F.col(id_), "left_semi"), id_col, text_col, sketches=True, sets=True)
+    sets = sets.join(prints.select(*keys, "node"), keys).where("doc_id = node").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    sets = materialise(sets, "shingle-sets")
+    both = open_.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    alike = both.withColumn("common", common).where(F.col("common") >= similarity * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b")
+    edges = sure.union(materialise(alike, "similar-pairs"))
+    alone = rows.join(near, F.col("doc_id") == F.col(id_), "left_anti").select("doc_id", "fp", F.col("doc_id").cast("long").alias("component_id"))
+    return _grouped(marked, prints, keys, edges).union(alone)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: int = THRESHOLD, parts: int = PARTS, similarity: float | None = None) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id for each row. Ids are integers."""
-    rows = materialise(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     if similarity is None:
-        found = _grouped(rows, threshold, parts, None)
+        rows = materialise(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+        prints = _distinct_prints(rows, ["fp"])
+        found = _grouped(rows, prints, ["fp"], links(prints, threshold, parts).select("a", "b"))
     else:
-        prints = materialise(rows.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").cast("long").alias("node"), F.count(F.lit(1)).alias("n")), "proposed")
-        near = links(prints, threshold, parts).select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        near = prints.join(near, "node", "left_semi").select("fp").union(prints.where("n > 1").select("fp")).distinct()
-        near = materialise(near, "near-fingerprints")
-        ids = materialise(rows.join(near, "fp", "left_semi").where("doc_id is not null").select(F.col("doc_id").alias("__id")).distinct(), "near-ids")
-        own = docs.join(ids, F.col(f"`{id_col}`") == F.col("__id"), "left_semi")
-        marked = materialise(fingerprints(own, id_col, text_col, shingle, sketches=True), "sketches")
-        alone = rows.join(ids, F.col("doc_id") == F.col("__id"), "left_anti").select("doc_id", "fp", F.col("doc_id").cast("long").alias("component_id"))
-        found = _grouped(marked, threshold, parts, similarity).union(alone)
+        found = _similar_groups(docs, id_col, text_col, threshold, parts, similarity)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one document of each component, the one with the smallest id; all columns stay as they are."""
+    id_, = free_names(docs, "gone")
     found = near_duplicates(docs, id_col, text_col, **options)
-    gone = materialise(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "near-decisions")
-    return docs.join(gone, F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")
+    gone = materialise(found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_)).distinct(), "near-decisions")
+    return docs.join(gone, F.col(f"`{id_col}`") == F.col(id_), "left_anti")
