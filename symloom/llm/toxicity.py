@@ -11,7 +11,7 @@ text enters a score.
 
 Defined cases: a null text is empty; a text without words scores as the model's intercept says; a null id is never
 labelled and is not held out; labels that are null or contradict each other for one id (the larger counts) do no
-harm; without labelled rows every score is 0; an empty table gives an empty result; other columns may have any name.
+harm; of rows that share a labelled id the greatest text is learnt; without labelled rows every score is 0; an empty table gives an empty result; other columns may have any name.
 """
 
 from __future__ import annotations
@@ -107,7 +107,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = own.withColumn("key", F.xxhash64(F.lit(6), "__id")).orderBy("key", "__id").limit(sample)
     chosen = materialise(chosen, "label-sample")
     texts = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
-    rows = texts.join(F.broadcast(chosen), texts["doc_id"] == chosen["__id"]).select("key", "y", "text")  # `sample` rows at most
+    rows = texts.join(F.broadcast(chosen), texts["doc_id"] == chosen["__id"])
+    rows = rows.groupBy("key", "y").agg(F.max("text").alias("text"))  # `sample` rows at most
     model = rows.mapInPandas(featurise, "key long, y double, x array<int>").groupBy().applyInPandas(train, "place long, weight double").collect()  # 2^BITS + 1 rows at most
     found = {r["place"]: r["weight"] for r in model}
     bias = found.pop(-1, -35.0)
@@ -115,40 +116,29 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return places, np.array([found[p] for p in places.tolist()]), bias
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """doc_id and score of every row; with ``keep`` all columns of ``docs`` and __score."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text_col: str = "text") -> Column:
+    """The score of each row's text; rows themselves stay in the JVM."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def scores(texts: pa.Array) -> np.ndarray:
+    def scores(texts: pa.Array) -> pa.Array:
         places, weights, bias = shared.value
         full = np.zeros(1 << BITS)
         full[places] = weights
         # Twelve digits: the order in which a machine adds must not show.
-        sums = np.array([np.round(full[features(t.as_py() or "")].sum() + bias, 9) for t in texts])
-        return np.round(1 / (1 + np.exp(-np.clip(sums, -35, 35))), 12)
+        sums = np.array([np.round(full[features(t.as_py())].sum() + bias, 9) for t in texts])
+        return pa.array(np.round(1 / (1 + np.exp(-np.clip(sums, -35, 35))), 12), pa.float64())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if keep:
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores(batch.column(text_col)), pa.float64())], names=[*batch.schema.names, "__score"])
-            else:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores(batch.column(1)), pa.float64())], names=["doc_id", "score"])
-
-    if keep:
-        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-        return docs.mapInArrow(run, f"{fields}, __score double")
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, score double")
+    scores.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    return F.arrow_udf(scores, "double")(text_or_empty(F.col(f"`{text_col}`")))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted for each row."""
-    found = score(docs, fit(docs, labels, id_col, text_col), id_col, text_col)
+    own = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    found = own.select("doc_id", score(own, fit(docs, labels, id_col, text_col)).alias("score"))
     return found.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that score as toxic; all columns stay as they are."""
-    found = score(docs, fit(docs, labels, id_col, text_col), id_col, text_col, keep=True)
-    return found.where(F.col("__score") < TOXIC).drop("__score")
+    return docs.where(score(docs, fit(docs, labels, id_col, text_col), text_col) < TOXIC)
