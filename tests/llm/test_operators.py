@@ -161,6 +161,12 @@ def jaccard(a, b):
     return len(a & b) / len(a | b)
 
 
+def shown(a, b):
+    """The similarity that the sketches of two texts show."""
+    a, b = (int.from_bytes(simhash.sketch(simhash.shingle_hashes(t, 5))) for t in (a, b))
+    return 1 - 2 * (a ^ b).bit_count() / simhash.SKETCH_BITS
+
+
 def test_simhash_similarity(spark, docs, empty):
     rng = random.Random(4)
     words = [f"w{i}" for i in range(3000)]
@@ -183,15 +189,55 @@ def test_simhash_similarity(spark, docs, empty):
     joined = sum(out[i] == k * 5 for i, k in enumerate(family) if k is not None)
     assert joined >= 0.95 * 240
     for a, b in itertools.pairwise(rng.sample(range(300), 60)):
-        shown = 1 - 2 * int.from_bytes(bytes(x ^ y for x, y in zip(simhash.sketch(texts[a]), simhash.sketch(texts[b]), strict=True))).bit_count() / simhash.SKETCH_BITS
-        assert abs(shown - jaccard(texts[a], texts[b])) < 0.15
+        assert abs(shown(texts[a], texts[b]) - jaccard(texts[a], texts[b])) < 0.15
     for a in range(0, 300, 5):
-        shown = 1 - 2 * int.from_bytes(bytes(x ^ y for x, y in zip(simhash.sketch(texts[a]), simhash.sketch(texts[a + 1]), strict=True))).bit_count() / simhash.SKETCH_BITS
-        assert abs(shown - jaccard(texts[a], texts[a + 1])) < 0.08
+        assert abs(shown(texts[a], texts[a + 1]) - jaccard(texts[a], texts[a + 1])) < simhash.CLEARLY
     assert simhash.near_duplicates(docs, threshold=11, parts=4, similarity=0.8).count() == docs.count()
     assert simhash.near_duplicates(empty, threshold=11, parts=4, similarity=0.8).count() == 0
 
 
+def test_simhash_similarity_by_brute_force(spark):
+    """Families all about the limit: the groups are those of all pairs with a similarity of 0.8 or more."""
+    rng, texts = random.Random(12), []
+    for _ in range(50):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        texts.append(" ".join(base))
+        for _ in range(3):
+            own = list(base)
+            for at in rng.sample(range(300), rng.randint(4, 9)):  # 0.7 to 0.87 alike
+                own[at] = "changed" + str(rng.randrange(10**6))
+            texts.append(" ".join(own))
+    texts += [" ".join(["again and again the line"] * n) for n in (3, 30, 300)]  # equal as sets of shingles
+    near = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if jaccard(texts[i], texts[j]) >= 0.8]
+    group = list(range(len(texts)))
+    for i, j in near:
+        group = [group[i] if g == group[j] else g for g in group] if group[i] < group[j] else [group[j] if g == group[i] else g for g in group]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df, threshold=13, parts=5, similarity=0.8).collect()}
+    assert 60 < len(near) < 290 and sum(out[i] == out[j] for i, j in near) >= 0.97 * len(near)
+    apart = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if group[i] != group[j]]
+    assert not any(out[i] == out[j] for i, j in apart)
+
+
+def test_simhash_large_anchors(spark, docs, rows, monkeypatch):
+    """Anchors counted as large give the same groups."""
+    want = sorted((str(r["doc_id"]), r["component_id"]) for r in simhash.near_duplicates(docs, threshold=7, parts=4).collect())
+    rng = np.random.default_rng(3)
+    fp = rng.integers(0, 1 << 63, 40).astype(np.uint64).repeat(40)
+    fp ^= np.uint64(1) << rng.integers(0, 63, len(fp)).astype(np.uint64)
+    fp ^= np.uint64(1) << rng.integers(0, 63, len(fp)).astype(np.uint64)
+    anchor, is_home = np.zeros(len(fp), dtype=np.int64), np.ones(len(fp), dtype=bool)
+    groups = []
+    for large in (simhash.LARGE, 1):
+        monkeypatch.setattr(simhash, "LARGE", large)
+        parent = np.arange(len(fp))
+        for a, b, sure in simhash._compare(anchor, is_home, fp, np.arange(len(fp)), 4):
+            assert sure
+            parent = simhash.forest(a, b, len(fp), parent)
+        groups.append(parent.tolist())
+    assert groups[0] == groups[1] and len(set(groups[0])) == 40 and want
+
+
 def test_pipeline_near_copies_at_13_bits(spark):
     """Copies clearly over the limit whose fingerprints are 12 or 13 bits apart are compared too."""
     import corpus_pipeline
@@ -314,43 +360,91 @@ def test_passages_cut_by_older_documents(spark):
     assert wanted > 500
 
 
+def plain_targets(sizes, weights=(3, 1, 2), share=1.5, most=2):
+    """Words for each source, by sharing the excess again and again."""
+    order = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None] * (None in sizes)
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    full, left = {}, share * sum(sizes.values())
+    while True:
+        open_ = [s for s in order if s not in full]
+        give = {s: (left - sum(full.values())) * weight[s] / sum(weight[x] for x in open_) for s in open_}
+        above = [s for s in open_ if give[s] > most * sizes[s]]
+        if not above:
+            return full | give
+        full |= {s: most * sizes[s] for s in above}
+
+
+def plain_mix(rows, u, **options):
+    """(copies, target) of each (source, size), by bisection for the scale and going through each source in order."""
+    tilt = options.pop("tilt", mixing.TILT)
+    sizes = {}
+    for s, n in rows:
+        sizes[s] = sizes.get(s, 0) + n
+    aim, out = plain_targets(sizes, **options), [None] * len(rows)
+    for s in sizes:
+        own = [i for i, r in enumerate(rows) if r[0] == s]
+        gain = {i: 2 ** (tilt * (rows[i][1].bit_length() - 1)) if rows[i][1] else 0 for i in own}
+        lo, hi = 0.0, 4.0
+        for _ in range(200):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if sum(min(2, mid * gain[i]) * rows[i][1] for i in own) < aim[s] else (lo, mid)
+        copies = {i: 2.0 if aim[s] >= 2 * sizes[s] - 0.5 else min(2, hi * gain[i]) for i in own}
+        whole = {i: int(copies[i] + 1e-9) for i in own}
+        left = aim[s] - sum(whole[i] * rows[i][1] for i in own)
+        p = {i: min(max(copies[i] - whole[i], 1e-9), 1 - 1e-9) for i in own}
+        for i in sorted(own, key=lambda i: u[i] / (1 - u[i]) * (1 - p[i]) / p[i]):
+            take = left >= 1 and 0 < rows[i][1] <= left and whole[i] < 2
+            left -= rows[i][1] * take
+            out[i] = (whole[i] + take if rows[i][1] else 0, aim[s])
+    return out
+
+
 def test_mixing(docs, rows, empty):
     count = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
     out = mixing.mix(docs).collect()
     sizes = {}
     for r in rows:
         sizes[r[3]] = sizes.get(r[3], 0) + count(r[1])
-    aim = mixing.targets(sizes)
+    aim = plain_targets(sizes)
     assert len(out) == len(rows) and all(r["taken"] <= 2 * r["size"] for r in out)
     largest = max(r["size"] for r in out)
     for s, goal in aim.items():
+        assert {(r["source_size"], round(r["target"], 6)) for r in out if r["source"] == s} == {(sizes[s], round(goal, 6))}
         assert goal <= 2 * sizes[s] + 1e-6 and abs(sum(r["taken"] for r in out if r["source"] == s) - goal) <= largest
-    assert abs(sum(aim.values()) - 1.5 * sum(sizes.values())) < 1e-6 or all(abs(aim[s] - 2 * sizes[s]) < 1e-6 for s in aim)
     key = lambda o: sorted((str(r["doc_id"]), r["size"], r["taken"]) for r in o)
     assert key(out) == key(mixing.mix(docs).collect()) and mixing.mix(empty).count() == 0
     taken = mixing.take_mix(docs)
     assert taken.columns == docs.columns and sum(count(r["text"]) for r in taken.collect()) == sum(r["taken"] for r in out)
+    odd = docs.withColumn("id_", F.lit(1)).withColumn("copies_", F.lit("x")).withColumn("words", F.lit(0))
+    assert mixing.take_mix(odd).columns == odd.columns and mixing.take_mix(odd).count() == taken.count()
 
 
-def test_mixing_leaves_nothing_that_fits(spark):
-    """Going through each source in order by plain Python: long documents are skipped, all later ones that fit are taken."""
+@pytest.mark.parametrize(("weights", "share", "at_once"), [((1,), 0.5, 1000), ((1,), 0.5, 7), ((3, 1, 2), 1.5, 20), ((1, 5), 1.0, 7)])
+def test_mixing_by_brute_force(spark, monkeypatch, weights, share, at_once):
+    """As plain Python takes them, whatever the bins: long documents are skipped, all later ones that fit are taken."""
+    monkeypatch.setattr(mixing, "AT_ONCE", at_once)
+    monkeypatch.setattr(mixing, "BINS", 8 if at_once < 1000 else 1024)
     rng = random.Random(6)
-    sizes = [("a", 200)] * 50 + [("a", 20_000)] + [("b", rng.randint(1, 60)) for _ in range(3000)] + [("b", 15_000)] * 4
-    sizes += [(None, rng.choice([3, 70, 900, 9000])) for _ in range(40)] + [(f"x{k % 9}", rng.choice([5, 40, 2000])) for k in range(90)]
+    sizes = [("a", 200)] * 50 + [("a", 20_000)] + [("b", rng.randint(1, 60)) for _ in range(1500)] + [("b", 15_000)] * 4
+    sizes += [(None, rng.choice([3, 70, 900, 9000])) for _ in range(40)] + [(f"x{k % 9}", rng.choice([0, 5, 40, 2000])) for k in range(90)]
+    sizes += [("\ue000", 50)] * 3 + [("\U00010000", 50)] * 3  # code point order is not that of UTF-16
     df = spark.createDataFrame([(i, "w " * n, s) for i, (s, n) in enumerate(sizes)], "doc_id long, text string, source string")
-    for seed in (20, 21, 22):
-        out = mixing.mix(df, weights=(1,), share=0.5, seed=seed).collect()
-        u = {r["doc_id"]: r["u"] for r in df.select("doc_id", mixing.uniform(seed, F.col("doc_id"), F.crc32(F.encode("text", "UTF-8"))).alias("u")).collect()}
-        assert len(out) == len(sizes)
-        for s in {s for s, _ in sizes}:
-            own = [r for r in out if r["source"] == s]
-            left, rate = own[0]["target"], own[0]["target"] / own[0]["source_size"]
-            whole = min(int(rate), 2)
-            left -= whole * own[0]["source_size"]
-            for r in sorted(own, key=lambda r: u[r["doc_id"]]):
-                fits = r["size"] <= left
-                left -= r["size"] if fits else 0
-                assert r["copies"] == whole + fits, (seed, s, r)
+    out = {r["doc_id"]: r for r in mixing.mix(df, weights=weights, share=share).collect()}
+    u = {r["doc_id"]: r["u"] for r in df.select("doc_id", mixing.uniform(20, F.col("doc_id"), F.crc32(F.encode("text", "UTF-8"))).alias("u")).collect()}
+    want = plain_mix(sizes, [u[i] for i in range(len(sizes))], weights=weights, share=share)
+    for i, (copies, target) in enumerate(want):
+        assert out[i]["copies"] == copies and abs(out[i]["target"] - target) < 1e-6, (sizes[i], out[i], copies)
+
+
+def test_mixing_inclusion(spark):
+    """Over many sources that are alike, documents are in the sample as often as their inclusion odds say."""
+    words, n = [64, 128, 256] * 60, 60
+    df = spark.createDataFrame([(s * 1000 + k, "w " * w, f"s{s:03}") for s in range(n) for k, w in enumerate(words)], "doc_id long, text string, source string")
+    out = mixing.mix(df, weights=(1,), share=0.5).groupBy("size").agg(F.avg("copies").alias("copies")).collect()
+    gain = {w: 2 ** (mixing.TILT * (w.bit_length() - 1)) for w in set(words)}
+    scale = 0.5 * sum(words) / sum(gain[w] * w for w in words)
+    for r in out:
+        assert abs(r["copies"] - scale * gain[r["size"]]) < 0.04, (r, scale * gain[r["size"]])
 
 
 def test_pipeline(spark, docs, tmp_path):
