@@ -360,6 +360,86 @@ def test_passages_cut_by_older_documents(spark):
     assert wanted > 500
 
 
+def test_passages_owners():
+    """First and previous holders of seeds, in whatever batches they come."""
+    rng = np.random.default_rng(6)
+    rows = sorted({(int(h), -1 if h % 3 else int(d) // 20, int(d), int(a)) for h, d, a in zip(rng.integers(0, 12, 600), rng.integers(0, 60, 600), rng.integers(0, 9, 600), strict=True)})
+    want, heads = set(), set()
+    for (h, part), own in itertools.groupby(rows, key=lambda r: r[:2]):
+        own = list(own)
+        docs = {}
+        for r in own:
+            docs.setdefault(r[2], r[3])  # the first place in each document
+        order = sorted(docs)
+        heads.add(own[0])
+        for r in own:
+            if r[2] != order[0]:
+                want.add((r, order[0], docs[order[0]]))
+                before = order[order.index(r[2]) - 1]
+                if before != order[0] and r[3] % 2 == 0:
+                    want.add((r, before, docs[before]))
+    for _ in range(20):
+        owners, found, met = passages.Owners(), set(), set()
+        cuts = sorted({0, len(rows), *rng.integers(0, len(rows), 15).tolist()})
+        for a, b in itertools.pairwise(cuts):
+            row, source, place, first = owners.take(*(np.array(x) for x in zip(*rows[a:b], strict=True)))
+            found |= {(rows[a + i], int(s), int(p)) for i, s, p in zip(row.tolist(), source, place, strict=True)}
+            met |= {rows[a + i] for i in first.tolist()}
+        assert found == want and met == heads
+
+
+def fresh(rng, n):
+    return [f"w{rng.randrange(10**9)}" for _ in range(n)]
+
+
+def shared_passages(spark, texts):
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    return passages.fuzzy_passages(df).collect()
+
+
+@pytest.mark.parametrize("common", [False, True])
+def test_passages_owned_by_many(spark, monkeypatch, common):
+    """Two documents share 400 words of which older ones hold parts, or the end."""
+    if common:  # seeds met twice count as common, in a sample of all
+        monkeypatch.setattr(passages, "SAMPLED", 1)
+        monkeypatch.setattr(passages, "LEAST_MET", 2)
+    rng = random.Random(3)
+    p, q = fresh(rng, 400), fresh(rng, 1500)
+    parts, at = [], 0
+    while at < 400:
+        n = rng.randint(16, 18)
+        parts += [p[at : at + n]] * 3
+        at += n
+    texts = [fresh(rng, 20) + x + fresh(rng, 20) for x in [*parts, p, p, q[100:], q, q]]
+    out, n = shared_passages(spark, texts), len(texts)
+    assert max(r["matched"] for r in out if (r["doc_id"], r["source_doc_id"]) == (n - 4, n - 5)) == 400
+    assert max(r["matched"] for r in out if (r["doc_id"], r["source_doc_id"]) == (n - 1, n - 2)) == 1500
+    assert max(r["matched"] for r in out if (r["doc_id"], r["source_doc_id"]) == (n - 1, n - 3)) == 1400
+
+
+def test_passages_with_edits(spark):
+    """Passages with every sixth to tenth word changed, dropped or doubled are found, 0.9 of them at least."""
+    rng, texts, pairs = random.Random(5), [], []
+    for _ in range(200):
+        base = fresh(rng, rng.randint(50, 120))
+        other, k = list(base), rng.randint(6, 10)
+        for i in range(len(base) - rng.randint(1, k), -1, -k):
+            other[i : i + 1] = rng.choice([["changed"], ["changed"], [], [other[i]] * 2])
+        pairs.append((len(texts) + 1, len(texts)))
+        texts += [fresh(rng, 30) + x + fresh(rng, 30) for x in (base, other)]
+    found = {(r["doc_id"], r["source_doc_id"]) for r in shared_passages(spark, texts)}
+    assert found <= set(pairs) and len(found) >= 0.9 * len(pairs), len(found)
+
+
+def test_passages_repeated_lines(spark):
+    """Lines and words repeated in both texts give a passage or a few, not one for each pair of places."""
+    rng = random.Random(7)
+    line = fresh(rng, 9)
+    texts = [fresh(rng, 30) + x + fresh(rng, 30) for x in (line * 40, line * 60, ["same"] * 300, ["same"] * 500, ["a", "b", "c"] * 90, ["a", "b", "c"] * 80)]
+    out = shared_passages(spark, texts)
+    assert {(r["doc_id"], r["source_doc_id"]) for r in out} == {(1, 0), (3, 2), (5, 4)} and len(out) <= 12
+
+
 def plain_targets(sizes, weights=(3, 1, 2), share=1.5, most=2):
     """Words for each source, by sharing the excess again and again."""
     order = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None] * (None in sizes)
