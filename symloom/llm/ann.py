@@ -1,13 +1,15 @@
 """Nearest neighbours by inner product through robust-pruned directed graphs, one per shard.
 
-Equal vectors are one node with their smallest ids (no more than could be answered). Nodes are dealt to shards by a
-hash of the vector. Each shard gets one more component that turns largest inner product into smallest distance, and
-builds its graph: every node searches greedily from the entry point, proposes what it met as neighbours, and keeps
+Equal vectors are one node with their smallest ids (no more than could be answered). Nodes are dealt to shards by
+length, a power of two to a band, and by a hash of the vector: within a shard lengths differ by a factor of two at
+most, so no outlier blurs the others. Each shard gets one more component that turns largest inner product into
+smallest distance, and builds its graph: every node searches greedily from the entry point, proposes what it met as neighbours, and keeps
 those that no kept neighbour is closer to by the factor ALPHA (relaxed pruning leaves long, diverse edges); edges go
 both ways, and nodes with too many are pruned again. A query walks every shard's graph with a beam; the best of all
 shards, re-scored in double precision on the original vectors, are the answer.
 
-Queries are the stated set; they are cut into blocks of QUERY_BLOCK, and each (shard, block) is one task's work.
+Queries are the stated set; they are cut into blocks of QUERY_BLOCK, and each (shard, block) is one task's work: the
+work is that of the queries times the shards, and a graph is sent to each block once.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no part; neither do
 null ids; equal ids are separate candidates, but never answers to their own id; vectors of another length than a
@@ -33,7 +35,7 @@ DEGREE = 32
 BUILD_BEAM = 64
 SEARCH_BEAM = 120
 ALPHA = 1.2
-QUERY_BLOCK = 4096
+QUERY_BLOCK = 16384
 #: Neighbours looked at together in one step of the walk.
 WIDE = 3
 
@@ -138,9 +140,17 @@ def build_graph(vecs: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM,
 
 
 def lifted(vecs: np.ndarray) -> np.ndarray:
-    """With one more component, so that all have one length and nearest means largest inner product."""
-    sq = (vecs.astype(np.float64) ** 2).sum(axis=1)
-    return np.c_[vecs, np.sqrt(np.maximum(sq.max() - sq, 0))].astype(np.float32)
+    """With one more component, so that all have length one and nearest means largest inner product."""
+    scaled = vecs / np.abs(vecs).max()
+    sq = (scaled**2).sum(axis=1)
+    return (np.c_[scaled, np.sqrt(np.maximum(sq.max() - sq, 0))] / np.sqrt(sq.max())).astype(np.float32)
+
+
+def band(key: bytes) -> int:
+    """The power of two of a vector's length."""
+    v = np.frombuffer(key, dtype=np.float64)
+    most = np.abs(v).max()
+    return int(np.frexp(most)[1] + np.frexp(np.sqrt(((v / most) ** 2).sum()))[1])
 
 
 def keyed_vectors(rows: DataFrame, id_col: str, vec_col: str, most: int | None = None) -> DataFrame:
@@ -158,22 +168,33 @@ def keyed_vectors(rows: DataFrame, id_col: str, vec_col: str, most: int | None =
             pdf = pd.DataFrame({"key": keys, "vec_id": pdf["vec_id"].to_numpy()}).dropna(subset=["key"])
             yield pdf if most is None else pdf.sort_values("vec_id").pipe(lambda x: x[x.groupby("key").cumcount() < most])
 
-    return rows.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v")).mapInPandas(partial, "key binary, vec_id long")
+    return rows.where(F.col(f"`{id_col}`").isNotNull() & F.col(f"`{vec_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vec_col}`").cast("array<double>").alias("v")).mapInPandas(partial, "key binary, vec_id long")
 
 
 def distinct_vectors(rows: DataFrame, id_col: str, vec_col: str, most: int) -> DataFrame:
-    """(key, vec_ids): each distinct valid vector with its smallest ids, ``most`` at most; no more can be answers."""
+    """(key, band, vec_ids): each distinct valid vector with its smallest ids, ``most`` at most; no more can be answers."""
+
+    def banded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"key": pdf["key"], "band": [band(k) for k in pdf["key"]], "vec_ids": pdf["vec_ids"]})
+
     found = keyed_vectors(rows, id_col, vec_col, most)
     ranked = found.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("vec_id"))).where(F.col("r") <= most)
-    return ranked.groupBy("key").agg(F.sort_array(F.collect_list("vec_id")).alias("vec_ids"))
+    return ranked.groupBy("key").agg(F.sort_array(F.collect_list("vec_id")).alias("vec_ids")).mapInPandas(banded, "key binary, band int, vec_ids array<long>")
 
 
 def search(rows: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", top: int = TOP, shard_rows: int = SHARD_ROWS, beam: int = SEARCH_BEAM) -> DataFrame:
     """query_id, rank, vec_id, score: each query's ``top`` best other rows that the graphs find."""
     nodes = materialise(distinct_vectors(rows, id_col, vec_col, top + 1), "distinct-vectors")
     asked = materialise(keyed_vectors(queries, id_col, vec_col).select("key", F.col("vec_id").alias("query_id")), "queries")
-    patterns = materialise(asked.select("key").distinct(), "distinct-queries")
-    n_shards = max(1, -(-nodes.count() // shard_rows))
+    patterns = materialise(asked.select("key").distinct().withColumn("pattern", F.monotonically_increasing_id()), "distinct-queries")
+    # One row per band and length of vectors (a few thousand at most, the exponents of doubles): how many shards it gets.
+    bands = nodes.groupBy("band").agg(F.count(F.lit(1)).alias("n")).orderBy("band").collect()
+    first, shards = [], 0
+    for r in bands:
+        first.append((r["band"], shards, n_own := -(-r["n"] // shard_rows)))
+        shards += n_own
+    of_band = rows.sparkSession.createDataFrame(first, "band int, first int, own int")
     n_blocks = max(1, -(-patterns.count() // QUERY_BLOCK))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -184,41 +205,43 @@ def search(rows: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col:
             out.append(pd.DataFrame({"shard": own["shard"].to_numpy(), "node": np.arange(len(own)), "entry": entry, "key": own["key"].to_numpy(), "vec_ids": own["vec_ids"].to_numpy(), "edges": [e.astype(np.int32) for e in edges]}))
         return pd.concat(out)
 
-    placed = nodes.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(n_shards)).cast("int"))
-    graph = placed.repartition(n_shards, "shard").groupBy("shard").applyInPandas(build, "shard int, node int, entry int, key binary, vec_ids array<long>, edges array<int>")
+    shard = (F.col("first") + F.pmod(F.xxhash64("key"), F.col("own"))).cast("int").alias("shard")
+    placed = nodes.join(F.broadcast(of_band), "band").select("key", "vec_ids", shard)
+    graph = placed.repartition(max(1, shards), "shard").groupBy("shard").applyInPandas(build, "shard int, node int, entry int, key binary, vec_ids array<long>, edges array<int>")
     graph = materialise(graph, "graphs")
 
     def walk(pattern: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
         out = []
         sizes = pattern["key"].str.len()
         for width, own in shard.groupby(shard["key"].str.len()):
-            keys = pattern.loc[sizes == width, "key"].to_numpy()
+            keys, numbers = (pattern.loc[sizes == width, c].to_numpy() for c in ("key", "pattern"))
             if not len(keys):
                 continue
             own = own.sort_values("node")
             exact = np.frombuffer(b"".join(own["key"]), dtype=np.float64).reshape(len(own), -1)
-            vecs = lifted(exact)
-            norms, edges = (vecs**2).sum(axis=1), np.stack(own["edges"].to_numpy()).astype(np.int64)
+            vecs, edges = lifted(exact), np.stack(own["edges"].to_numpy()).astype(np.int64)
+            level = np.zeros(len(own), dtype=np.float32)  # lengths are equal: they tell nothing apart
             asked = np.frombuffer(b"".join(keys), dtype=np.float64).reshape(len(keys), -1)
             ids = own["vec_ids"].to_numpy()
             for lo in range(0, len(keys), 256):
                 q = asked[lo : lo + 256]
-                unit = q / np.maximum(np.abs(q).max(axis=1, keepdims=True), 1e-300)
-                found, _ = beam_search(vecs, norms, edges, int(own["entry"].iloc[0]), np.c_[unit, np.zeros(len(q))].astype(np.float32), min(beam, len(own)))
+                unit = q / np.abs(q).max(axis=1, keepdims=True)
+                found, _ = beam_search(vecs, level, edges, int(own["entry"].iloc[0]), np.c_[unit, np.zeros(len(q))].astype(np.float32), min(beam, len(own)))
                 for i, nodes_found in enumerate(found):
                     good = nodes_found[nodes_found >= 0]
                     score = (exact[good] * q[i]).sum(axis=1)
                     good, score = good[o := np.argsort(-score, kind="stable")[: top + 1]], score[o]
-                    out += [(keys[lo + i], s, int(v)) for g, s in zip(good, score.tolist(), strict=True) for v in ids[g]]
-        return pd.DataFrame(out, columns=["key", "score", "vec_id"])
+                    out += [(numbers[lo + i], s, int(v)) for g, s in zip(good, score.tolist(), strict=True) for v in ids[g]]
+        return pd.DataFrame(out, columns=["pattern", "score", "vec_id"])
 
     block = F.pmod(F.xxhash64(F.lit(1), "key"), F.lit(n_blocks)).cast("int").alias("block")
-    left = patterns.select("key", block, F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).alias("shard"))
+    left = patterns.select("key", "pattern", block, F.explode(F.sequence(F.lit(0), F.lit(max(0, shards - 1)))).alias("shard"))
     right = graph.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(walk, "key binary, score double, vec_id long")
-    best = Window.partitionBy("key").orderBy(F.desc("score"), "vec_id")
+    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(walk, "pattern long, score double, vec_id long")
+    best = Window.partitionBy("pattern").orderBy(F.desc("score"), "vec_id")
     found = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= top + 1).drop("r")
     # One list per distinct query vector, then each query without itself.
-    lists = materialise(found.groupBy("key").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("worse"), "vec_id"))).alias("best")), "answers")
+    lists = found.groupBy("pattern").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("worse"), "vec_id"))).alias("best"))
+    lists = materialise(lists.join(patterns, "pattern").select("key", "best"), "answers")
     out = asked.join(lists, "key").select("query_id", F.slice(F.filter("best", lambda x: x["vec_id"] != F.col("query_id")), 1, top).alias("best"))
     return out.select("query_id", F.posexplode("best").alias("pos", "hit")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), (-F.col("hit.worse")).alias("score"))
