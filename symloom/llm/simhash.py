@@ -11,7 +11,8 @@ Equal fingerprints are joined before that. An anchor gives no pairs but the link
 so copies in thousands cost rows in proportion; alternating stars turn links into components.
 
 With ``similarity`` given, fingerprints only propose. They are then two with independent bits, over a text's distinct
-five-word shingles, and a pair within reach in either is proposed. Rows with a partner get a sketch of one-bit minhashes of the
+five-word shingles, and a pair within reach in either, and within OTHER_BITS in the other one, is proposed: that is
+4.5 standard deviations for texts at the limit, and one chance meeting in a hundred. Rows with a partner get a sketch of one-bit minhashes of the
 same shingles and meet at the anchors once more: pairs whose sketches are CLEARLY on one side of the limit (over four
 standard errors) are linked or left; the open ones, unless clear links join them, are compared by the exact Jaccard
 similarity of their shingles' 64-bit hashes. This keeps chance meetings of fingerprints, which grow with the square of
@@ -49,6 +50,8 @@ PARTS = 3
 BLOCK, SKETCH_BLOCK, LARGE, HOMES_AT_ONCE = 1 << 18, 1 << 15, 4096, 32
 #: One-bit minhashes in a sketch, and words in their shingles.
 SKETCH_BITS, SKETCH_WORDS = 1024, 5
+#: In how many bits the other fingerprint of a proposed pair may differ.
+OTHER_BITS = 22
 #: How far from the limit a similarity shown by sketches must be to decide: 4.2 standard errors at 0.8.
 CLEARLY = 0.08
 
@@ -265,17 +268,15 @@ def _portions(todo: np.ndarray, upto: np.ndarray) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
-def links(prints: DataFrame, threshold: int = THRESHOLD, parts: int = PARTS, similarity: float | None = None) -> DataFrame:
+def links(prints: DataFrame, threshold: int = THRESHOLD, parts: int = PARTS, like: int | None = None, open_: int | None = None) -> DataFrame:
     """(fp, node) with distinct fp to edges (a, b, sure) that join all nodes whose fingerprints differ in few enough bits.
 
-    With ``similarity``, (fp, node, sketch), and the sketches must show that similarity too; edges that are not sure
-    are open.
+    With ``like``, (fp, node, mark): marks are compared too, bit by bit. Up to ``like`` differing bits an edge is sure,
+    up to ``open_`` it is open.
     """
     t = threshold // parts
-    marked = similarity is not None
-    # Unequal minima give equal bits half of the time.
-    like, open_ = (int(SKETCH_BITS * (1 - similarity + d) / 2) if marked else 0 for d in (-CLEARLY, CLEARLY))
-    names = ["anchor", "home", "fp", "node", *(["sketch"] if marked else [])]
+    marked = like is not None
+    names = ["anchor", "home", "fp", "node", *(["mark"] if marked else [])]
     cut = pieces(parts)
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,13 +297,15 @@ def links(prints: DataFrame, threshold: int = THRESHOLD, parts: int = PARTS, sim
         rows, limit = 0, 50_000
 
         def emit(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            for a, b, sure in _compare(cols[0], cols[1], cols[2].view(np.uint64), cols[3], threshold, cols[4] if marked else None, like, open_):
+            for a, b, sure in _compare(cols[0], cols[1], cols[2].view(np.uint64), cols[3], threshold, cols[4] if marked else None, like or 0, open_ or like or 0):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), sure))], names=["a", "b", "sure"])
 
         for batch in batches:
             cols = [batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(), batch.column(3).to_numpy()]
             if marked:
-                cols.append(np.frombuffer(b"".join(batch.column(4).to_pylist()), dtype=np.uint64).reshape(len(batch), -1))
+                mark = batch.column(4)
+                mark = mark.to_numpy().view(np.uint64) if pa.types.is_int64(mark.type) else np.frombuffer(b"".join(mark.to_pylist()), dtype=np.uint64)
+                cols.append(mark.reshape(len(batch), -1))
             held.append(cols)
             rows += len(batch)
             if rows >= limit:
@@ -315,7 +318,7 @@ def links(prints: DataFrame, threshold: int = THRESHOLD, parts: int = PARTS, sim
         if rows:
             yield from emit([np.concatenate(x) for x in zip(*held, strict=True)])
 
-    kind = "anchor long, home boolean, fp long, node long" + ", sketch binary" * marked
+    kind = "anchor long, home boolean, fp long, node long" + (f", mark {prints.schema['mark'].dataType.simpleString()}" if marked else "")
     spread = prints.select("fp", "node", *names[4:]).mapInArrow(replicate, kind)
     dealt = spread.repartition(F.col("anchor")).sortWithinPartitions("anchor", F.desc("home"))
     return dealt.mapInArrow(compare, "a long, b long, sure boolean")
@@ -340,37 +343,40 @@ def _distinct_prints(rows: DataFrame, keys: list[str]) -> DataFrame:
 def _similar_groups(docs: DataFrame, id_col: str, text_col: str, threshold: int, parts: int, similarity: float) -> DataFrame:
     """doc_id, fp, component_id by exact similarity of proposed pairs."""
     rows = materialise(proposing_prints(docs, id_col, text_col), "fingerprints")
-    near = None
-    for fp in ("fp", "other"):  # rows with a partner in either fingerprint
-        prints = _distinct_prints(rows, [fp])
-        own = links(prints.withColumnRenamed(fp, "fp"), threshold, parts).select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        own = prints.join(own, "node", "left_semi").select(fp).union(prints.where("n > 1").select(fp)).distinct()
-        ids = rows.join(materialise(own, "near-fingerprints"), fp, "left_semi").where("doc_id is not null").select("doc_id")
-        near = ids if near is None else near.union(ids)
+    both = ["fp", "other"]
+    prints = _distinct_prints(rows, both)
+    near = prints.where("n > 1").select("node")
+    for fp, other in (both, both[::-1]):  # rows with a partner by either fingerprint
+        edges = links(prints.select(F.col(fp).alias("fp"), "node", F.col(other).alias("mark")), threshold, parts, OTHER_BITS)
+        near = near.union(edges.select(F.explode(F.array("a", "b")).alias("node")))
+    near = materialise(prints.join(materialise(near, "near-nodes").distinct(), "node", "left_semi").select(*both), "near-fingerprints")
+    near = rows.join(near, both, "left_semi").where("doc_id is not null").select("doc_id")
     id_, = free_names(docs, "id")
     near = materialise(near.select(F.col("doc_id").alias(id_)).distinct(), "near-ids")
     own_docs = docs.join(near, F.col(f"`{id_col}`") == F.col(id_), "left_semi")
     marked = materialise(proposing_prints(own_docs, id_col, text_col, sketches=True), "sketches")
-    keys = ["fp", "other", "sketch"]
+    keys = [*both, "sketch"]
     prints = _distinct_prints(marked, keys)
+    # Unequal minima give equal bits half of the time.
+    like, open_ = (int(SKETCH_BITS * (1 - similarity + d) / 2) for d in (-CLEARLY, CLEARLY))
     found = None
-    for fp in ("fp", "other"):
-        edges = links(prints.select(F.col(fp).alias("fp"), "node", "sketch"), threshold, parts, similarity)
+    for fp in both:
+        edges = links(prints.select(F.col(fp).alias("fp"), "node", F.col("sketch").alias("mark")), threshold, parts, like, open_)
         found = edges if found is None else found.union(edges)
     found = materialise(found.distinct(), "proposed-pairs")
     sure = found.where("sure").select("a", "b")
     # Open pairs that sure links do not join are compared exactly.
     root = materialise(connected_components(sure), "sure-components")
     ends = [root.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab"]
-    open_ = found.where("not sure").select("a", "b").distinct().join(ends[0], "a", "left").join(ends[1], "b", "left")
-    open_ = materialise(open_.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"), "open-pairs")
-    nodes = materialise(open_.select(F.explode(F.array("a", "b")).alias(id_)).distinct(), "open-nodes")
+    unsure = found.where("not sure").select("a", "b").distinct().join(ends[0], "a", "left").join(ends[1], "b", "left")
+    unsure = materialise(unsure.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"), "open-pairs")
+    nodes = materialise(unsure.select(F.explode(F.array("a", "b")).alias(id_)).distinct(), "open-nodes")
     sets = proposing_prints(docs.join(nodes, F.col(f"`{id_col}`") == F.col(id_), "left_semi"), id_col, text_col, sketches=True, sets=True)
     sets = sets.join(prints.select(*keys, "node"), keys).where("doc_id = node").groupBy("node").agg(F.first("shingles").alias("shingles"))
     sets = materialise(sets, "shingle-sets")
-    both = open_.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    pairs = unsure.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
-    alike = both.withColumn("common", common).where(F.col("common") >= similarity * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b")
+    alike = pairs.withColumn("common", common).where(F.col("common") >= similarity * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b")
     edges = sure.union(materialise(alike, "similar-pairs"))
     alone = rows.join(near, F.col("doc_id") == F.col(id_), "left_anti").select("doc_id", "fp", F.col("doc_id").cast("long").alias("component_id"))
     return _grouped(marked, prints, keys, edges).union(alone)
