@@ -31,9 +31,10 @@ from pyspark.sql import functions as F
 from symloom.llm.common import text_or_empty
 
 #: Entries of each table of encoded pieces and fragments.
-TABLE = 400_000
+TABLE = 200_000
 WORD_END = "</w>"
-#: Fragments of more bytes are merged one by one.
+#: Fragments of more bytes (rare: no two of their neighbouring bytes may be cut) are merged one by one, by the
+#: library's model, all others side by side: the ids are the same, and tests cross the limit in both directions.
 LONG = 32
 NONE = np.iinfo(np.int32).max
 SLOT_BITS = 20

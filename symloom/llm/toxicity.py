@@ -33,7 +33,7 @@ EPOCHS = 5
 ALPHA, BETA, L1, L2 = 3.0, 1.0, 3.0, 0.01
 TOXIC = 0.7
 #: Words kept with their hash in a Python worker.
-TABLE = 300_000
+TABLE = 150_000
 #: Words of a text whose features are made at a time when scoring.
 SPAN = 1 << 16
 
