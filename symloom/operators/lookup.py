@@ -13,6 +13,8 @@ from pyspark.sql.window import Window
 from symloom.functions.text import like_any_case
 from symloom.schema import SYMBOL_KINDS, ValidationError
 
+#: Kinds of a class's members that are shown in a summary.
+MEMBER_KINDS = ("method", "constructor", "getter", "setter")
 SHOWN = ("name", "kind", "file_path", "line", "signature", "modifiers")
 
 
@@ -106,15 +108,46 @@ def outgoing(symbols: DataFrame, references: DataFrame, kind: str | None = None)
     return edges.join(source, "source_symbol_id").join(target, "target_symbol_id").select("source_symbol_id", "source_name", "target_symbol_id", "target_name", "target_file", "ref_kind", "source_line", "confidence")
 
 
-def write_targets(symbols: DataFrame, references: DataFrame, symbol_name: str, limit: int = 10) -> DataFrame:
-    """Where a change of a symbol must be made, ranked: declaration 100, caller 80, implementor 75, subclass 70."""
+def file_by_path(files: DataFrame, path: str) -> DataFrame:
+    return files.where(F.col("path") == path)
+
+
+def counts(**tables: DataFrame) -> DataFrame:
+    """(name, count) of each table."""
+    out = None
+    for name, df in tables.items():
+        one = df.agg(F.count(F.lit(1)).alias("count")).select(F.lit(name).alias("name"), "count")
+        out = one if out is None else out.union(one)
+    return out
+
+
+def class_members(symbols: DataFrame) -> DataFrame:
+    """file_path, class_name, class_line, members: every class with the sorted names of what can be called on it."""
+    own = symbols.where(F.col("kind").isin(*MEMBER_KINDS) & F.col("parent_id").isNotNull()).groupBy(F.col("parent_id").alias("id")).agg(F.sort_array(F.collect_list("name")).alias("members"))
+    classes = symbols.where(F.col("kind") == "class").select("id", "file_path", F.col("name").alias("class_name"), F.col("line").alias("class_line"))
+    return classes.join(own, "id", "left").select("file_path", "class_name", "class_line", F.coalesce("members", F.array().cast("array<string>")).alias("members"))
+
+
+def collated(df: DataFrame, column: str) -> DataFrame:
+    """Rows in the order that people expect of names: accents and case matter last."""
+    return df.orderBy(F.collate(F.col(column), "UNICODE"), column)
+
+
+def write_targets(symbols: DataFrame, references: DataFrame, symbol_name: str, limit: int = 10, class_name: str | None = None) -> DataFrame:
+    """Where a change of a symbol must be made, ranked: declaration 100, caller 80, implementor 75, subclass 70.
+
+    With ``class_name`` only members of classes of that name are meant.
+    """
     if not 1 <= limit <= 25:
         raise ValidationError("limit is from 1 to 25")
     own = symbols.where(F.col("name") == symbol_name)
+    if class_name is not None:
+        own = own.join(symbols.where((F.col("kind") == "class") & (F.col("name") == class_name)).select(F.col("id").alias("parent_id")), "parent_id", "left_semi")
     shown = lambda reason, score: (F.lit(reason).alias("reason"), F.lit(score).alias("score"))
     declared = own.select("file_path", "line", F.col("name").alias("symbol"), "kind", *shown("declaration", 100))
     names = own.select(F.col("name").alias("symbol_name")).distinct()
-    called = callers(symbols, references, names).select(F.col("caller_file").alias("file_path"), "line", F.col("caller_name").alias("symbol"), F.when(F.col("caller_class").isNotNull(), "method").otherwise("function").alias("kind"), *shown("caller", 80))
+    calls = references if class_name is None else references.join(own.select(F.col("id").alias("target_symbol_id")), "target_symbol_id", "left_semi")
+    called = callers(symbols, calls, names).select(F.col("caller_file").alias("file_path"), "line", F.col("caller_name").alias("symbol"), F.when(F.col("caller_class").isNotNull(), "method").otherwise("function").alias("kind"), *shown("caller", 80))
     faces = own.where(F.col("kind") == "interface").select(F.col("id").alias("target_symbol_id"))
     bases = own.where(F.col("kind") == "class").select(F.col("id").alias("target_symbol_id"))
     source = symbols.select(F.col("id").alias("source_symbol_id"), "file_path", "line", "name")
@@ -124,8 +157,3 @@ def write_targets(symbols: DataFrame, references: DataFrame, symbol_name: str, l
     rows = declared.unionByName(called).unionByName(implemented).unionByName(extended)
     return rows.groupBy("reason", "file_path", "line", "symbol").agg(F.max("score").alias("score"), F.min("kind").alias("kind")).orderBy(F.desc("score"), "file_path", "line", "symbol").limit(limit)
 
-
-def first_per(df: DataFrame, keys: list[str], order: list, descending: bool = False) -> DataFrame:
-    """One whole row per key: the first, or last, in ``order``."""
-    ordered = [F.desc(c) for c in order] if descending else order
-    return df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*ordered))).where("__n = 1").drop("__n")

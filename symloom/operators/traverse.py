@@ -1,6 +1,6 @@
 """Bounded traversal of the call graph, one level per step, each step a join.
 
-A level is written to the session's checkpoint folder when there is one, so that its lineage is short.
+The edges and each level are written to the shared folder: a level reads them instead of making them anew.
 """
 
 from __future__ import annotations
@@ -8,44 +8,79 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from symloom.schema import ValidationError
+from symloom.shared import written
 
-def _cut(df: DataFrame) -> DataFrame:
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
+MAX_DEPTH = 4
 
 
 def reachable(references: DataFrame, seeds: DataFrame, depth: int, kind: str = "calls") -> DataFrame:
     """(id, depth): nodes that the seeds (column ``id``) reach, with the smallest number of steps."""
-    steps = references.where(F.col("ref_kind") == kind).select(F.col("source_symbol_id").alias("id"), F.col("target_symbol_id").alias("next")).distinct()
-    seen = _cut(seeds.select("id").distinct().withColumn("depth", F.lit(0)))
+    steps = written(references.where(F.col("ref_kind") == kind).select(F.col("source_symbol_id").alias("id"), F.col("target_symbol_id").alias("next")).distinct(), "steps")
+    front = written(seeds.select("id").distinct().withColumn("depth", F.lit(0)), "front")
+    seen = front
     for level in range(1, depth + 1):
-        front = seen.where(F.col("depth") == level - 1).select("id")
-        new = steps.join(front, "id", "left_semi").select(F.col("next").alias("id")).distinct().join(seen, "id", "left_anti")
-        seen = _cut(seen.union(new.withColumn("depth", F.lit(level))))
+        new = steps.join(front.select("id"), "id", "left_semi").select(F.col("next").alias("id")).distinct().join(seen.select("id"), "id", "left_anti")
+        front = written(new.withColumn("depth", F.lit(level)), "front")
+        seen = seen.union(front)
     return seen
 
 
+def clamped(max_depth: int) -> tuple[int, list[str]]:
+    """The depth that is used, and what the caller is told about it."""
+    return max(1, min(max_depth, MAX_DEPTH)), [f"max_depth capped at {MAX_DEPTH} (requested {max_depth})"] if max_depth > MAX_DEPTH else []
+
+
+def symbol_seeds(symbols: DataFrame, name: str, class_name: str | None = None) -> DataFrame:
+    """(seed, name, file_path) of the symbols of a name, those of one class only if given."""
+    own = symbols.where(F.col("name") == name)
+    if class_name is not None:
+        own = own.join(symbols.where((F.col("kind") == "class") & (F.col("name") == class_name)).select(F.col("id").alias("parent_id")), "parent_id", "left_semi")
+    return own.select(F.col("id").alias("seed"), "name", "file_path")
+
+
+def file_seeds(symbols: DataFrame, file_path: str) -> DataFrame:
+    """(seed, name, file_path) of a file's top functions and classes; of none, the file's own name stands for it."""
+    own = symbols.where((F.col("file_path") == file_path) & F.col("parent_id").isNull() & F.col("kind").isin("function", "class")).select(F.col("id").alias("seed"), "name", "file_path")
+    spark = symbols.sparkSession
+    stand_in = spark.range(1).select(F.lit(0).cast("long").alias("seed"), F.lit(file_path.replace("\\", "/").rpartition("/")[2]).alias("name"), F.lit(file_path).alias("file_path"))
+    none = own.limit(1).agg(F.count(F.lit(1)).alias("n")).where("n = 0")
+    return own.union(stand_in.join(F.broadcast(none), F.lit(True)).select("seed", "name", "file_path"))  # one row at most
+
+
+def seeds_of(symbols: DataFrame, symbol_name: str | None = None, file_path: str | None = None, class_name: str | None = None) -> DataFrame:
+    if (symbol_name is None) == (file_path is None):
+        raise ValidationError("exactly one of symbol_name and file_path is asked for")
+    return symbol_seeds(symbols, symbol_name, class_name) if file_path is None else file_seeds(symbols, file_path)
+
+
 def explain_flow(symbols: DataFrame, references: DataFrame, seeds: DataFrame, max_depth: int = 3, paths: int = 3) -> DataFrame:
-    """(path_rank, hops, path): the first ``paths`` call flows from the seeds (column ``id``), breadth first.
+    """(path_rank, hops, path): the first ``paths`` call flows from the seeds (seed, name, file_path), breadth first.
 
-    max_depth counts the nodes of a path and is kept between 1 and 4. A node is visited once; a node whose targets
-    were all visited before gives no path, unless nothing else does.
+    A seed goes on from the first symbol of its name, in its own file if there is one. max_depth counts the nodes of a
+    path and is kept between 1 and 4. A node is visited once; a node whose targets were all visited before gives no
+    path, unless nothing else does. A seed that no symbol has the name of is a path by itself.
     """
-    depth = max(1, min(max_depth, 4))
+    depth, _ = clamped(max_depth)
     node = symbols.select("id", "name")
     edges = references.where(F.col("ref_kind") == "calls").groupBy(F.col("source_symbol_id").alias("id"), F.col("target_symbol_id").alias("next")).agg(F.min("source_line").alias("line"))
-    front = seeds.join(node, "id").select("id", F.array(F.col("id")).alias("seed"), F.array("name").alias("names"), F.array(F.struct(F.lit(0).alias("line"), F.col("id").alias("id"))).alias("key"))
-    front = _cut(front)
-    visited = front.select(F.col("seed"), "id")
-    done = None
-    for level in range(1, depth):
-        step = front.join(edges, "id").select("seed", "id", "names", F.concat("key", F.array(F.struct("line", F.col("next").alias("id")))).alias("key"), "next")
-        leaf = front.join(edges.select("id").distinct(), "id", "left_anti").select("seed", "names", "key")
+    edges = written(edges, "calls") if depth > 1 else edges
+    named = seeds.join(symbols.select("name", "id", F.col("file_path").alias("own_file")), "name", "left")
+    base = named.groupBy("seed", "name").agg(F.min(F.struct((F.col("own_file") != F.col("file_path")).alias("elsewhere"), "id")).alias("x"))
+    front = base.select("seed", F.col("x.id").alias("id"), F.array("name").alias("names"), F.array(F.struct(F.lit(0).alias("line"), F.coalesce("x.id", F.lit(0).cast("long")).alias("id"))).alias("key"))
+    front = written(front, "flow")
+    start, visited, done = front.select("seed", "names", "key"), front.select("seed", "id"), None
+    for _ in range(1, depth):
+        step = front.join(edges, "id").select("seed", "names", F.concat("key", F.array(F.struct("line", F.col("next").alias("id")))).alias("key"), "next")
+        leaf = front.join(edges.select("id"), "id", "left_anti").select("seed", "names", "key")
         done = leaf if done is None else done.union(leaf)
         best = step.groupBy("seed", "next").agg(F.min(F.struct("key", "names")).alias("x")).select("seed", F.col("next").alias("id"), "x.key", "x.names")
         best = best.join(visited, ["seed", "id"], "left_anti").join(node, "id")
-        front = _cut(best.select("id", "seed", F.concat("names", F.array("name")).alias("names"), "key"))
+        front = written(best.select("seed", "id", F.concat("names", F.array("name")).alias("names"), "key"), "flow")
         visited = visited.union(front.select("seed", "id"))
     last = front.select("seed", "names", "key")
     done = last if done is None else done.union(last)
-    top = done.withColumn("hops", F.size("names")).orderBy("seed", "hops", "key").limit(paths).select(F.array_join("names", " -> ").alias("path"), "hops", "key", "seed")
-    return top.select("hops", "path")
+    done = done.union(start.join(done.select("seed"), "seed", "left_anti").select("seed", "names", "key"))
+    top = done.withColumn("hops", F.size("names")).orderBy("seed", "hops", "key").limit(paths)
+    ranked = top.groupBy().agg(F.sort_array(F.collect_list(F.struct("seed", "hops", "key", "names"))).alias("x"))  # ``paths`` rows
+    return ranked.select(F.posexplode("x").alias("at", "p")).select((F.col("at") + 1).alias("path_rank"), F.col("p.hops").alias("hops"), F.array_join("p.names", " -> ").alias("path"))

@@ -77,6 +77,24 @@ def named_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("c_name").alias("source_name"), F.concat(F.lit("/proj/region_"), "n_regionkey", F.lit(".ts")).alias("source_file"), F.col("n_name").alias("source_parent_name"), F.col("p_name").alias("target_name"), F.when(odd, F.concat(F.lit("/proj/"), "p_brand", F.lit(".ts"))).alias("target_file"), F.lit(None).cast("string").alias("target_parent_name"), F.lit("calls").alias("ref_kind"), F.col("l_linenumber").alias("source_line"), F.lit("direct").alias("confidence"))
 
 
+def mixed_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References of every form, from the calls of parts to suppliers and of customers to parts, by the line's number.
+
+    0: a file to a name in a file; 1: a name to a name anywhere; 2: a name to a member of a class of a file;
+    3: a member that does not exist; 4: a name in a file of several to a name anywhere.
+    """
+    t = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("nation", "supplier", "part", "lineitem")}
+    rows = t["lineitem"].join(t["part"], F.col("l_partkey") == F.col("p_partkey")).join(t["supplier"], F.col("l_suppkey") == F.col("s_suppkey")).join(t["nation"], F.col("s_nationkey") == F.col("n_nationkey"))
+    form, none = F.col("l_linenumber") % 5, F.lit(None).cast("string")
+    file_, region = F.concat(F.lit("/proj/"), "p_brand", F.lit(".ts")), F.concat(F.lit("/proj/region_"), "n_regionkey", F.lit(".ts"))
+    supply = F.concat(F.lit("supply_"), F.col("s_suppkey") % 10)
+    return rows.select(
+        F.when(form == 0, "<file>").otherwise(F.col("p_name")).alias("source_name"), file_.alias("source_file"), F.when(form == 3, "Nothing").otherwise(none).alias("source_parent_name"),
+        F.when(form.isin(0, 1), F.col("n_name")).otherwise(supply).alias("target_name"), F.when(form.isin(0, 2), region).otherwise(none).alias("target_file"), F.when(form == 2, F.col("n_name")).otherwise(none).alias("target_parent_name"),
+        F.lit("calls").alias("ref_kind"), F.col("l_linenumber").alias("source_line"), F.lit("direct").alias("confidence"),
+    )
+
+
 SYMBOLS_SQL = """
 symbols AS (
   SELECT (1000000000 + r_regionkey)::BIGINT AS id, r_name AS name, 'interface' AS kind, '/proj/region.ts' AS file_path, (r_regionkey + 1)::INT AS line, NULL::BIGINT AS parent_id, 'export' AS modifiers FROM region
@@ -120,6 +138,26 @@ resolved AS (
   LEFT JOIN in_file f ON f.file_path = n.target_file AND f.name = n.target_name LEFT JOIN anywhere a ON a.name = n.target_name)
 """
 
+MIXED_SQL = """
+mixed AS (
+  SELECT CASE WHEN form = 0 THEN '<file>' ELSE p_name END AS source_name, '/proj/' || p_brand || '.ts' AS source_file, CASE WHEN form = 3 THEN 'Nothing' END AS source_parent_name,
+    CASE WHEN form IN (0, 1) THEN n_name ELSE 'supply_' || (s_suppkey % 10) END AS target_name, CASE WHEN form IN (0, 2) THEN '/proj/region_' || n_regionkey || '.ts' END AS target_file, CASE WHEN form = 2 THEN n_name END AS target_parent_name, l_linenumber::INT AS source_line
+  FROM (SELECT *, l_linenumber % 5 AS form FROM lineitem) JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey)
+"""
+
+RULES_SQL = """
+in_class AS (SELECT m.file_path, c.name AS parent_name, m.name, min(m.id) AS hit FROM symbols m JOIN symbols c ON m.parent_id = c.id AND c.kind = 'class' GROUP BY ALL),
+in_file AS (SELECT file_path, name, min(id) AS hit, count(*) AS n FROM symbols GROUP BY ALL),
+anywhere AS (SELECT name, min(id) AS hit, count(*) AS n FROM symbols GROUP BY ALL),
+top AS (SELECT file_path, min(id) AS hit FROM symbols GROUP BY file_path),
+rules AS (
+  SELECT CASE WHEN source_name = '<file>' THEN t.hit WHEN source_parent_name IS NOT NULL THEN c.hit ELSE s.hit END AS source_symbol_id,
+    CASE WHEN target_file IS NOT NULL AND target_parent_name IS NOT NULL THEN d.hit WHEN target_file IS NOT NULL THEN CASE WHEN f.n = 1 THEN f.hit END WHEN a.n = 1 THEN a.hit END AS target_symbol_id, 'calls' AS ref_kind, source_line, 'direct' AS confidence
+  FROM mixed m LEFT JOIN top t ON t.file_path = m.source_file LEFT JOIN in_class c ON c.file_path = m.source_file AND c.parent_name = m.source_parent_name AND c.name = m.source_name
+  LEFT JOIN in_file s ON s.file_path = m.source_file AND s.name = m.source_name LEFT JOIN in_class d ON d.file_path = m.target_file AND d.parent_name = m.target_parent_name AND d.name = m.target_name
+  LEFT JOIN in_file f ON f.file_path = m.target_file AND f.name = m.target_name LEFT JOIN anywhere a ON a.name = m.target_name)
+"""
+
 
 def with_graph(body: str, *more: str) -> str:
     return "WITH RECURSIVE " + ",".join((SYMBOLS_SQL, REFERENCES_SQL, *more)) + body

@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symloom.functions.text import hrefs, last_segment, signature_line
+from symloom.functions.text import ROUTE_METHODS, calls_own, decorator_name, hrefs, last_segment, resource_name, route_method, route_segments, shown_value, signature_line, unquoted
 from symloom.operators import lookup, maintain, resolve, traverse
-from symloom.plans.graph import IMPORTS_SQL, NAMED_SQL, RESOLVED_SQL, load, named_refs, with_graph
+from symloom.plans.graph import IMPORTS_SQL, MIXED_SQL, NAMED_SQL, RESOLVED_SQL, RULES_SQL, load, mixed_refs, named_refs, with_graph
 from symloom.schema import validate
+from symloom.sources import projects
 from symloom.streaming import feed
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,9 +66,9 @@ def get_file_symbols(spark, sf_dir):
     return lookup.get_file_symbols(load(spark, sf_dir).symbols, "/proj/region_1.ts", "method")
 
 
-@query(with_graph("SELECT c.id, c.name, c.kind, c.file_path, c.line, NULL::VARCHAR AS signature, c.modifiers FROM symbols c JOIN symbols p ON c.parent_id = p.id AND p.kind = 'class' WHERE c.name = 'supply_3' AND p.name = 'NATION_3'"))
+@query(with_graph("SELECT c.id, c.name, c.kind, c.file_path, c.line, NULL::VARCHAR AS signature, c.modifiers FROM symbols c JOIN symbols p ON c.parent_id = p.id AND p.kind = 'class' WHERE c.name = 'supply_3' AND p.name = 'NATION_14'"))
 def symbols_by_name_and_class(spark, sf_dir):
-    return lookup.by_name_and_class(load(spark, sf_dir).symbols, "supply_3", "NATION_3")
+    return lookup.by_name_and_class(load(spark, sf_dir).symbols, "supply_3", "NATION_14")
 
 
 CALLERS_SQL = """
@@ -85,10 +86,10 @@ def get_callers(spark, sf_dir):
     return lookup.callers(g.symbols, g.references, g.symbols.where("name = 'small ring'").select(F.col("name").alias("symbol_name")))
 
 
-@query(with_graph(CALLERS_SQL.format(where="t.name = 'supply_3' AND t.kind = 'method' AND t.parent_id IN (SELECT id FROM symbols WHERE kind = 'class' AND name = 'NATION_3')")))
+@query(with_graph(CALLERS_SQL.format(where="t.name = 'supply_3' AND t.kind = 'method' AND t.parent_id IN (SELECT id FROM symbols WHERE kind = 'class' AND name = 'NATION_14')")))
 def get_callers_class(spark, sf_dir):
     g = load(spark, sf_dir)
-    return lookup.callers(g.symbols, g.references, g.symbols.where("name = 'supply_3'").select(F.col("name").alias("symbol_name")), "NATION_3")
+    return lookup.callers(g.symbols, g.references, g.symbols.where("name = 'supply_3'").select(F.col("name").alias("symbol_name")), "NATION_14")
 
 
 @query(with_graph(CALLERS_SQL.format(where="true")))
@@ -211,16 +212,71 @@ def find_write_targets(spark, sf_dir):
     return lookup.write_targets(g.symbols, g.references, "NATION_1")
 
 
-@query()
+TARGETS_SQL = """
+, own AS (SELECT * FROM symbols WHERE {own}),
+found AS (
+  SELECT 'declaration' AS reason, file_path, line, name AS symbol, 100 AS score, kind FROM own
+  UNION ALL SELECT 'caller', s.file_path, s.line, s.name, 80, CASE WHEN p.id IS NULL THEN 'function' ELSE 'method' END FROM refs JOIN own ON own.id = target_symbol_id JOIN symbols s ON s.id = source_symbol_id LEFT JOIN symbols p ON p.id = s.parent_id AND p.kind = 'class' WHERE ref_kind = 'calls'
+  UNION ALL SELECT 'implementor', s.file_path, 0, s.name, 75, 'class' FROM refs JOIN own ON own.id = target_symbol_id AND own.kind = 'interface' JOIN symbols s ON s.id = source_symbol_id WHERE ref_kind = 'implements'
+  UNION ALL SELECT 'subclass', s.file_path, s.line, s.name, 70, 'class' FROM refs JOIN own ON own.id = target_symbol_id AND own.kind = 'class' JOIN symbols s ON s.id = source_symbol_id WHERE ref_kind = 'extends')
+SELECT reason, file_path, line, symbol, max(score) AS score, min(kind) AS kind FROM found GROUP BY reason, file_path, line, symbol ORDER BY score DESC, file_path, line, symbol LIMIT 25"""
+
+
+def targets_sql(own: str) -> str:
+    return with_graph(TARGETS_SQL.replace("{own}", own))
+
+
+@query(targets_sql("name = 'supply_3'"))
+def find_write_targets_callers(spark, sf_dir):
+    g = load(spark, sf_dir)
+    return lookup.write_targets(g.symbols, g.references, "supply_3", 25)
+
+
+@query(targets_sql("name = 'supply_3' AND parent_id IN (SELECT id FROM symbols WHERE kind = 'class' AND name = 'NATION_14')"))
+def find_write_targets_member(spark, sf_dir):
+    g = load(spark, sf_dir)
+    return lookup.write_targets(g.symbols, g.references, "supply_3", 25, "NATION_14")
+
+
+@query(targets_sql("name = 'ASIA'"))
+def find_write_targets_interface(spark, sf_dir):
+    g = load(spark, sf_dir)
+    return lookup.write_targets(g.symbols, g.references, "ASIA", 25)
+
+
+FLOW_SQL = """
+, calls AS (SELECT source_symbol_id AS a, target_symbol_id AS b, min(source_line) AS line FROM refs WHERE ref_kind = 'calls' GROUP BY ALL),
+e AS (SELECT a, b, printf('%08d/%012d ', calls.line, b) AS step, name FROM calls JOIN symbols ON id = b),
+f0 AS (SELECT id AS seed, id, name AS path, '' AS ord FROM symbols WHERE {seeds}),
+f1 AS (SELECT seed, b AS id, arg_min(path || ' -> ' || e.name, ord || step) AS path, min(ord || step) AS ord FROM f0 JOIN e ON a = id WHERE b <> seed GROUP BY seed, b),
+f2 AS (SELECT f1.seed, b AS id, arg_min(f1.path || ' -> ' || e.name, f1.ord || step) AS path, min(f1.ord || step) AS ord FROM f1 JOIN e ON a = f1.id
+  LEFT JOIN f1 v ON v.seed = f1.seed AND v.id = b WHERE b <> f1.seed AND v.id IS NULL GROUP BY f1.seed, b),
+done AS (SELECT seed, 3 AS hops, path, ord FROM f2 UNION ALL SELECT seed, 2, path, ord FROM f1 WHERE id NOT IN (SELECT a FROM e) UNION ALL SELECT seed, 1, path, ord FROM f0 WHERE id NOT IN (SELECT a FROM e)),
+every AS (SELECT * FROM done UNION ALL SELECT seed, 1, path, ord FROM f0 WHERE seed NOT IN (SELECT seed FROM done))
+SELECT row_number() OVER (ORDER BY seed, hops, ord)::INT AS path_rank, hops, path FROM every ORDER BY path_rank LIMIT 3"""
+
+
+def flow_sql(seeds: str) -> str:
+    return with_graph(FLOW_SQL.replace("{seeds}", seeds))
+
+
+@query(flow_sql("name = 'Customer#000000001'"))
 def explain_flow_symbol(spark, sf_dir):
     g = load(spark, sf_dir)
-    return traverse.explain_flow(g.symbols, g.references, g.symbols.where("name = 'Customer#000000001'").select("id"))
+    return traverse.explain_flow(g.symbols, g.references, traverse.seeds_of(g.symbols, symbol_name="Customer#000000001"))
+
+
+@query(flow_sql("name = 'supply_3' AND parent_id IN (SELECT id FROM symbols WHERE kind = 'class' AND name = 'NATION_14')"))
+def explain_flow_member(spark, sf_dir):
+    g = load(spark, sf_dir)
+    symbols = g.symbols.where("name <> 'supply_3' or parent_id in (2000000014)")  # a seed goes on from the first symbol of its name
+    return traverse.explain_flow(symbols, g.references, traverse.seeds_of(g.symbols, symbol_name="supply_3", class_name="NATION_14"))
 
 
-@query()
+@query(flow_sql("file_path = '/proj/region_2.ts' AND parent_id IS NULL AND kind IN ('function', 'class')"))
 def explain_flow_file(spark, sf_dir):
     g = load(spark, sf_dir)
-    return traverse.explain_flow(g.symbols, g.references, g.symbols.where("file_path = '/proj/Brand#2.ts' AND parent_id IS NULL AND kind IN ('function', 'class')").select("id"))
+    return traverse.explain_flow(g.symbols, g.references, traverse.seeds_of(g.symbols, file_path="/proj/region_2.ts"))
 
 
 @query(with_graph("SELECT id, min(depth) AS depth FROM walk GROUP BY id", "steps AS (SELECT DISTINCT source_symbol_id AS a, target_symbol_id AS b FROM refs WHERE ref_kind = 'calls')", "walk AS (SELECT id, 0 AS depth FROM symbols WHERE name = 'Customer#000000001' UNION SELECT b, depth + 1 FROM walk JOIN steps ON a = id WHERE depth < 4)"))
@@ -314,3 +370,156 @@ def last_segments(spark, sf_dir):
 def validate_graph(spark, sf_dir):
     g = load(spark, sf_dir)
     return validate(g.symbols, g.references)
+
+
+@query(with_graph("SELECT path, symbol_count FROM (SELECT file_path AS path, count(*)::BIGINT AS symbol_count FROM symbols GROUP BY file_path) WHERE path = '/proj/region_1.ts'"))
+def file_by_path(spark, sf_dir):
+    return lookup.file_by_path(load(spark, sf_dir).files, "/proj/region_1.ts").select("path", "symbol_count")
+
+
+@query(with_graph("SELECT 'symbols' AS name, count(*)::BIGINT AS count FROM symbols UNION ALL SELECT 'references', count(*) FROM refs UNION ALL SELECT 'files', count(DISTINCT file_path) FROM symbols"))
+def indexed_counts(spark, sf_dir):
+    g = load(spark, sf_dir)
+    return lookup.counts(symbols=g.symbols, references=g.references, files=g.symbols.select("file_path").distinct())
+
+
+@query(with_graph("SELECT c.file_path, c.name AS class_name, c.line AS class_line, coalesce(string_agg(m.name, ',' ORDER BY m.name), '') AS members FROM symbols c LEFT JOIN symbols m ON m.parent_id = c.id AND m.kind IN ('method', 'constructor', 'getter', 'setter') WHERE c.kind = 'class' GROUP BY c.id, c.file_path, c.name, c.line"))
+def class_members(spark, sf_dir):
+    return lookup.class_members(load(spark, sf_dir).symbols).withColumn("members", F.array_join("members", ","))
+
+
+@query(with_graph("SELECT * FROM refs UNION ALL SELECT * FROM refs WHERE ref_kind = 'extends'"))
+def insert_edges(spark, sf_dir):
+    edges = load(spark, sf_dir).references
+    return maintain.insert_edges(edges, edges.where("ref_kind = 'extends'"))
+
+
+@query(with_graph("SELECT * FROM refs WHERE source_symbol_id NOT IN (SELECT id FROM symbols WHERE file_path = '/proj/Brand#2.ts')"))
+def delete_file_references(spark, sf_dir):
+    g = load(spark, sf_dir)
+    kept = maintain.delete_file_references(g.symbols, g.references, spark.createDataFrame([("/proj/Brand#2.ts",)], "file_path string"))
+    return kept.select("source_symbol_id", "target_symbol_id", "ref_kind", "source_line", "confidence")
+
+
+@query(with_graph("SELECT * FROM file_imports WHERE source_file NOT IN (SELECT file_path FROM symbols WHERE name = 'NATION_3') AND target_file NOT IN (SELECT file_path FROM symbols WHERE name = 'NATION_3')", IMPORTS_SQL))
+def delete_file_imports(spark, sf_dir):
+    g = load(spark, sf_dir)
+    return maintain.delete_file_imports(g.file_imports, g.symbols.where("name = 'NATION_3'"))
+
+
+@query(with_graph("SELECT DISTINCT source_symbol_id, target_symbol_id, ref_kind, source_line, confidence FROM rules WHERE source_symbol_id IS NOT NULL AND target_symbol_id IS NOT NULL", MIXED_SQL, RULES_SQL))
+def resolve_named_refs_rules(spark, sf_dir):
+    """References by every rule for either end: whole files, members, names in a file, names anywhere."""
+    return resolve.resolve_named_refs(mixed_refs(spark, sf_dir), load(spark, sf_dir).symbols).distinct()
+
+
+REINDEX_SQL = """
+, now AS (SELECT id, CASE WHEN file_path = '/proj/Brand#2.ts' THEN name || ' two' ELSE name END AS name, kind, file_path, parent_id FROM symbols),
+in_class AS (SELECT m.file_path, c.name AS parent_name, m.name, min(m.id) AS hit FROM now m JOIN now c ON m.parent_id = c.id AND c.kind = 'class' GROUP BY ALL),
+in_file AS (SELECT file_path, name, min(id) AS hit FROM now GROUP BY ALL HAVING count(*) = 1),
+anywhere AS (SELECT name, min(id) AS hit FROM now GROUP BY ALL HAVING count(*) = 1)
+SELECT s.hit AS source_symbol_id, CASE WHEN n.target_file IS NOT NULL THEN f.hit ELSE a.hit END AS target_symbol_id, source_line FROM named n
+JOIN in_class s ON s.file_path = n.source_file AND s.parent_name = n.source_parent_name AND s.name = n.source_name
+LEFT JOIN in_file f ON f.file_path = n.target_file AND f.name = n.target_name LEFT JOIN anywhere a ON a.name = n.target_name
+WHERE n.source_file <> '/proj/region_2.ts' AND (CASE WHEN n.target_file IS NOT NULL THEN f.hit ELSE a.hit END) IS NOT NULL"""
+
+
+@query(with_graph(REINDEX_SQL, NAMED_SQL))
+def reindex(spark, sf_dir):
+    """Four files are read again: one as it was, one with other names, one without its references, one that fails."""
+    g, refs = load(spark, sf_dir), named_refs(spark, sf_dir)
+    stored = maintain.State(g.symbols, refs, g.files.select("path", "content_hash", "symbol_count"))
+    paths = ["/proj/region_1.ts", "/proj/Brand#2.ts", "/proj/region_2.ts", "/proj/region_3.ts"]
+    hashed = F.when(F.col("path").isin("/proj/Brand#2.ts", "/proj/region_2.ts"), F.sha2("content_hash", 256)).otherwise(F.col("content_hash"))
+    read_again = g.files.where(F.col("path").isin(*paths)).select("path", hashed.alias("content_hash"), "symbol_count", F.when(F.col("path") == "/proj/region_3.ts", "cannot be parsed").alias("error"))
+    fresh = g.symbols.where(F.col("file_path").isin(*paths))
+    fresh = fresh.withColumn("name", F.when(F.col("file_path") == "/proj/Brand#2.ts", F.concat("name", F.lit(" two"))).otherwise(F.col("name")))
+    return maintain.reindex(stored, read_again, fresh, refs.limit(0)).references.select("source_symbol_id", "target_symbol_id", "source_line")
+
+
+IMPORTED_SQL = """
+bought AS (SELECT '/proj/region_' || n_regionkey || '.ts' AS source_file, p_name AS name, '/proj/' || p_brand || '.ts' AS target_file, o_orderkey * 10 + l_linenumber AS position
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'R'),
+imported AS (SELECT source_file, name, arg_max(target_file, (position, target_file)) AS target_file FROM bought GROUP BY source_file, name)
+"""
+
+
+def imported_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a region's file imports: returned parts, in the order of the lines."""
+    t = {n: read(spark, sf_dir, n) for n in ("nation", "customer", "part", "orders", "lineitem")}
+    rows = t["lineitem"].where("l_returnflag = 'R'").join(t["orders"], F.col("l_orderkey") == F.col("o_orderkey")).join(t["customer"], F.col("o_custkey") == F.col("c_custkey")).join(t["nation"], F.col("c_nationkey") == F.col("n_nationkey")).join(t["part"], F.col("l_partkey") == F.col("p_partkey"))
+    return rows.select(F.concat(F.lit("/proj/region_"), "n_regionkey", F.lit(".ts")).alias("source_file"), F.col("p_name").alias("name"), F.concat(F.lit("/proj/"), "p_brand", F.lit(".ts")).alias("target_file"), (F.col("o_orderkey") * 10 + F.col("l_linenumber")).alias("position"))
+
+
+@query("WITH " + IMPORTED_SQL + "SELECT * FROM imported")
+def import_map(spark, sf_dir):
+    return projects.import_map(imported_parts(spark, sf_dir)).select("source_file", "name", "target_file")
+
+
+@query(with_graph("SELECT n.source_file, n.target_name, coalesce(i.target_file, d.file_path) AS target_file FROM (SELECT DISTINCT source_file, target_name FROM named UNION SELECT DISTINCT source_file, source_name FROM named) n LEFT JOIN imported i ON i.source_file = n.source_file AND i.name = n.target_name LEFT JOIN (SELECT DISTINCT file_path, name FROM symbols) d ON d.file_path = n.source_file AND d.name = n.target_name", NAMED_SQL, IMPORTED_SQL))
+def reference_target_files(spark, sf_dir):
+    """Where the names that a file uses come from: its imports, else the file itself."""
+    refs = named_refs(spark, sf_dir)
+    used = refs.select("source_file", "target_name").union(refs.select("source_file", "source_name")).distinct()
+    return projects.target_files(used, projects.import_map(imported_parts(spark, sf_dir)), load(spark, sf_dir).symbols)
+
+
+#: (turn, pattern, target) as a project's settings would give them.
+WILD_ALIASES = [(0, "/a*", "/none"), (1, "/de", "/proj/de"), (2, "/*", "/proj/*")]
+PAGE_FILES_SQL = """
+x AS (SELECT page_id, '/page/' || page_id AS path, unnest(list_distinct(regexp_extract_all(html, 'href="([^"]*)"', 1))) AS specifier FROM pages),
+files AS (SELECT DISTINCT '/proj' || specifier || CASE ascii(right(specifier, 1)) % 5 WHEN 0 THEN '.ts' WHEN 1 THEN '/index.ts' WHEN 2 THEN '.tsx' WHEN 3 THEN '/index.tsx' ELSE '' END AS path FROM x WHERE specifier LIKE '/%' AND length(specifier) % 3 > 0
+  UNION SELECT '/proj' || specifier || '/index.ts' FROM x WHERE specifier LIKE '/%' AND length(specifier) % 3 = 1)
+"""
+
+
+@query("WITH " + PAGE_FILES_SQL + """
+, tried AS (SELECT x.path, specifier, CASE WHEN specifier = '/de' THEN '/proj/de' ELSE '/proj' || specifier END AS base, unnest([0, 1, 2, 3, 4]) AS rank FROM x WHERE specifier LIKE '/_%' AND specifier NOT LIKE '%/./%'),
+full_path AS (SELECT path, specifier, rank, rtrim(base, '/') || ['.ts', '/index.ts', '.tsx', '/index.tsx', ''][rank + 1] AS target_file FROM tried)
+SELECT f.path AS source_file, specifier, arg_min(target_file, rank) AS target_file FROM full_path f JOIN files ON files.path = target_file GROUP BY f.path, specifier""")
+def resolve_aliased_imports(spark, sf_dir):
+    """Links of pages as imports through wildcard and exact aliases, against files that end in each of the suffixes."""
+    links = import_specifiers(spark, sf_dir).select(F.concat(F.lit("/page/"), "page_id").alias("path"), "specifier")
+    own = links.where("specifier like '/%'").select("specifier").distinct()
+    ending = F.element_at(F.array(*[F.lit(s) for s in (".ts", "/index.ts", ".tsx", "/index.tsx", "")]), (F.ascii(F.right("specifier", F.lit(1))) % 5 + 1).cast("int"))
+    files = own.where("length(specifier) % 3 > 0").select(F.concat(F.lit("/proj"), "specifier", ending).alias("path"))
+    files = files.union(own.where("length(specifier) % 3 = 1").select(F.concat(F.lit("/proj"), "specifier", F.lit("/index.ts")))).distinct()
+    aliases = spark.createDataFrame(WILD_ALIASES, "turn int, pattern string, target string")
+    return projects.resolve_imports(links, files, aliases, with_specifier=True)
+
+
+@query(r"SELECT page_id, regexp_extract_all(regexp_extract(url, '^https?://[^/]+(/[^?#]*)', 1), '[^/]+')[-1] AS last, len(regexp_extract_all(regexp_extract(url, '^https?://[^/]+(/[^?#]*)', 1), '[^/]+'))::INT AS n, false AS dynamic FROM pages WHERE regexp_matches(url, '^https?://[^/]+/[^?#]*[^/?#]')")
+def page_route_segments(spark, sf_dir):
+    route = F.regexp_extract("url", "^https?://[^/]+(/[^?#]*)", 1)
+    own = read(spark, sf_dir, "pages").where(F.col("url").rlike("^https?://[^/]+/[^?#]*[^/?#]")).select("page_id", route_segments(route).alias("s"))
+    return own.select("page_id", F.element_at("s", -1)["name"].alias("last"), F.size("s").alias("n"), F.exists("s", lambda x: x["dynamic"]).alias("dynamic"))
+
+
+@query(r"SELECT page_id, regexp_extract(url, '^https://(.+)$', 1) AS name FROM pages WHERE url LIKE 'https://_%'")
+def page_resource_names(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", resource_name(F.col("url"), "https").alias("name")).where("name is not null")
+
+
+METHODS_SQL = ", ".join(f"'{m}'" for m in (*ROUTE_METHODS, "listen"))
+
+
+@query(f"SELECT event_id, m AS method FROM (SELECT event_id, [{METHODS_SQL}][(event_id % 7 + 1)::INT] AS m FROM events) WHERE m <> 'listen'")
+def route_registrations(spark, sf_dir):
+    callee = F.concat("event_type", F.lit("."), F.element_at(F.array(*[F.lit(m) for m in (*ROUTE_METHODS, "listen")]), (F.col("event_id") % 7 + 1).cast("int")))
+    return read(spark, sf_dir, "events").select("event_id", route_method(callee).alias("method")).where("method is not null")
+
+
+@query("SELECT doc_id FROM documents WHERE contains(text, 'this.')")
+def own_calls(spark, sf_dir):
+    return read(spark, sf_dir, "documents").where(calls_own(F.col("text"))).select("doc_id")
+
+
+@query("SELECT event_id, to_json({'type': event_type, 'user': user_id})::VARCHAR AS shown FROM events")
+def shown_values(spark, sf_dir):
+    return read(spark, sf_dir, "events").select("event_id", shown_value(F.struct(F.col("event_type").alias("type"), F.col("user_id").alias("user"))).alias("shown"))
+
+
+@query("SELECT event_id, event_type AS decorator, replace(props, '\"', '') AS bare FROM events")
+def decorator_names(spark, sf_dir):
+    name = decorator_name(F.concat(F.lit("ns."), "event_type", F.lit("()")))
+    return read(spark, sf_dir, "events").select("event_id", name.alias("decorator"), unquoted(F.col("props")).alias("bare"))
