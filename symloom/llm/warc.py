@@ -6,20 +6,20 @@ in the file's tail, or the ZIP64 one when that record's fields are full, parses
 stored members through their local headers, range-reads the index and then range-reads records. Listing packages'
 indexes and reading records are two Spark stages, so a large package is read by many tasks.
 
-Files go to the session's shared folder through Arrow's file systems (local paths, hdfs, s3, gs), under a temporary
-name that is renamed when complete: a retried task replaces its own file.
+Files go to the session's shared folder through Arrow's file systems (local paths, hdfs, s3, gs). A package's name
+holds the attempt that wrote it, and the table of packages those of the attempts that Spark committed: what a lost or
+doubled attempt leaves behind is never read.
 
 Of records with equal payloads of at least ``MIN_BYTES``, the one with the smallest page_id is a response and others
 are revisits that name it.
 
 Defined cases: a null html is an empty payload; a null url is an empty target; a null page_id is written as ``-`` and
-comes last where the smallest id counts; of rows that share id and payload one is the response and others revisit it;
-an empty table gives an empty result; other columns may have any name.
+comes last where the smallest id counts; a payload that only rows without an id have is a response in each, since a
+revisit could name none; of rows that share id and payload one is the response and others revisit it; an empty table gives an empty result; other columns may have any name.
 """
 
 from __future__ import annotations
 
-import contextlib
 import gzip
 import hashlib
 import json
@@ -52,9 +52,8 @@ def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri else uri.removeprefix("file:") if uri.startswith("/") else uri.replace("file:/", "file:///", 1))
 
 
-def record(kind: str, page_id: str, url: str, digest: str, size: int, payload: bytes, refers_to: str | None) -> bytes:
+def record(ident: str, kind: str, page_id: str, url: str, digest: str, size: int, payload: bytes, refers_to: str | None) -> bytes:
     """One record, uncompressed. A revisit's block is empty; WARC-Payload-Length is an extension field."""
-    ident = uuid.uuid5(uuid.NAMESPACE_URL, f"{page_id} {digest}").urn
     head = [("WARC-Type", kind), ("WARC-Record-ID", f"<{ident}>"), ("WARC-Date", DATE), ("WARC-Target-URI", url.replace("\r", "").replace("\n", "")), ("WARC-Page-ID", page_id), ("WARC-Payload-Digest", f"sha256:{digest}"), ("WARC-Payload-Length", str(size))]
     if kind == "revisit":
         head += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To-Page-ID", refers_to)]
@@ -170,8 +169,8 @@ def locate(f, members: list[tuple[str, int, int, int]], name: str) -> tuple[int,
 
 def classify(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, body, digest, size, record_type, refers_to of every row."""
-    body = F.encode(text_or_empty(html_col), "UTF-8")
-    rows = pages.select(F.col(id_col).alias("page_id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), body.alias("body"))
+    body = F.encode(text_or_empty(F.col(f"`{html_col}`")), "UTF-8")
+    rows = pages.select(F.col(f"`{id_col}`").alias("page_id"), F.coalesce(F.col(f"`{url_col}`").cast("string"), F.lit("")).alias("url"), body.alias("body"))
     rows = rows.select("*", F.sha2("body", 256).alias("digest"), F.octet_length("body").cast("long").alias("size"))
     long_ones = rows.where(F.col("size") >= MIN_BYTES).groupBy("digest").agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "url")).alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
     firsts = materialise(long_ones.select("digest", F.col("first.page_id").alias("first_id")), "first-payloads")
@@ -197,7 +196,8 @@ def write_packages(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        part, n_package, writer = TaskContext.get().partitionId(), 0, None
+        task, n_package, writer = TaskContext.get(), 0, None
+        part = f"{task.partitionId():06d}-{task.taskAttemptId()}"
         fs, base = open_fs(folder)
         fs.create_dir(base, recursive=True)
 
@@ -208,20 +208,17 @@ def write_packages(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
             writer.end()
             writer.close()
             sink.close()
-            with contextlib.suppress(FileNotFoundError):
-                fs.delete_file(name)
-            fs.move(temporary, name)
             return pd.DataFrame({"package": [f"{folder}/{name.rpartition('/')[2]}"], "size": [writer.at], "records": [len(lines)]})
 
         for pdf in batches:
             for page_id, url, body, digest, size, kind, refers in pdf.itertuples(index=False, name=None):
                 if writer is None:
-                    name = f"{base}/part-{part:06d}-{n_package:04d}.zip"
-                    temporary, lines = f"{base}/.{uuid.uuid4().hex}.tmp", []
-                    sink = fs.open_output_stream(temporary)
+                    name, lines = f"{base}/part-{part}-{n_package:04d}.zip", []
+                    sink = fs.open_output_stream(name)
                     writer = PackageWriter(sink, always64)
                     writer.begin(DATA)
-                raw = gzip.compress(record(kind, page_id or "-", url, digest, size, body or b"", refers), 1, mtime=0)
+                ident = uuid.uuid5(uuid.NAMESPACE_URL, f"{name} {len(lines)}").urn
+                raw = gzip.compress(record(ident, kind, "-" if page_id is None else page_id, url, digest, size, body or b"", refers), 1, mtime=0)
                 lines.append({"page": page_id, "offset": writer.write(raw), "length": len(raw)})
                 if len(lines) >= PACKAGE_ROWS:
                     yield finish()

@@ -97,6 +97,12 @@ def test_warc(spark, tmp_path):
     assert out[1]["record_type"] == out[3]["record_type"] == "response" and out[4]["payload_bytes"] == 0
     assert out[9]["payload_digest"] == hashlib.sha256(body.encode()).hexdigest() and out[9]["payload_bytes"] == len(body)
     assert warc.archive_round_trip(df.limit(0)).count() == 0
+    long = body * 30_000  # some MB in one record
+    odd = spark.createDataFrame([(None, "a", body), (None, "b", body), (7, "a", long), (7, "b", long), (8, "a", long), (9, "c", "x" * 99), (10, "c", "x" * 99)], "page_id long, url string, html string").selectExpr("*", "url as digest", "1 as size", "'y' as record_type", "0 as copies", "true as turn", "'q' as first_id")
+    got = sorted(((r["page_id"] or 0, r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.archive_round_trip(odd).collect()), key=str)
+    assert got == sorted([(0, 123, "response", None)] * 2 + [(7, len(long), "response", None), (7, len(long), "revisit", 7), (8, len(long), "revisit", 7), (9, 99, "response", None), (10, 99, "response", None)], key=str)
+    text_ids = spark.createDataFrame([("", "a", "1"), ("-", "a", "2"), (None, "a", "3")], "page_id string, url string, html string")
+    assert sorted(str(r["page_id"]) for r in warc.archive_round_trip(text_ids).collect()) == ["", "-", "None"]
     made = warc.write_packages(df.where("page_id < 5"), f"file://{tmp_path}/z", always64=True)
     for r in made.collect():  # other readers agree
         with zipfile.ZipFile(r["package"].removeprefix("file://")) as z:
