@@ -1,6 +1,6 @@
 """Uniform shuffle into shards of exact size through a hypergeometric communication matrix.
 
-Rows lie in blocks (by a hash of the id) and are to go to cells; a shard is a run of cells. How many rows of block b
+Rows lie in blocks (by a hash of all their columns) and are to go to cells; a shard is a run of cells. How many rows of block b
 go to cell c in a uniform shuffle follows a multivariate hypergeometric law with fixed row and column sums. The
 matrix is never held whole: it is split like a tree. The cells' capacities of a range of blocks divide between its
 two halves by a hypergeometric draw that is seeded by the range, so a task walks from the root to its own block and
@@ -13,7 +13,8 @@ Only the number of rows per fine block (FINE at most) goes to the driver. A bloc
 rows until there are FINE of them; rows stream through a block's task, and only its labels (4 bytes a row) are held.
 
 Rows are ordered in a block by a hash of all their columns, so a retried task deals alike; rows that tie are equal in
-every column. Defined cases: null ids and null texts are values like others; an empty table gives an empty result;
+every column. Very many equal rows are split over blocks by their place in the table, which is a written one: reruns
+over the same files agree. Defined cases: null ids and null texts are values like others; an empty table gives an empty result;
 other columns may have any name.
 """
 
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from symloom.llm.common import materialise, text_or_empty
+from symloom.llm.common import free_names, materialise, text_or_empty
 
 FINE = 4096
 PER_TASK = 20_000
@@ -87,25 +88,41 @@ def even(total: int, parts: int) -> np.ndarray:
     return np.array([total // parts + (i < total % parts) for i in range(parts)], dtype=np.int64)
 
 
-def shuffle_into_shards(df: DataFrame, id_col: str, n_shards: int = 16, seed: int = 11, per_task: int = PER_TASK) -> DataFrame:
-    """``df`` with ``shard`` and ``slot``: a uniform random assignment with shard sizes at most one apart."""
+def shuffle_into_shards(df: DataFrame, n_shards: int = 16, seed: int = 11, per_task: int = PER_TASK) -> DataFrame:
+    """``df``, a written table, with ``shard`` and ``slot``: a uniform random assignment with shard sizes at most one apart."""
     names = [f"`{c}`" for c in df.columns]
-    fine = F.pmod(F.xxhash64(F.lit(seed), F.col(f"`{id_col}`")), F.lit(FINE)).cast("int")
+    at_, block_, order_, cell_ = free_names(df, "at", "block", "order", "cell")
+    fine = F.pmod(F.xxhash64(F.lit(seed), *names), F.lit(FINE)).cast("int")
     counted = np.zeros(FINE, dtype=np.int64)
     for r in df.groupBy(fine.alias("b")).count().collect():  # FINE rows at most
         counted[r["b"]] = r["count"]
     total = int(counted.sum())
-    n_blocks = max(1, min(FINE, -(-total // per_task)))
+    n_even = max(1, min(FINE, -(-total // per_task)))
+    owner = np.arange(FINE) * n_even // FINE
+    # Fine blocks of very many rows, which are mostly equal, are dealt to blocks of their own by the rows' places.
+    large = {b: -(-int(counted[b]) // per_task) for b in np.flatnonzero(counted > 2 * max(per_task, total / FINE)).tolist()}
+    first, n_blocks = {}, n_even
+    for b, n in large.items():
+        first[b], n_blocks = n_blocks, n_blocks + n
+    placed = df.withColumn(at_, F.monotonically_increasing_id())
+    block = F.floor(fine * n_even / FINE).cast("int")
+    if large:
+        of = F.create_map(*[F.lit(x) for b in large for x in (b, b)])  # few: each has per_task rows at least
+        begin, pieces = (F.element_at(F.create_map(*[F.lit(x) for b in large for x in (b, d[b])]), fine) for d in (first, large))
+        block = F.when(F.element_at(of, fine).isNull(), block).otherwise(begin + F.pmod(F.xxhash64(F.lit(seed), at_), pieces).cast("int"))
+    keyed = placed.withColumn(block_, block).drop(at_)
+    rows = np.bincount(owner, weights=np.where(np.isin(np.arange(FINE), list(large)), 0, counted), minlength=n_blocks).astype(np.int64)
+    if large:
+        for r in keyed.where(F.col(block_) >= n_even).groupBy(F.col(block_).alias("b")).count().collect():
+            rows[r["b"]] = r["count"]
     cells_per_shard = max(1, min(FINE // n_shards, -(-total // (per_task * n_shards))))
-    owner = np.arange(FINE) * n_blocks // FINE
-    rows = np.bincount(owner, weights=counted, minlength=n_blocks).astype(np.int64)
     capacity = np.concatenate([even(int(s), cells_per_shard) for s in even(total, n_shards)])
     offset = np.concatenate([np.cumsum(c) - c for c in capacity.reshape(n_shards, -1)])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, labels, at = -1, np.zeros(0, dtype=np.int32), 0
         for batch in batches:
-            own = batch.column("__block").to_numpy()
+            own = batch.column(block_).to_numpy()
             out = np.empty(len(own), dtype=np.int32)
             for start, end in _runs(own):
                 if own[start] != block:
@@ -114,15 +131,15 @@ def shuffle_into_shards(df: DataFrame, id_col: str, n_shards: int = 16, seed: in
                     labels = np.random.default_rng([seed, 1, block]).permutation(np.repeat(np.arange(len(row), dtype=np.int32), row))
                 out[start:end] = labels[at : at + end - start]
                 at += end - start
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*batch.schema.names, "__cell"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*batch.schema.names, cell_])
 
-    keyed = df.withColumn("__block", F.floor(fine * n_blocks / FINE).cast("int")).withColumn("__order", F.xxhash64(F.lit(seed + 1), *names))
-    local = keyed.repartition(n_blocks, "__block").sortWithinPartitions("__block", "__order", *names)
-    dealt = local.mapInArrow(deal, T.StructType([*keyed.schema.fields, T.StructField("__cell", T.IntegerType())]))
-    again = Window.partitionBy("__cell").orderBy(F.xxhash64(F.lit(seed + 2), "__order"), *names)
-    base = F.element_at(F.lit(offset.tolist()).cast("array<long>"), F.col("__cell") + 1)
+    keyed = keyed.withColumn(order_, F.xxhash64(F.lit(seed + 1), *names))
+    local = keyed.repartition(n_blocks, block_).sortWithinPartitions(block_, order_, *names)
+    dealt = local.mapInArrow(deal, T.StructType([*keyed.schema.fields, T.StructField(cell_, T.IntegerType())]))
+    again = Window.partitionBy(cell_).orderBy(F.xxhash64(F.lit(seed + 2), order_), *names)
+    base = F.element_at(F.lit(offset.tolist()).cast("array<long>"), F.col(cell_) + 1)
     slot = (base + F.row_number().over(again) - 1).cast("long")
-    return dealt.withColumn("slot", slot).withColumn("shard", F.floor(F.col("__cell") / cells_per_shard).cast("int")).drop("__block", "__order", "__cell")
+    return dealt.withColumn("slot", slot).withColumn("shard", F.floor(F.col(cell_) / cells_per_shard).cast("int")).drop(block_, order_, cell_)
 
 
 def _runs(values: np.ndarray) -> list[tuple[int, int]]:
@@ -135,8 +152,8 @@ def _runs(values: np.ndarray) -> list[tuple[int, int]]:
 
 def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_shards: int = 16, seed: int = 11) -> DataFrame:
     """The digest: doc_id, size (UTF-8 bytes plus 1), text_crc32, law, shard, slot, grown_shard (null under this law)."""
-    text = F.encode(text_or_empty(text_col), "UTF-8")
-    rows = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).cast("long").alias("text_crc32"))
+    text = F.encode(text_or_empty(F.col(f"`{text_col}`")), "UTF-8")
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).cast("long").alias("text_crc32"))
     rows = materialise(rows, "shard-rows")
-    out = shuffle_into_shards(rows, "doc_id", n_shards, seed)
+    out = shuffle_into_shards(rows, n_shards, seed)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

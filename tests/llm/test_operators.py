@@ -62,6 +62,43 @@ def test_sharding(docs, rows, empty):
     assert key(out) == key(sharding.shard_documents(docs).collect())
 
 
+def test_sharding_of_equal_rows(spark, tmp_path):
+    """Most rows equal, or of one id: blocks stay bounded, sizes exact, reruns agree."""
+    spark.range(4000).selectExpr("case when id < 2500 then null else 7 end as doc_id", "case when id < 1500 then 1 else id end as n", "'x' as block_", "id % 2 as cell_").drop("id").write.parquet(str(tmp_path / "rows"))
+    df = spark.read.parquet(str(tmp_path / "rows"))
+    runs = []
+    for _ in range(2):
+        out = sharding.shuffle_into_shards(df, 7, per_task=100)
+        assert out.columns == [*df.columns, "slot", "shard"]
+        runs.append(sorted(map(str, out.collect())))
+        sizes = {}
+        for r in out.collect():
+            sizes.setdefault(r["shard"], []).append(r["slot"])
+        assert sorted(map(len, sizes.values())) == [571] * 4 + [572] * 3 and all(sorted(v) == list(range(len(v))) for v in sizes.values())
+    assert runs[0] == runs[1]
+    # 1,500 equal rows of 4,000 are spread like the rest.
+    equal = out.where("n = 1").groupBy("shard").count().collect()
+    assert len(equal) == 7 and all(160 < r["count"] < 270 for r in equal)
+
+
+def test_sharding_is_uniform(spark):
+    """Over many seeds each row comes to each shard, and to each slot, alike (chi square), and pairs of rows are independent."""
+    n, shards, seeds = 12, 3, 120
+    rows = np.full(4, 3)
+    places, together = np.zeros((n, shards)), 0
+    for seed in range(seeds * 40):  # the matrix and the labels, as tasks draw them
+        cap = sharding.even(n, shards)
+        where = np.concatenate([np.random.default_rng([seed, 1, b]).permutation(np.repeat(np.arange(shards), sharding.matrix_row(b, rows, cap, seed))) for b in range(4)])
+        places[np.arange(n), where] += 1
+        together += int(where[0] == where[1]) + int(where[0] == where[11])
+    draws = seeds * 40
+    assert ((places - draws / shards) ** 2 / (draws / shards)).sum() < 60  # 22 degrees of freedom
+    assert abs(together / (2 * draws) - 3 / 11) < 0.02  # in a uniform shuffle two rows share a shard of 4 with 3 in 11
+    df = spark.range(24).selectExpr("id as doc_id", "cast(null as string) as text")
+    firsts = [next(r["doc_id"] for r in sharding.shard_documents(df, n_shards=2, seed=s).collect() if r["shard"] == 0 and r["slot"] == 0) for s in range(12)]
+    assert len(set(firsts)) > 5
+
+
 def test_communication_matrix():
     rows_, caps = np.array([5, 0, 17, 9, 3]), np.array([10, 4, 20])
     m = np.stack([sharding.matrix_row(b, rows_, caps, 1) for b in range(5)])
