@@ -3,6 +3,7 @@
 import hashlib
 import io
 import itertools
+import math
 import random
 import re
 import zipfile
@@ -586,6 +587,150 @@ def test_mixing_inclusion(spark):
         assert abs(r["copies"] - scale * gain[r["size"]]) < 0.04, (r, scale * gain[r["size"]])
 
 
+def plain_ftrl(rows, labels, epochs=5, alpha=3.0, beta=1.0, l1=3.0, l2=0.01):
+    """FTRL-proximal as published, one coordinate at a time; place None is the intercept, which has no penalty."""
+    z, n = {}, {}
+
+    def weight(i):
+        if i is None:
+            return -z.get(i, 0.0) / ((beta + n.get(i, 0.0) ** 0.5) / alpha)
+        return 0.0 if abs(z.get(i, 0.0)) <= l1 else -(z[i] - (l1 if z[i] > 0 else -l1)) / ((beta + n[i] ** 0.5) / alpha + l2)
+
+    for _ in range(epochs):
+        for x, y in zip(rows, labels, strict=True):
+            own = [*x, None]
+            w = {i: weight(i) for i in own}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - y
+            for i in own:
+                sigma = ((n.get(i, 0.0) + g * g) ** 0.5 - n.get(i, 0.0) ** 0.5) / alpha
+                z[i], n[i] = z.get(i, 0.0) + g - sigma * w[i], n.get(i, 0.0) + g * g
+    return {i: w for i in z if (w := weight(i))}
+
+
+def test_ftrl_like_plain_python():
+    rng = random.Random(3)
+    rows = [np.array(sorted(rng.sample(range(400), 25)), dtype=np.uint32) for _ in range(300)]
+    labels = [int(sum(x < 60) > 4) for x in rows]
+    weights, bias = toxicity.fit_ftrl(rows, labels)
+    want = plain_ftrl([x.tolist() for x in rows], labels)
+    assert abs(bias - want.pop(None)) < 1e-9 and set(np.flatnonzero(weights).tolist()) == set(want) and 5 < len(want) < 400
+    assert all(abs(weights[i] - w) < 1e-9 for i, w in want.items())
+
+
+def test_features_over_spans(monkeypatch):
+    """Features of a text longer than a span are those of the whole text."""
+    rng = random.Random(5)
+    for n in (0, 1, 2, 3, 9, 10, 11, 12, 50):
+        text = " ".join(rng.choice("abcdefgh") for _ in range(n))
+        monkeypatch.setattr(toxicity, "SPAN", 1 << 16)
+        whole = toxicity.features(text)
+        monkeypatch.setattr(toxicity, "SPAN", 10)
+        assert toxicity.features(text).tolist() == whole.tolist() == sorted(set(whole.tolist()))
+
+
+def test_toxicity_cases(spark):
+    """Repeated rows and ids, ties, contradicting labels, columns of other names, a text beyond one span."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(50)]
+    rows = [(i, " ".join(rng.choices(words, k=20)) + (" vile" if i % 3 == 0 else "")) for i in range(300)]
+    long = " ".join(rng.choices(words, k=70_000))
+    more = [rows[0], rows[0], (1000, rows[3][1]), (1001, rows[3][1]), (6, long), (1002, long), (1003, long + " vile"), (1004, None)]
+    docs = spark.createDataFrame([(i, t, 1, 2, 0.5, 3) for i, t in [*rows, *more]], "doc_id long, text string, score int, y int, key double, __id int")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0), "q") for i in range(300)] + [(5, 1, "q"), (5, 0, "q"), (7, None, "q")], "doc_id long, toxic int, text string")
+    out = toxicity.toxicity(docs, labels).collect()
+    assert len(out) == 308 and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7) for r in out)
+    of = {i: {r["score"] for r in out if r["doc_id"] == i} for i in (0, 3, 1000, 1001)}
+    assert len(of[0]) == 1 and of[3] == of[1000] == of[1001]
+    kept = toxicity.drop_toxic(docs, labels)
+    assert kept.columns == docs.columns and kept.count() == sum(r["predicted"] == 0 for r in out)
+
+
+def test_very_long_texts(spark):
+    """Texts of a megabyte and more, equal and nearly equal, through the operators that cut texts."""
+    from tokenizers import Tokenizer
+
+    rng = random.Random(8)
+    long = " ".join(f"w{rng.randrange(10**5)}" for _ in range(160_000))
+    other = long[:500_000] + "X" + long[500_001:]
+    texts = [long, long, other, "é" * 300_000, "=" * 50_000 + long[:1000], "short"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r["doc_id"]: r for r in exact_dedup.exact_dedup(df).collect()}
+    assert [out[i]["keep_id"] for i in range(6)] == [0, 0, 2, 3, 4, 5] and out[1]["group_size"] == 2
+    found = {r["doc_id"]: r for r in substrings.remove_repeats(df).collect()}
+    assert [found[i]["n_removed"] for i in range(6)] == [0, len(long), len(long) - 1, 0, 1000, 0] and found[2]["n_spans"] == 2
+    groups = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df, threshold=13, parts=5, similarity=0.8).collect()}
+    assert [groups[i] for i in range(6)] == [0, 0, 0, 3, 4, 5]
+    pairs = {(r["doc_id"], r["source_doc_id"], r["matched"]) for r in passages.fuzzy_passages(df).collect()}
+    assert (1, 0, 160_000) in pairs and any(p[:2] == (2, 0) and p[2] > 159_990 for p in pairs)
+    lib = Tokenizer.from_file(tokenizer_path())
+    ids = {r["doc_id"]: r["ids_sha256"] for r in bpe.encode_documents(df.where("doc_id in (0, 3, 4)"), tokenizer_path()).collect()}
+    for i in (0, 3, 4):
+        assert ids[i] == hashlib.sha256(" ".join(map(str, lib.encode(texts[i], add_special_tokens=False).ids)).encode()).hexdigest()
+
+
+def test_exact_dedup_by_any_key(spark, docs, rows):
+    """Blocks that share a key, here their length, are told apart by their characters."""
+    show = lambda df: sorted((str(r["doc_id"]), str(r["keep_id"]), r["group_size"], r["text_sha256"]) for r in df.collect())
+    assert show(exact_dedup.exact_dedup(docs, block_chars=7, key=lambda b: F.length(b).cast("long"))) == show(exact_dedup.exact_dedup(docs))
+
+
+def plain_groups(n, links):
+    group = list(range(n))
+
+    def top(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for a, b in links:
+        a, b = sorted((top(a), top(b)))
+        group[b] = a
+    return [top(i) for i in range(n)]
+
+
+def test_pipeline_by_brute_force(spark, tmp_path):
+    """run()'s rows against plain Python: the scores of its own model, equal texts, all pairs' similarity, the mixture in order, the library's tokens."""
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    words = [f"w{i}" for i in range(900)]
+    # Fingerprints tell little of very short texts: near copies have some words here.
+    texts = [" ".join(rng.choices(words, k=rng.choice([8, 40, 120, 300][i < 30 :]))) for i in range(260)]
+    toxic = [i % 5 == 0 for i in range(260)]
+    texts = [t + " vile awful" if x else t for t, x in zip(texts, toxic, strict=True)]
+    for i in range(200, 230):  # exact copies but for white space, near copies, some of those toxic
+        texts[i] = texts[i - 200].replace(" ", "\n ", 3) if i % 2 else texts[i - 200] + " " + rng.choice(words)
+        toxic[i] = toxic[i - 200]
+    texts += [None, "", " ", texts[41]]
+    sources = [None if i % 9 == 0 else f"s{i % 4}" for i in range(len(texts))]
+    rows = [(i, t, "en", s, len(t or "")) for i, (t, s) in enumerate(zip(texts, sources, strict=True))]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    labels = spark.createDataFrame([(i, 0, int(x)) for i, x in enumerate(toxic) if i % 4], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    places, weights, bias = toxicity.fit(docs, labels)
+    model = dict(zip(places.tolist(), weights.tolist(), strict=True))
+    logit = [sum(model.get(p, 0.0) for p in toxicity.features(t or "").tolist()) + bias for t in texts]
+    kept = [i for i, x in enumerate(logit) if 1 / (1 + math.exp(-x)) < 0.7]
+    assert 0 < len(texts) - len(kept) < 100 and sum(toxic[i] for i in range(260) if i not in kept) > 0.9 * sum(toxic)
+    first = {}
+    kept = [i for i in kept if first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", texts[i] or ""), i) == i]
+    near = [(a, b) for a, b in itertools.combinations(range(len(kept)), 2) if jaccard(texts[kept[a]], texts[kept[b]]) >= 0.8 or not (texts[kept[a]] or "").split() and not (texts[kept[b]] or "").split()]
+    kept = [kept[i] for i, g in enumerate(plain_groups(len(kept), near)) if i == g]
+    assert near
+    count = lambda t: len((t or "").split())
+    u = {r["doc_id"]: r["u"] for r in docs.select("doc_id", mixing.uniform(20, F.col("doc_id"), F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))).alias("u")).collect()}
+    mixed = plain_mix([(sources[i], count(texts[i])) for i in kept], [u[i] for i in kept])
+    lib = Tokenizer.from_file(tokenizer_path())
+    want = []
+    for i, (copies, _) in zip(kept, mixed, strict=True):
+        ids = lib.encode(texts[i] or "", add_special_tokens=False).ids
+        want += [(i, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())] * copies
+    assert sorted((r["doc_id"], r["n_tokens"], r["ids_sha256"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == sorted(want)
+
+
 def test_pipeline(spark, docs, tmp_path):
     import corpus_pipeline
 
