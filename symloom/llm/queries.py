@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symloom.llm import ann, bpe, exact_dedup, mixing, passages, sharding, simhash, substrings, toxicity, warc
+from symloom.llm.common import word_count
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,8 +63,14 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words that op10_mixing aims at for each source."""
+    docs = table(spark, sf_dir, "documents")
+    return mixing.targets(docs.groupBy("source").agg(F.sum(word_count("text")).alias("source_size")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_sharding, op2_bpe, op3_warc, op4_suffix_array, op5_simhash, op6_toxicity, op7_ann, op8_exact_dedup, op9_substring_dedup, op10_mixing)
+    own = (op1_sharding, op2_bpe, op3_warc, op4_suffix_array, op5_simhash, op6_toxicity, op7_ann, op8_exact_dedup, op9_substring_dedup, op10_mixing, mix_targets)
     return {f.__name__: f for f in own}
 
 
@@ -84,5 +91,15 @@ FROM p LEFT JOIN f ON p.digest = f.digest AND octet_length(p.body) >= 100
 """
 
 
+TARGETS_SQL = r"""
+WITH s AS (SELECT source, sum(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')))::BIGINT AS source_size FROM documents GROUP BY source),
+w AS (SELECT *, [3, 1, 2][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight, 2.0::DOUBLE * source_size AS full_size FROM s),
+f AS (SELECT *, full_size / weight AS level, sum(full_size) OVER up AS filled, sum(weight) OVER up AS closed FROM w WINDOW up AS (ORDER BY full_size / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+l AS (SELECT level, 1.5::DOUBLE * (SELECT sum(source_size) FROM s) - (filled - full_size) AS rest, (SELECT sum(weight) FROM w) - (closed - weight) AS open_weight FROM f),
+t AS (SELECT rest, open_weight FROM l WHERE rest / open_weight <= level ORDER BY level LIMIT 1)
+SELECT source, source_size, coalesce(least(full_size, (SELECT rest FROM t) * weight / (SELECT open_weight FROM t)), full_size) AS target FROM w
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": EXACT_DEDUP_SQL, "op3_warc": WARC_SQL}
+    return {"op8_exact_dedup": EXACT_DEDUP_SQL, "op3_warc": WARC_SQL, "mix_targets": TARGETS_SQL}
