@@ -14,8 +14,9 @@ With ``similarity`` given, fingerprints only propose. They are then two with ind
 five-word shingles, and a pair within reach in either, and within OTHER_BITS in the other one, is proposed: that is
 4.5 standard deviations for texts at the limit, and one chance meeting in a hundred. Rows with a partner get a sketch of one-bit minhashes of the
 same shingles and meet at the anchors once more: pairs whose sketches are CLEARLY on one side of the limit (over four
-standard errors) are linked or left; the open ones, unless clear links join them, are compared by the exact Jaccard
-similarity of their shingles' 64-bit hashes. This keeps chance meetings of fingerprints, which grow with the square of
+standard errors) are linked or left. Of the open ones, unless clear links join their groups, a spanning forest of the
+most similar is compared by the exact Jaccard similarity of the shingles' 64-bit hashes: groups by single linkage
+depend on such a forest alone, so no more pairs than texts leave an anchor. This keeps chance meetings of fingerprints, which grow with the square of
 the corpus, out of the groups, and so allows a wide radius.
 
 At a large anchor a home row skips all that its group already holds, so a cluster of near copies is not compared pair
@@ -191,10 +192,29 @@ def _differing(marks: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.concatenate([np.zeros(0, dtype=np.int64), *(np.bitwise_count(marks[a[i : i + SKETCH_BLOCK]] ^ marks[b[i : i + SKETCH_BLOCK]]).sum(axis=1, dtype=np.int64) for i in cuts)])
 
 
-def _compare(anchor: np.ndarray, is_home: np.ndarray, fp: np.ndarray, node: np.ndarray, threshold: int, marks: np.ndarray | None = None, like: int = 0, open_: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
-    """Links (nodes, nodes, sure?) among rows sorted by anchor, homes before replicas.
-
-    Sure links are a forest. With sketches, up to ``like`` differing bits are sure and up to ``open_`` are open.
+def _spanning(a: np.ndarray, b: np.ndarray, cost: np.ndarray, parent: np.ndarray) -> np.ndarray:
+    """Which of the pairs a, b are a spanning forest of least cost over the sets of ``parent``."""
+    order = np.argsort(cost, kind="stable")
+    alive, chosen, none, parent = order, [], len(a), parent.copy()
+    rank = np.empty(len(a), dtype=np.int64)
+    rank[order] = np.arange(len(a))
+    while True:  # each set takes its cheapest pair
+        alive = alive[parent[a[alive]] != parent[b[alive]]]
+        if not len(alive):
+            return np.concatenate([np.zeros(0, dtype=np.int64), *chosen])
+        best = np.full(len(parent), none)
+        for side in (a, b):
+            np.minimum.at(best, parent[side[alive]], rank[alive])
+        pick = order[np.unique(best[best < none])]
+        chosen.append(pick)
+        parent = forest(a[pick], b[pick], len(parent), parent)
+
+
+def _compare(anchor: np.ndarray, is_home: np.ndarray, fp: np.ndarray, node: np.ndarray, threshold: int, marks: np.ndarray | None = None, like: int = 0, open_: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Links (nodes, nodes, bits) among rows sorted by anchor, homes before replicas.
+
+    Sure links, a forest, have bits -1. With marks, up to ``like`` differing bits are sure; up to ``open_`` are open,
+    and a forest of those with fewest bits is given.
     """
     names, own = np.unique(node, return_inverse=True)
     start = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
@@ -213,17 +233,12 @@ def _compare(anchor: np.ndarray, is_home: np.ndarray, fp: np.ndarray, node: np.n
             bits = _differing(marks, left, right)
             maybe = (bits > like) & (bits <= open_)
             if maybe.any():
-                unsure.append(np.unique(np.sort(np.stack([own[left[maybe]], own[right[maybe]]]), axis=0), axis=1))
+                unsure.append(np.stack([own[left[maybe]], own[right[maybe]], bits[maybe]]))
             left, right = left[bits <= like], right[bits <= like]
         parent = forest(own[left], own[right], len(names), parent)
-
-    def undecided(least: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
-        if sum(x.shape[1] for x in unsure) > least:
-            a, b = np.unique(np.concatenate(unsure, axis=1), axis=1)
-            unsure.clear()
-            apart = parent[a] != parent[b]
-            if apart.any():
-                yield names[b[apart]], names[a[apart]], False
+        if sum(x.shape[1] for x in unsure) > max(BLOCK, 2 * len(names)):  # twice what a forest can hold
+            pairs = np.concatenate(unsure, axis=1)
+            unsure[:] = [pairs[:, _spanning(*pairs, parent)]]
 
     # Small anchors: each home row against all rows of its anchor, a bounded number of pairs at a time.
     size = end - start
@@ -237,7 +252,6 @@ def _compare(anchor: np.ndarray, is_home: np.ndarray, fp: np.ndarray, node: np.n
         left = np.repeat(at[lo:hi], n)
         right = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[group[lo:hi]], n)
         join(left, right)
-        yield from undecided(1 << 20)
     # Large anchors: some home rows at a time, against rows that the group of those does not hold yet.
     for g in np.flatnonzero(~small).tolist():
         todo = np.arange(start[g], start[g] + homes[g])
@@ -252,12 +266,13 @@ def _compare(anchor: np.ndarray, is_home: np.ndarray, fp: np.ndarray, node: np.n
             for i in range(0, len(right), max(1, BLOCK // len(left))):
                 part = right[i : i + max(1, BLOCK // len(left))]
                 join(np.repeat(left, len(part)), np.tile(part, len(left)))
-                yield from undecided(1 << 20)
             step = min(HOMES_AT_ONCE, step * 2)
-    yield from undecided(0)
+    if unsure:
+        pairs = np.concatenate(unsure, axis=1)
+        a, b, bits = pairs[:, _spanning(*pairs, parent)]
+        yield names[np.maximum(a, b)], names[np.minimum(a, b)], bits
     linked = np.flatnonzero(parent != np.arange(len(names)))
-    if len(linked):
-        yield names[linked], names[parent[linked]], True
+    yield names[linked], names[parent[linked]], np.full(len(linked), -1)
 
 
 def _portions(todo: np.ndarray, upto: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -269,45 +284,60 @@ def _portions(todo: np.ndarray, upto: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def links(prints: DataFrame, threshold: int = THRESHOLD, parts: int = PARTS, like: int | None = None, open_: int | None = None) -> DataFrame:
-    """(fp, node) with distinct fp to edges (a, b, sure) that join all nodes whose fingerprints differ in few enough bits.
+    """(fp, node) with distinct fp to edges (a, b, bits) that join all nodes whose fingerprints differ in few enough bits.
 
-    With ``like``, (fp, node, mark): marks are compared too, bit by bit. Up to ``like`` differing bits an edge is sure,
-    up to ``open_`` it is open.
+    With ``like``, (fp, node, mark): marks are compared too, bit by bit. Up to ``like`` differing bits an edge is sure
+    (its bits are -1), up to ``open_`` it is open. What a task sends to an anchor is packed into one row.
     """
     t = threshold // parts
     marked = like is not None
-    names = ["anchor", "home", "fp", "node", *(["mark"] if marked else [])]
+    wide = marked and prints.schema["mark"].dataType.simpleString() == "binary"
+    at_once = 1024 if wide else 8192
+    names = ["anchor", "homes", "fp", "node", *(["mark"] if marked else [])]
     cut = pieces(parts)
 
+    def values(column: pa.Array) -> np.ndarray:
+        """Numbers, or the rows of a matrix of packed bits."""
+        if pa.types.is_int64(column.type):
+            return column.to_numpy().view(np.uint64)
+        return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint64).reshape(len(column), -1)
+
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, len(batch), 256):
-                part = batch.slice(i, 256)
-                fp, node = part.column(0).to_numpy().view(np.uint64), part.column(1).to_numpy()
-                for k, (low, width) in enumerate(cut):
-                    value = fp >> np.uint64(low) & np.uint64((1 << width) - 1)
-                    row, anchor = anchors(value, width, t)
-                    at_home = home(value)[row] == anchor
-                    key = (anchor | np.uint64(k) << np.uint64(60)).view(np.int64)
-                    more = [part.column(2).take(pa.array(row))] if marked else []
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(at_home), pa.array(fp[row].view(np.int64)), pa.array(node[row]), *more], names=names)
+        for batch in _of_size(batches, at_once):
+            cols = [values(batch.column(i)) for i in range(len(names) - 2)]
+            for k, (low, width) in enumerate(cut):
+                value = cols[0] >> np.uint64(low) & np.uint64((1 << width) - 1)
+                row, anchor = anchors(value, width, t)
+                at_home = home(value)[row] == anchor
+                order = np.lexsort((~at_home, anchor))
+                row, anchor, at_home = row[order], anchor[order], at_home[order]
+                start = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
+                ends = np.r_[start[1:], len(anchor)].tolist()
+                packed = [[x[row[i:j]].tobytes() for i, j in zip(start.tolist(), ends, strict=True)] for x in cols]
+                key = (anchor[start] | np.uint64(k) << np.uint64(60)).view(np.int64)
+                homes = np.add.reduceat(at_home.astype(np.int32), start)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(homes, pa.int32()), *[pa.array(x, pa.binary()) for x in packed]], names=names)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
         rows, limit = 0, 50_000
 
         def emit(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            for a, b, sure in _compare(cols[0], cols[1], cols[2].view(np.uint64), cols[3], threshold, cols[4] if marked else None, like or 0, open_ or like or 0):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), sure))], names=["a", "b", "sure"])
-
-        for batch in batches:
-            cols = [batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(), batch.column(3).to_numpy()]
+            order = np.lexsort((~cols[1], cols[0]))
+            anchor, at_home, fp, node, *mark = (x[order] for x in cols)
+            for a, b, bits in _compare(anchor, at_home, fp, node.view(np.int64), threshold, mark[0] if marked else None, like or 0, open_ or like or 0):
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(bits.astype(np.int32))], names=["a", "b", "bits"])
+
+        for batch in _of_size(batches, 256):
+            fps = batch.column(2).to_pylist()
+            sizes = np.array([len(x) // 8 for x in fps])
+            place = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            cols = [np.repeat(batch.column(0).to_numpy(), sizes), place < np.repeat(batch.column(1).to_numpy(), sizes), *[np.frombuffer(b"".join(x), dtype=np.uint64) for x in (fps, batch.column(3).to_pylist())]]
             if marked:
-                mark = batch.column(4)
-                mark = mark.to_numpy().view(np.uint64) if pa.types.is_int64(mark.type) else np.frombuffer(b"".join(mark.to_pylist()), dtype=np.uint64)
-                cols.append(mark.reshape(len(batch), -1))
+                cols.append(np.frombuffer(b"".join(batch.column(4).to_pylist()), dtype=np.uint64).reshape(len(place), -1))
             held.append(cols)
-            rows += len(batch)
+            rows += len(place)
             if rows >= limit:
                 kept = [np.concatenate(x) for x in zip(*held, strict=True)]
                 whole = int(np.searchsorted(kept[0], kept[0][-1]))  # the last anchor may go on
@@ -318,10 +348,16 @@ def links(prints: DataFrame, threshold: int = THRESHOLD, parts: int = PARTS, lik
         if rows:
             yield from emit([np.concatenate(x) for x in zip(*held, strict=True)])
 
-    kind = "anchor long, home boolean, fp long, node long" + (f", mark {prints.schema['mark'].dataType.simpleString()}" if marked else "")
+    kind = "anchor long, homes int, fp binary, node binary" + ", mark binary" * marked
     spread = prints.select("fp", "node", *names[4:]).mapInArrow(replicate, kind)
-    dealt = spread.repartition(F.col("anchor")).sortWithinPartitions("anchor", F.desc("home"))
-    return dealt.mapInArrow(compare, "a long, b long, sure boolean")
+    return spread.repartition(F.col("anchor")).sortWithinPartitions("anchor").mapInArrow(compare, "a long, b long, bits int")
+
+
+def _of_size(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The same rows, ``rows`` at a time but for those at a batch's end."""
+    for batch in batches:
+        for i in range(0, len(batch), rows):
+            yield batch.slice(i, rows)
 
 
 def _grouped(rows: DataFrame, prints: DataFrame, keys: list[str], edges: DataFrame) -> DataFrame:
@@ -364,12 +400,13 @@ def _similar_groups(docs: DataFrame, id_col: str, text_col: str, threshold: int,
         edges = links(prints.select(F.col(fp).alias("fp"), "node", F.col("sketch").alias("mark")), threshold, parts, like, open_)
         found = edges if found is None else found.union(edges)
     found = materialise(found.distinct(), "proposed-pairs")
-    sure = found.where("sure").select("a", "b")
+    sure = found.where("bits < 0").select("a", "b")
     # Open pairs that sure links do not join are compared exactly.
     root = materialise(connected_components(sure), "sure-components")
     ends = [root.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab"]
-    unsure = found.where("not sure").select("a", "b").distinct().join(ends[0], "a", "left").join(ends[1], "b", "left")
-    unsure = materialise(unsure.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"), "open-pairs")
+    unsure = found.where("bits >= 0").join(ends[0], "a", "left").join(ends[1], "b", "left").withColumn("x", F.coalesce("root_a", "a")).withColumn("y", F.coalesce("root_b", "b"))
+    best = unsure.where("x <> y").groupBy(F.least("x", "y"), F.greatest("x", "y")).agg(F.min(F.struct("bits", "a", "b")).alias("p"))  # one for two groups
+    unsure = materialise(best.select("p.a", "p.b"), "open-pairs")
     nodes = materialise(unsure.select(F.explode(F.array("a", "b")).alias(id_)).distinct(), "open-nodes")
     sets = proposing_prints(docs.join(nodes, F.col(f"`{id_col}`") == F.col(id_), "left_semi"), id_col, text_col, sketches=True, sets=True)
     sets = sets.join(prints.select(*keys, "node"), keys).where("doc_id = node").groupBy("node").agg(F.first("shingles").alias("shingles"))

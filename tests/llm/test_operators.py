@@ -257,7 +257,7 @@ def test_simhash_similarity_by_brute_force(spark):
     for i, j in near:
         group = [group[i] if g == group[j] else g for g in group] if group[i] < group[j] else [group[j] if g == group[i] else g for g in group]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    out = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df, threshold=13, parts=5, similarity=0.8).collect()}
+    out = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df, threshold=11, parts=4, similarity=0.8).collect()}
     assert 60 < len(near) < 290 and sum(out[i] == out[j] for i, j in near) >= 0.97 * len(near)
     apart = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if group[i] != group[j]]
     assert not any(out[i] == out[j] for i, j in apart)
@@ -275,15 +275,32 @@ def test_simhash_large_anchors(spark, docs, rows, monkeypatch):
     for large in (simhash.LARGE, 1):
         monkeypatch.setattr(simhash, "LARGE", large)
         parent = np.arange(len(fp))
-        for a, b, sure in simhash._compare(anchor, is_home, fp, np.arange(len(fp)), 4):
-            assert sure
+        for a, b, bits in simhash._compare(anchor, is_home, fp, np.arange(len(fp)), 4):
+            assert (bits == -1).all()
             parent = simhash.forest(a, b, len(fp), parent)
         groups.append(parent.tolist())
     assert groups[0] == groups[1] and len(set(groups[0])) == 40 and want
 
 
-def test_pipeline_near_copies_at_13_bits(spark):
-    """Copies clearly over the limit whose fingerprints are 12 or 13 bits apart are compared too."""
+def test_spanning_forest():
+    """Open pairs: as cheap as by taking them in order of cost, whatever was joined before."""
+    rng = np.random.default_rng(2)
+    for _ in range(50):
+        a, b, cost = rng.integers(0, 40, 200), rng.integers(0, 40, 200), rng.integers(0, 30, 200)
+        joined = simhash.forest(rng.integers(0, 40, 8), rng.integers(0, 40, 8), 40)
+        group, want = joined.tolist(), []
+        pick = simhash._spanning(a, b, cost, joined)
+        assert joined.tolist() == group
+        for i in np.argsort(cost, kind="stable").tolist():
+            x, y = group[a[i]], group[b[i]]
+            if x != y:
+                want.append(cost[i])
+                group = [x if g == y else g for g in group]
+        assert sorted(cost[pick].tolist()) == sorted(want)
+
+
+def test_pipeline_near_copies_far_apart(spark):
+    """Copies clearly over the limit whose plain fingerprints are 12 or 13 bits apart are compared too."""
     import corpus_pipeline
 
     rng, texts = random.Random(8), []
@@ -658,7 +675,7 @@ def test_very_long_texts(spark):
     assert [out[i]["keep_id"] for i in range(6)] == [0, 0, 2, 3, 4, 5] and out[1]["group_size"] == 2
     found = {r["doc_id"]: r for r in substrings.remove_repeats(df).collect()}
     assert [found[i]["n_removed"] for i in range(6)] == [0, len(long), len(long) - 1, 0, 1000, 0] and found[2]["n_spans"] == 2
-    groups = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df, threshold=13, parts=5, similarity=0.8).collect()}
+    groups = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df, threshold=11, parts=4, similarity=0.8).collect()}
     assert [groups[i] for i in range(6)] == [0, 0, 0, 3, 4, 5]
     pairs = {(r["doc_id"], r["source_doc_id"], r["matched"]) for r in passages.fuzzy_passages(df).collect()}
     assert (1, 0, 160_000) in pairs and any(p[:2] == (2, 0) and p[2] > 159_990 for p in pairs)
