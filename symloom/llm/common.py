@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import contextlib
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symloom.shared import new_folder  # noqa: F401
@@ -28,3 +31,15 @@ def free_names(df: DataFrame, *names: str) -> list[str]:
     while any(f"{n}{mark}".lower() in taken for n in names):
         mark += "_"
     return [f"{n}{mark}" for n in names]
+
+
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Actions in this block send at most so many rows at a time to Python: for tables with wide rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

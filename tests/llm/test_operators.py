@@ -440,20 +440,20 @@ def test_passages_cut_by_older_documents(spark):
 def test_passages_owners():
     """First and previous holders of seeds, in whatever batches they come."""
     rng = np.random.default_rng(6)
-    rows = sorted({(int(h), -1 if h % 3 else int(d) // 20, int(d), int(a)) for h, d, a in zip(rng.integers(0, 12, 600), rng.integers(0, 60, 600), rng.integers(0, 9, 600), strict=True)})
+    rows = sorted({(int(h), int(d), int(a)) for h, d, a in zip(rng.integers(0, 12, 600), rng.integers(0, 60, 600), rng.integers(0, 9, 600), strict=True)})
     want, heads = set(), set()
-    for (h, part), own in itertools.groupby(rows, key=lambda r: r[:2]):
+    for _, own in itertools.groupby(rows, key=lambda r: r[0]):
         own = list(own)
         docs = {}
         for r in own:
-            docs.setdefault(r[2], r[3])  # the first place in each document
+            docs.setdefault(r[1], r[2])  # the first place in each document
         order = sorted(docs)
         heads.add(own[0])
         for r in own:
-            if r[2] != order[0]:
+            if r[1] != order[0]:
                 want.add((r, order[0], docs[order[0]]))
-                before = order[order.index(r[2]) - 1]
-                if before != order[0] and r[3] % 2 == 0:
+                before = order[order.index(r[1]) - 1]
+                if before != order[0] and r[2] % 2 == 0:
                     want.add((r, before, docs[before]))
     for _ in range(20):
         owners, found, met = passages.Owners(), set(), set()
