@@ -41,9 +41,13 @@ def replace_imports(file_imports: DataFrame, fresh: DataFrame) -> DataFrame:
     return kept.select("source_file", "target_file").union(fresh.select("source_file", "target_file")).distinct()
 
 
-def upsert_symbols(symbols: DataFrame, fresh: DataFrame) -> DataFrame:
-    """Symbols after the files in ``fresh`` were parsed again: theirs are replaced as a whole."""
-    return symbols.join(fresh.select("file_path").distinct(), "file_path", "left_anti").unionByName(fresh)
+def upsert_symbols(symbols: DataFrame, fresh: DataFrame, read: DataFrame | None = None) -> DataFrame:
+    """Symbols after files were parsed again: theirs are replaced as a whole.
+
+    read: the files (column ``file_path``), for some may have no symbols now; those of ``fresh`` if not given.
+    """
+    read = fresh if read is None else read
+    return symbols.join(read.select("file_path").distinct(), "file_path", "left_anti").unionByName(fresh)
 
 
 def insert_edges(references: DataFrame, fresh: DataFrame) -> DataFrame:
@@ -97,7 +101,8 @@ def reindex(state: State, read: DataFrame, symbols: DataFrame, named_refs: DataF
     good = written(changed(read.where("error is null"), state.files).select("path", "content_hash", "symbol_count"), "changed-files")
     of_good = lambda df, column: df.join(good.select(F.col("path").alias(column)), column, "left_semi").select(df.columns)
     without = lambda df, column: df.join(good.select(F.col("path").alias(column)), column, "left_anti").select(df.columns)
-    all_symbols = written(without(state.symbols, "file_path").unionByName(of_good(symbols, "file_path")), "symbols")
+    all_symbols = upsert_symbols(state.symbols, of_good(symbols, "file_path"), good.select(F.col("path").alias("file_path")))
+    all_symbols = written(all_symbols.select(state.symbols.columns), "symbols")
     all_refs = without(state.named_refs, "source_file").unionByName(of_good(named_refs, "source_file"))
     files = upsert_files(state.files.select("path", "content_hash", "symbol_count"), good)
     return State(all_symbols, all_refs, files, resolve_named_refs(all_refs, all_symbols), read.where("error is not null").select("path", "error"))

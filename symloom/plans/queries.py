@@ -388,6 +388,15 @@ def class_members(spark, sf_dir):
     return lookup.class_members(load(spark, sf_dir).symbols).withColumn("members", F.array_join("members", ","))
 
 
+@query(with_graph("SELECT id, name, file_path, CASE WHEN file_path = '/proj/Brand#2.ts' THEN line + 1 ELSE line END AS line FROM symbols WHERE NOT (file_path = '/proj/Brand#2.ts' AND id % 3 = 0) AND file_path <> '/proj/Brand#3.ts'"))
+def upsert_symbols(spark, sf_dir):
+    """One file is read again with lines moved and some symbols gone, another one has none left."""
+    s = load(spark, sf_dir).symbols
+    fresh = s.where("file_path = '/proj/Brand#2.ts' and id % 3 <> 0").withColumn("line", F.col("line") + 1)
+    read_again = s.where(F.col("file_path").isin("/proj/Brand#2.ts", "/proj/Brand#3.ts")).select("file_path")
+    return maintain.upsert_symbols(s, fresh, read_again).select("id", "name", "file_path", "line")
+
+
 @query(with_graph("SELECT * FROM refs UNION ALL SELECT * FROM refs WHERE ref_kind = 'extends'"))
 def insert_edges(spark, sf_dir):
     edges = load(spark, sf_dir).references
