@@ -210,9 +210,10 @@ def _spanning(a: np.ndarray, b: np.ndarray, cost: np.ndarray, parent: np.ndarray
         parent = forest(a[pick], b[pick], len(parent), parent)
 
 
-def _compare(anchor: np.ndarray, is_home: np.ndarray, fp: np.ndarray, node: np.ndarray, threshold: int, marks: np.ndarray | None = None, like: int = 0, open_: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _compare(anchor: np.ndarray, is_home: np.ndarray, fp: np.ndarray, node: np.ndarray, threshold: int, marks: np.ndarray | None = None, like: int = 0, open_: int = 0, parts: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Links (nodes, nodes, bits) among rows sorted by anchor, homes before replicas.
 
+    A pair counts at the anchors of the first piece in which it is near, so that one piece tells of a cluster, not all.
     Sure links, a forest, have bits -1. With marks, up to ``like`` differing bits are sure; up to ``open_`` are open,
     and a forest of those with fewest bits is given.
     """
@@ -221,11 +222,19 @@ def _compare(anchor: np.ndarray, is_home: np.ndarray, fp: np.ndarray, node: np.n
     end = np.r_[start[1:], len(anchor)]
     homes = np.add.reduceat(is_home.astype(np.int64), start)
     parent = np.arange(len(names))
+    cut, of_piece = pieces(parts), anchor >> 60
     unsure: list[np.ndarray] = []
 
     def join(left: np.ndarray, right: np.ndarray) -> None:
         nonlocal parent
-        near = np.bitwise_count(fp[left] ^ fp[right]) <= threshold
+        differ = fp[left] ^ fp[right]
+        near = np.flatnonzero(np.bitwise_count(differ) <= threshold)
+        if len(cut) > 1:
+            differ, piece = differ[near], of_piece[left[near]]
+            told = np.zeros(len(near), dtype=bool)
+            for k, (low, width) in enumerate(cut[:-1]):
+                told |= (piece > k) & (np.bitwise_count(differ >> np.uint64(low) & np.uint64((1 << width) - 1)) <= threshold // parts)
+            near = near[~told]
         left, right = left[near], right[near]
         if marks is not None:
             apart = parent[own[left]] != parent[own[right]]
@@ -325,7 +334,7 @@ def links(prints: DataFrame, threshold: int = THRESHOLD, parts: int = PARTS, lik
         def emit(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             order = np.lexsort((~cols[1], cols[0]))
             anchor, at_home, fp, node, *mark = (x[order] for x in cols)
-            for a, b, bits in _compare(anchor, at_home, fp, node.view(np.int64), threshold, mark[0] if marked else None, like or 0, open_ or like or 0):
+            for a, b, bits in _compare(anchor, at_home, fp, node.view(np.int64), threshold, mark[0] if marked else None, like or 0, open_ or like or 0, parts):
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(bits.astype(np.int32))], names=["a", "b", "bits"])
 
