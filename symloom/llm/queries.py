@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symloom.llm import ann, bpe, exact_dedup, mixing, passages, sharding, simhash, substrings, toxicity, warc
+from symloom.llm import ann, bpe, exact_dedup, mixing, passages, sharding, simhash, substrings, tokenfiles, toxicity, warc
 from symloom.llm.common import word_count
 
 
@@ -63,6 +63,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfiles.token_round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words that op10_mixing aims at for each source."""
     docs = table(spark, sf_dir, "documents")
@@ -70,7 +74,7 @@ def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_sharding, op2_bpe, op3_warc, op4_suffix_array, op5_simhash, op6_toxicity, op7_ann, op8_exact_dedup, op9_substring_dedup, op10_mixing, mix_targets)
+    own = (op1_sharding, op2_bpe, op3_warc, op4_suffix_array, op5_simhash, op6_toxicity, op7_ann, op8_exact_dedup, op9_substring_dedup, op10_mixing, op13_token_files, mix_targets)
     return {f.__name__: f for f in own}
 
 
