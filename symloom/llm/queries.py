@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symloom.llm import ann, bpe, exact_dedup, mixing, passages, sharding, simhash, substrings, tokenfiles, toxicity, warc
+from symloom.llm import ann, bpe, codebooks, exact_dedup, mixing, passages, repair, sharding, simhash, substrings, tokenfiles, toxicity, warc
 from symloom.llm.common import word_count
 
 
@@ -63,6 +63,14 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.damaged_and_repaired(table(spark, sf_dir, "conversations"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codebooks.compress(table(spark, sf_dir, "embeddings"))
+
+
 def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.token_round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -74,7 +82,7 @@ def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_sharding, op2_bpe, op3_warc, op4_suffix_array, op5_simhash, op6_toxicity, op7_ann, op8_exact_dedup, op9_substring_dedup, op10_mixing, op13_token_files, mix_targets)
+    own = (op1_sharding, op2_bpe, op3_warc, op4_suffix_array, op5_simhash, op6_toxicity, op7_ann, op8_exact_dedup, op9_substring_dedup, op10_mixing, op11_conversation_repair, op12_vector_codes, op13_token_files, mix_targets)
     return {f.__name__: f for f in own}
 
 
@@ -105,5 +113,22 @@ SELECT source, source_size, coalesce(least(full_size, (SELECT rest FROM t) * wei
 """
 
 
+def codebooks_sql() -> str:
+    """Assignments and means of two rounds and the last assignment, for vectors of 16 parts of four components."""
+    far = " + ".join(f"(p.c[{k}] - b.c[{k}]) * (p.c[{k}] - b.c[{k}])" for k in (1, 2, 3, 4))
+    means = ", ".join(f"floor(sum(c[{k}])::DOUBLE / count(*))::BIGINT" for k in (1, 2, 3, 4))
+    assigned = f"SELECT id, part, any_value(c) AS c, arg_min(entry, (d, entry)) AS entry, min(d) AS d FROM (SELECT p.id, p.part, p.c, b.entry, {far} AS d FROM p JOIN b{{n}} b ON p.part = b.part) GROUP BY id, part"
+    moved = f"SELECT b.part, b.entry, coalesce(m.c, b.c) AS c FROM b{{n}} b LEFT JOIN (SELECT part, entry, [{means}] AS c FROM a{{n}} GROUP BY part, entry) m ON m.part = b.part AND m.entry = b.entry"
+    return f"""
+WITH kept AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST) AS id, vec_id, label, embedding FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT id, part, list_transform(embedding[part * 4 + 1 : part * 4 + 4], x -> floor(256 * x::DOUBLE)::BIGINT) AS c FROM kept, range(16) AS t(part)),
+b0 AS (SELECT part, id - 1 AS entry, c FROM p WHERE id <= 64),
+a0 AS ({assigned.format(n=0)}), b1 AS ({moved.format(n=0)}), a1 AS ({assigned.format(n=1)}), b2 AS ({moved.format(n=1)}), a2 AS ({assigned.format(n=2)}),
+books AS (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY part, entry, k)) AS codebooks_sha256 FROM (SELECT part, entry, unnest(c) AS x, unnest([1, 2, 3, 4]) AS k FROM b2)),
+coded AS (SELECT id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a2 GROUP BY id)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM coded JOIN kept ON kept.id = coded.id, books
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": EXACT_DEDUP_SQL, "op3_warc": WARC_SQL, "mix_targets": TARGETS_SQL}
+    return {"op8_exact_dedup": EXACT_DEDUP_SQL, "op3_warc": WARC_SQL, "mix_targets": TARGETS_SQL, "op12_vector_codes": codebooks_sql()}
