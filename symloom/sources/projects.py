@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,10 +15,14 @@ SUFFIXES = (".ts", "/index.ts", ".tsx", "/index.tsx")
 
 
 def read_project(spark: SparkSession, root: str, pattern: str = "*.{ts,tsx}", skipped: tuple[str, ...] = SKIPPED) -> DataFrame:
-    """(path, last_modified, content, content_hash) of a tree's source files."""
+    """(path, last_modified, content, content_hash) of a tree's source files; empty ones have no last_modified."""
     folders = "/(" + "|".join(s.replace(".", r"\.") for s in skipped) + ")/"
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
-    return files.where(~F.col("path").rlike(folders)).select("path", F.col("modificationTime").alias("last_modified"), F.decode("content", "UTF-8").alias("content"), F.sha2("content", 256).alias("content_hash"))
+    # The reader leaves empty files out, but its listing (which the driver holds anyway) has them.
+    listed = [(re.sub("^file:/+", "file:/", unquote(p)),) for p in files.inputFiles()]
+    content = F.coalesce("content", F.lit(b""))
+    found = spark.createDataFrame(listed, "path string").join(files, "path", "left")
+    return found.where(~F.col("path").rlike(folders)).select("path", F.col("modificationTime").alias("last_modified"), F.decode(content, "UTF-8").alias("content"), F.sha2(content, 256).alias("content_hash"))
 
 
 def read_aliases(spark: SparkSession, path: str, root: str) -> DataFrame:
