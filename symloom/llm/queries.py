@@ -120,8 +120,8 @@ def codebooks_sql() -> str:
     assigned = f"SELECT id, part, any_value(c) AS c, arg_min(entry, (d, entry)) AS entry, min(d) AS d FROM (SELECT p.id, p.part, p.c, b.entry, {far} AS d FROM p JOIN b{{n}} b ON p.part = b.part) GROUP BY id, part"
     moved = f"SELECT b.part, b.entry, coalesce(m.c, b.c) AS c FROM b{{n}} b LEFT JOIN (SELECT part, entry, [{means}] AS c FROM a{{n}} GROUP BY part, entry) m ON m.part = b.part AND m.entry = b.entry"
     return f"""
-WITH kept AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST) AS id, vec_id, label, embedding FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
-p AS (SELECT id, part, list_transform(embedding[part * 4 + 1 : part * 4 + 4], x -> floor(256 * x::DOUBLE)::BIGINT) AS c FROM kept, range(16) AS t(part)),
+WITH kept AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST) AS id, vec_id, label, embedding FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT id, part, list_transform(embedding[part * 4 + 1 : part * 4 + 4], lambda x: floor(256 * x::DOUBLE)::BIGINT) AS c FROM kept, range(16) AS t(part)),
 b0 AS (SELECT part, id - 1 AS entry, c FROM p WHERE id <= 64),
 a0 AS ({assigned.format(n=0)}), b1 AS ({moved.format(n=0)}), a1 AS ({assigned.format(n=1)}), b2 AS ({moved.format(n=1)}), a2 AS ({assigned.format(n=2)}),
 books AS (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY part, entry, k)) AS codebooks_sha256 FROM (SELECT part, entry, unnest(c) AS x, unnest([1, 2, 3, 4]) AS k FROM b2)),
