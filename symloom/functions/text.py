@@ -61,6 +61,6 @@ def shown_value(value: Column) -> Column:
 
 
 def resource_name(uri: Column, scheme: str) -> Column:
-    """The decoded name in ``scheme://name``, or null for other addresses."""
+    """The decoded name in ``scheme://name``, or null for other addresses; a plus sign is no blank."""
     found = F.regexp_extract(uri, "^" + scheme + "://(.+)$", 1)
-    return F.when(found != "", F.try_url_decode(found))
+    return F.when(found != "", F.try_url_decode(F.replace(found, F.lit("+"), F.lit("%2B"))))

@@ -6,7 +6,7 @@ many requests in one job.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -28,6 +28,11 @@ def find_symbol(symbols: DataFrame, name: str, kind: str | None = None) -> DataF
     return _of_kind(symbols.where(F.col("name") == name), kind).select("id", *SHOWN)
 
 
+def by_ids(symbols: DataFrame, ids: DataFrame) -> DataFrame:
+    """Whole symbols of these ids (column ``id``), each once; ids that no symbol has give nothing."""
+    return symbols.join(ids.select("id").distinct(), "id", "left_semi").select(symbols.columns)
+
+
 def search_symbols(symbols: DataFrame, query: str, kind: str | None = None, limit: int = 20, literal: bool = False) -> DataFrame:
     """The first ``limit`` symbols, by id, whose name holds the query."""
     if not 1 <= limit <= 100:
@@ -128,9 +133,13 @@ def class_members(symbols: DataFrame) -> DataFrame:
     return classes.join(own, "id", "left").select("file_path", "class_name", "class_line", F.coalesce("members", F.array().cast("array<string>")).alias("members"))
 
 
+def name_order(column: str) -> tuple[Column, Column]:
+    """The order that people expect of names: letters first, then accents, then case (small before capital), code points last."""
+    return F.collate(F.col(column), "UNICODE"), F.col(column)
+
+
 def collated(df: DataFrame, column: str) -> DataFrame:
-    """Rows in the order that people expect of names: accents and case matter last."""
-    return df.orderBy(F.collate(F.col(column), "UNICODE"), column)
+    return df.orderBy(*name_order(column))
 
 
 def write_targets(symbols: DataFrame, references: DataFrame, symbol_name: str, limit: int = 10, class_name: str | None = None) -> DataFrame:
@@ -150,10 +159,9 @@ def write_targets(symbols: DataFrame, references: DataFrame, symbol_name: str, l
     called = callers(symbols, calls, names).select(F.col("caller_file").alias("file_path"), "line", F.col("caller_name").alias("symbol"), F.when(F.col("caller_class").isNotNull(), "method").otherwise("function").alias("kind"), *shown("caller", 80))
     faces = own.where(F.col("kind") == "interface").select(F.col("id").alias("target_symbol_id"))
     bases = own.where(F.col("kind") == "class").select(F.col("id").alias("target_symbol_id"))
-    source = symbols.select(F.col("id").alias("source_symbol_id"), "file_path", "line", "name")
+    source = symbols.select(F.col("id").alias("source_symbol_id"), "file_path", "line", "name", "kind")
     by = lambda kind, owners: references.where(F.col("ref_kind") == kind).join(owners, "target_symbol_id", "left_semi").join(source, "source_symbol_id")
     implemented = by("implements", faces).select("file_path", F.lit(0).alias("line"), F.col("name").alias("symbol"), F.lit("class").alias("kind"), *shown("implementor", 75))
-    extended = by("extends", bases).select("file_path", "line", F.col("name").alias("symbol"), F.lit("class").alias("kind"), *shown("subclass", 70))
+    extended = by("extends", bases).select("file_path", "line", F.col("name").alias("symbol"), "kind", *shown("subclass", 70))
     rows = declared.unionByName(called).unionByName(implemented).unionByName(extended)
-    return rows.groupBy("reason", "file_path", "line", "symbol").agg(F.max("score").alias("score"), F.min("kind").alias("kind")).orderBy(F.desc("score"), "file_path", "line", "symbol").limit(limit)
-
+    return rows.groupBy("reason", "file_path", "line", "symbol").agg(F.max("score").alias("score"), F.min("kind").alias("kind")).orderBy(F.desc("score"), *name_order("file_path"), "line", *name_order("symbol")).limit(limit)

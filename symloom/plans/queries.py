@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from symloom.functions.text import ROUTE_METHODS, calls_own, decorator_name, hrefs, last_segment, resource_name, route_method, route_segments, shown_value, signature_line, unquoted
-from symloom.operators import lookup, maintain, resolve, traverse
-from symloom.plans.graph import IMPORTS_SQL, MIXED_SQL, NAMED_SQL, RESOLVED_SQL, RULES_SQL, load, mixed_refs, named_refs, with_graph
+from symloom.operators import lookup, maintain, resolve, search, stored, traverse
+from symloom.plans.graph import Graph, IMPORTS_SQL, MIXED_SQL, NAMED_SQL, RESOLVED_SQL, RULES_SQL, load, mixed_refs, named_refs, with_graph
 from symloom.schema import validate
-from symloom.sources import projects
-from symloom.streaming import feed
+from symloom.shared import new_folder
+from symloom.sources import listing, projects
+from symloom.streaming import feed, timers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -56,6 +59,40 @@ def search_symbols_kind_limit(spark, sf_dir):
     return lookup.search_symbols(load(spark, sf_dir).symbols, "1", "method", 100)
 
 
+#: Patterns of every length, with wildcards, quotes, backslashes and capitals, beside those that come from the tables.
+PATTERNS = ("ri_g", "R%3", "%", "_", "a", "#0", "", "zzz", "O'x", "\\\\", "b__e")
+PATTERNS_SQL = "patterns AS (SELECT DISTINCT substr(n_name, 3, 6) AS pattern FROM nation UNION SELECT DISTINCT substr(p_name, 2, 5) FROM part UNION SELECT unnest([" + ", ".join("'" + p.replace("'", "''") + "'" for p in PATTERNS) + "]))"
+
+
+def patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = read(spark, sf_dir, "nation").select(F.substring("n_name", 3, 6).alias("pattern")).union(read(spark, sf_dir, "part").select(F.substring("p_name", 2, 5)))
+    return own.union(spark.createDataFrame([(p,) for p in PATTERNS], "pattern string"))
+
+
+FOUND_SQL = "SELECT pattern, id, name, kind, file_path, line FROM (SELECT *, row_number() OVER (PARTITION BY pattern ORDER BY id) AS n FROM patterns JOIN symbols ON {test}) WHERE n <= 20"
+
+
+@query(with_graph(FOUND_SQL.format(test="lower(name) LIKE '%' || replace(lower(pattern), chr(92), chr(92) || chr(92)) || '%' ESCAPE chr(92)"), PATTERNS_SQL))
+def search_many(spark, sf_dir):
+    return search.search_many(load(spark, sf_dir).symbols, patterns(spark, sf_dir))
+
+
+@query(with_graph(FOUND_SQL.format(test="contains(lower(name), lower(pattern))"), PATTERNS_SQL))
+def search_many_literal(spark, sf_dir):
+    return search.search_many(load(spark, sf_dir).symbols, patterns(spark, sf_dir), literal=True)
+
+
+WORDS_SQL = r"words AS (SELECT DISTINCT w FROM (SELECT unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS w FROM documents) WHERE length(w) < 8)"
+
+
+@query("WITH " + WORDS_SQL + " SELECT w AS name, row_number() OVER (ORDER BY w COLLATE en, w)::INT AS place FROM words ORDER BY place LIMIT 200")
+def names_in_order(spark, sf_dir):
+    """The first short words of the documents in the order of names, accents and capitals included."""
+    words = read(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("name")).where("length(name) < 8").distinct()
+    first = lookup.collated(words, "name").limit(200)
+    return first.withColumn("place", F.row_number().over(Window.orderBy(*lookup.name_order("name"))))  # 200 rows
+
+
 @query(with_graph("SELECT p.name AS class_name, c.id, c.name, c.kind, c.file_path, c.line, NULL::VARCHAR AS signature, c.modifiers FROM symbols c JOIN symbols p ON c.parent_id = p.id AND p.kind = 'class'"))
 def get_methods(spark, sf_dir):
     return lookup.members(load(spark, sf_dir).symbols)
@@ -144,6 +181,13 @@ def resource_symbol(spark, sf_dir):
     return load(spark, sf_dir).symbols.where("name = 'blue bolt'")
 
 
+@query(with_graph("SELECT id, name, kind, file_path, line, parent_id FROM symbols WHERE id IN (SELECT target_symbol_id FROM refs WHERE ref_kind IN ('extends', 'implements'))"))
+def symbols_by_id(spark, sf_dir):
+    g = load(spark, sf_dir)
+    wanted = g.references.where(F.col("ref_kind").isin("extends", "implements")).select(F.col("target_symbol_id").alias("id"))
+    return lookup.by_ids(g.symbols, wanted).select("id", "name", "kind", "file_path", "line", "parent_id")
+
+
 @query(with_graph("SELECT source_symbol_id, s.name AS source_name, target_symbol_id, t.name AS target_name, t.file_path AS target_file, ref_kind, source_line, confidence FROM refs JOIN symbols s ON s.id = source_symbol_id JOIN symbols t ON t.id = target_symbol_id WHERE ref_kind = 'calls'"))
 def outgoing_refs(spark, sf_dir):
     g = load(spark, sf_dir)
@@ -247,10 +291,10 @@ def find_write_targets_interface(spark, sf_dir):
 FLOW_SQL = """
 , calls AS (SELECT source_symbol_id AS a, target_symbol_id AS b, min(source_line) AS line FROM refs WHERE ref_kind = 'calls' GROUP BY ALL),
 e AS (SELECT a, b, printf('%08d/%012d ', calls.line, b) AS step, name FROM calls JOIN symbols ON id = b),
-f0 AS (SELECT id AS seed, id, name AS path, '' AS ord FROM symbols WHERE {seeds}),
-f1 AS (SELECT seed, b AS id, arg_min(path || ' -> ' || e.name, ord || step) AS path, min(ord || step) AS ord FROM f0 JOIN e ON a = id WHERE b <> seed GROUP BY seed, b),
+f0 AS (SELECT s.id AS seed, arg_min(t.id, (t.file_path <> s.file_path, t.id)) AS id, s.name AS path, '' AS ord FROM (SELECT * FROM symbols WHERE {seeds}) s JOIN symbols t ON t.name = s.name GROUP BY s.id, s.name),
+f1 AS (SELECT seed, f0.id AS base, b AS id, arg_min(path || ' -> ' || e.name, ord || step) AS path, min(ord || step) AS ord FROM f0 JOIN e ON a = f0.id WHERE b <> f0.id GROUP BY seed, f0.id, b),
 f2 AS (SELECT f1.seed, b AS id, arg_min(f1.path || ' -> ' || e.name, f1.ord || step) AS path, min(f1.ord || step) AS ord FROM f1 JOIN e ON a = f1.id
-  LEFT JOIN f1 v ON v.seed = f1.seed AND v.id = b WHERE b <> f1.seed AND v.id IS NULL GROUP BY f1.seed, b),
+  LEFT JOIN f1 v ON v.seed = f1.seed AND v.id = b WHERE b <> f1.base AND v.id IS NULL GROUP BY f1.seed, b),
 done AS (SELECT seed, 3 AS hops, path, ord FROM f2 UNION ALL SELECT seed, 2, path, ord FROM f1 WHERE id NOT IN (SELECT a FROM e) UNION ALL SELECT seed, 1, path, ord FROM f0 WHERE id NOT IN (SELECT a FROM e)),
 every AS (SELECT * FROM done UNION ALL SELECT seed, 1, path, ord FROM f0 WHERE seed NOT IN (SELECT seed FROM done))
 SELECT row_number() OVER (ORDER BY seed, hops, ord)::INT AS path_rank, hops, path FROM every ORDER BY path_rank LIMIT 3"""
@@ -269,8 +313,7 @@ def explain_flow_symbol(spark, sf_dir):
 @query(flow_sql("name = 'supply_3' AND parent_id IN (SELECT id FROM symbols WHERE kind = 'class' AND name = 'NATION_14')"))
 def explain_flow_member(spark, sf_dir):
     g = load(spark, sf_dir)
-    symbols = g.symbols.where("name <> 'supply_3' or parent_id in (2000000014)")  # a seed goes on from the first symbol of its name
-    return traverse.explain_flow(symbols, g.references, traverse.seeds_of(g.symbols, symbol_name="supply_3", class_name="NATION_14"))
+    return traverse.explain_flow(g.symbols, g.references, traverse.seeds_of(g.symbols, symbol_name="supply_3", class_name="NATION_14"))
 
 
 @query(flow_sql("file_path = '/proj/region_2.ts' AND parent_id IS NULL AND kind IN ('function', 'class')"))
@@ -285,6 +328,19 @@ def reachable_depth(spark, sf_dir):
     return traverse.reachable(g.references, g.symbols.where("name = 'Customer#000000001'"), 4)
 
 
+@query(with_graph("SELECT id, min(depth) AS depth FROM walk GROUP BY id", "steps AS (SELECT DISTINCT source_symbol_id AS a, target_symbol_id AS b FROM refs WHERE ref_kind = 'calls')", "walk AS (SELECT id, 0 AS depth FROM symbols WHERE name = 'Customer#000000001' UNION SELECT b, depth + 1 FROM walk JOIN steps ON a = id WHERE depth < 10)"))
+def reachable_depth_ten(spark, sf_dir):
+    g = load(spark, sf_dir)
+    return traverse.reachable(g.references, g.symbols.where("name = 'Customer#000000001'"), 10)
+
+
+@query(with_graph("SELECT id, min(depth) AS depth FROM walk GROUP BY id", "steps AS (SELECT DISTINCT source_symbol_id AS a, target_symbol_id AS b FROM refs WHERE ref_kind = 'extends')", "walk AS (SELECT id, 0 AS depth FROM symbols WHERE kind = 'class' AND file_path = '/proj/region_1.ts' UNION SELECT b, depth + 1 FROM walk JOIN steps ON a = id WHERE depth < 10)"))
+def inheritance_depth_ten(spark, sf_dir):
+    """What the classes of a file come from, by a recursive query."""
+    g = load(spark, sf_dir)
+    return traverse.reachable_sql(g.references, g.symbols.where("kind = 'class' and file_path = '/proj/region_1.ts'"), 10, "extends")
+
+
 @query(with_graph("SELECT file_path, kind, count(*)::BIGINT AS symbol_count FROM symbols GROUP BY file_path, kind"))
 def symbol_counts(spark, sf_dir):
     return load(spark, sf_dir).symbols.groupBy("file_path", "kind").agg(F.count(F.lit(1)).alias("symbol_count"))
@@ -312,6 +368,30 @@ def debounce_batch(spark, sf_dir):
     return feed.debounce(read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "ts", 21600).select("user_id", F.col("first_ts").cast("timestamp_ntz").alias("first_ts"), F.col("last_ts").cast("timestamp_ntz").alias("last_ts"), "n")
 
 
+FLUSH_SQL = """
+WITH e AS (SELECT DISTINCT user_id, ts, event_type AS what, event_type IN ('error', 'purchase') AS request FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL AND event_type IS NOT NULL),
+o AS (SELECT * FROM e WHERE NOT request UNION ALL SELECT user_id, ts, min(what), true FROM e WHERE request GROUP BY user_id, ts),
+c AS (SELECT *, CASE WHEN lag(request) OVER w OR epoch_us(ts) - lag(epoch_us(ts)) OVER w > 21600000000 THEN 1 ELSE 0 END AS cut FROM o WINDOW w AS (PARTITION BY user_id ORDER BY ts, request, what)),
+b AS (SELECT *, sum(cut) OVER (PARTITION BY user_id ORDER BY ts, request, what ROWS UNBOUNDED PRECEDING) AS burst FROM c)
+SELECT user_id, coalesce(max(ts) FILTER (request), max(ts) + INTERVAL 6 HOUR) AS fire_ts, coalesce(max(what) FILTER (request), 'quiet') AS reason, arg_max(what, (ts, what)) FILTER (NOT request) AS op FROM b GROUP BY user_id, burst
+"""
+
+
+@query(FLUSH_SQL)
+def debounce_flush(spark, sf_dir):
+    """Bursts of a user's events; errors and purchases do not wait for the end of theirs."""
+    events = read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return timers.debounce_flush(events, "user_id", "ts", "event_type", 21600, ("error", "purchase")).withColumn("fire_ts", F.col("fire_ts").cast("timestamp_ntz"))
+
+
+@query("WITH a AS (SELECT doc_id, sha256(coalesce(text, '')) AS h FROM documents WHERE doc_id % 7 <> 0), b AS (SELECT doc_id, sha256(coalesce(text, '') || CASE WHEN n_chars > 2000 THEN 'x' ELSE '' END) AS h FROM documents WHERE doc_id % 11 <> 0) SELECT coalesce(a.doc_id, b.doc_id) AS path, CASE WHEN a.doc_id IS NULL THEN 'add' WHEN b.doc_id IS NULL THEN 'unlink' ELSE 'change' END AS op, b.h AS content_hash FROM a FULL JOIN b ON a.doc_id = b.doc_id WHERE a.h IS DISTINCT FROM b.h")
+def listing_changes(spark, sf_dir):
+    """Two listings of the documents: every seventh was absent before, every eleventh is now, long ones differ."""
+    docs = read(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit("")))
+    listed = lambda df, text: df.select(F.col("doc_id").alias("path"), F.sha2(text, 256).alias("content_hash"))
+    return listing.compare(listed(docs.where("doc_id % 7 <> 0"), F.col("text")), listed(docs.where("doc_id % 11 <> 0"), F.concat("text", F.when(F.col("n_chars") > 2000, "x").otherwise(""))))
+
+
 @query("SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1 AND event_type <> 'error'")
 def latest_state(spark, sf_dir):
     return feed.latest_state(read(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type", "value"), "user_id", ["ts", "event_id"], "event_type", "error").select("user_id", "event_id", "event_type", "value")
@@ -350,9 +430,18 @@ def path_alias_match(spark, sf_dir):
 def route_prefix_match(spark, sf_dir):
     routes = read(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^https?://[^/]+(/[^?]*)", 1).alias("route"))
     prefixes = read(spark, sf_dir, "documents").where("lang is not null").select(F.concat(F.lit("/"), "lang").alias("prefix")).distinct().union(spark.range(1).select(F.lit("/")))
-    # A route's prefixes are its own starts, cut at each length: an equality join, longest first.
-    starts = routes.withColumn("prefix", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("route"))), lambda n: F.substring("route", 1, n))))
-    return starts.join(prefixes.distinct(), "prefix").groupBy("page_id", "route").agg(F.max_by("prefix", F.length("prefix")).alias("prefix"))
+    return search.longest_prefix(routes, prefixes)
+
+
+@query(r"""WITH u AS (SELECT page_id, regexp_extract(url, '^https?://[^/]+(/[^?]*)', 1) AS route FROM pages),
+p AS (SELECT DISTINCT regexp_extract(route, '^(/[^/]*/[^/]{0,3})', 1) AS prefix FROM u WHERE page_id % 3 = 0 UNION SELECT DISTINCT regexp_extract(route, '^(/[^/]*/)', 1) FROM u UNION SELECT substr(route, 1, 4) FROM u WHERE page_id % 5 = 0)
+SELECT page_id, route, arg_max(prefix, length(prefix)) AS prefix FROM u JOIN p ON starts_with(route, prefix) GROUP BY page_id, route""")
+def route_prefix_many(spark, sf_dir):
+    """Prefixes that come from the routes themselves: thousands, at segments and within them."""
+    routes = read(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^https?://[^/]+(/[^?]*)", 1).alias("route"))
+    start = lambda pattern: F.regexp_extract("route", pattern, 1)
+    prefixes = routes.where("page_id % 3 = 0").select(start("^(/[^/]*/[^/]{0,3})").alias("prefix")).union(routes.select(start("^(/[^/]*/)"))).union(routes.where("page_id % 5 = 0").select(F.substring("route", 1, 4)))
+    return search.longest_prefix(routes, prefixes)
 
 
 @query("SELECT event_id, json_extract_string(props, '$.k') AS value, CASE WHEN json_extract_string(props, '$.k') IS NULL THEN 'default' ELSE 'props' END AS source FROM events")
@@ -433,17 +522,52 @@ LEFT JOIN in_file f ON f.file_path = n.target_file AND f.name = n.target_name LE
 WHERE n.source_file <> '/proj/region_2.ts' AND (CASE WHEN n.target_file IS NOT NULL THEN f.hit ELSE a.hit END) IS NOT NULL"""
 
 
-@query(with_graph(REINDEX_SQL, NAMED_SQL))
-def reindex(spark, sf_dir):
+def read_again(g: Graph) -> tuple[DataFrame, DataFrame]:
     """Four files are read again: one as it was, one with other names, one without its references, one that fails."""
-    g, refs = load(spark, sf_dir), named_refs(spark, sf_dir)
-    stored = maintain.State(g.symbols, refs, g.files.select("path", "content_hash", "symbol_count"))
     paths = ["/proj/region_1.ts", "/proj/Brand#2.ts", "/proj/region_2.ts", "/proj/region_3.ts"]
     hashed = F.when(F.col("path").isin("/proj/Brand#2.ts", "/proj/region_2.ts"), F.sha2("content_hash", 256)).otherwise(F.col("content_hash"))
     read_again = g.files.where(F.col("path").isin(*paths)).select("path", hashed.alias("content_hash"), "symbol_count", F.when(F.col("path") == "/proj/region_3.ts", "cannot be parsed").alias("error"))
     fresh = g.symbols.where(F.col("file_path").isin(*paths))
-    fresh = fresh.withColumn("name", F.when(F.col("file_path") == "/proj/Brand#2.ts", F.concat("name", F.lit(" two"))).otherwise(F.col("name")))
-    return maintain.reindex(stored, read_again, fresh, refs.limit(0)).references.select("source_symbol_id", "target_symbol_id", "source_line")
+    return read_again, fresh.withColumn("name", F.when(F.col("file_path") == "/proj/Brand#2.ts", F.concat("name", F.lit(" two"))).otherwise(F.col("name")))
+
+
+@query(with_graph(REINDEX_SQL, NAMED_SQL))
+def reindex(spark, sf_dir):
+    g, refs = load(spark, sf_dir), named_refs(spark, sf_dir)
+    kept = maintain.State(g.symbols, refs, g.files.select("path", "content_hash", "symbol_count"))
+    again, fresh = read_again(g)
+    return maintain.reindex(kept, again, fresh, refs.limit(0)).references.select("source_symbol_id", "target_symbol_id", "source_line")
+
+
+def stored_graph(spark: SparkSession, sf_dir: str) -> stored.StoredGraph:
+    """The graph in tables of their own; 8 partitions are enough for some 30 files."""
+    g, name = load(spark, sf_dir), f"graph_{uuid.uuid4().hex[:12]}"
+    return stored.StoredGraph(spark, name, new_folder(spark, name), parts=8, buckets=2).create(g.symbols, named_refs(spark, sf_dir), g.files)
+
+
+@query(with_graph(REINDEX_SQL, NAMED_SQL))
+def reindex_stored(spark, sf_dir):
+    """The same change as a delta on stored tables: the edges afterwards."""
+    graph, g = stored_graph(spark, sf_dir), load(spark, sf_dir)
+    again, fresh = read_again(g)
+    graph.update(again, fresh, named_refs(spark, sf_dir).limit(0))
+    return graph.references.select("source_symbol_id", "target_symbol_id", "source_line")
+
+
+@query(with_graph("SELECT id, CASE WHEN file_path = '/proj/Brand#2.ts' THEN name || ' two' ELSE name END AS name, kind, file_path, line, parent_id FROM symbols WHERE file_path <> '/proj/Brand#3.ts'"))
+def stored_symbols(spark, sf_dir):
+    """The table of symbols after a file was read again and another one deleted."""
+    graph, g = stored_graph(spark, sf_dir), load(spark, sf_dir)
+    again, fresh = read_again(g)
+    graph.update(again, fresh, named_refs(spark, sf_dir).limit(0), epoch=1)
+    graph.delete(spark.createDataFrame([("/proj/Brand#3.ts",)], "path string"))
+    return graph.symbols.select("id", "name", "kind", "file_path", "line", "parent_id")
+
+
+@query(with_graph("SELECT target_name AS symbol_name, source_name AS caller_name, source_file AS caller_file, 'direct' AS confidence FROM resolved WHERE source_symbol_id IS NOT NULL AND target_symbol_id IS NOT NULL AND target_name = (SELECT min(p_name) FROM part) GROUP BY ALL", *RESOLUTION))
+def stored_callers(spark, sf_dir):
+    """Callers by a join of bucketed tables."""
+    return stored_graph(spark, sf_dir).callers(read(spark, sf_dir, "part").agg(F.min("p_name")).first()[0])
 
 
 IMPORTED_SQL = """
@@ -532,3 +656,83 @@ def shown_values(spark, sf_dir):
 def decorator_names(spark, sf_dir):
     name = decorator_name(F.concat(F.lit("ns."), "event_type", F.lit("()")))
     return read(spark, sf_dir, "events").select("event_id", name.alias("decorator"), unquoted(F.col("props")).alias("bare"))
+
+
+@query(with_graph("SELECT 'symbol_kind' AS rule, count(*) FILTER (id % 7 = 0)::BIGINT AS violations FROM symbols UNION ALL SELECT 'symbol_name', count(*) FILTER (id % 11 = 0)::BIGINT FROM symbols UNION ALL SELECT 'symbol_line', count(*) FILTER (id % 13 = 0 OR line < 1)::BIGINT FROM symbols UNION ALL SELECT 'ref_kind', count(*) FILTER (source_line = 2)::BIGINT FROM refs UNION ALL SELECT 'confidence', count(*) FILTER (confidence = 'weak')::BIGINT FROM refs"))
+def validate_damaged_graph(spark, sf_dir):
+    """Rows of which some break each of the rules."""
+    g = load(spark, sf_dir)
+    symbols = g.symbols.withColumn("kind", F.when(F.col("id") % 7 == 0, "module").otherwise(F.col("kind"))).withColumn("name", F.when(F.col("id") % 11 != 0, F.col("name"))).withColumn("line", F.when(F.col("id") % 13 == 0, 0).otherwise(F.col("line")))
+    references = g.references.withColumn("ref_kind", F.when(F.col("source_line") == 2, None).otherwise(F.col("ref_kind"))).withColumn("confidence", F.when(F.col("confidence") == "weak", "unsure").otherwise(F.col("confidence")))
+    return validate(symbols, references)
+
+
+@query("SELECT p_partkey, p_name || '+' || p_brand AS name FROM part")
+def encoded_resource_names(spark, sf_dir):
+    """Names with blanks and number signs in addresses; a plus sign stands for itself."""
+    uri = F.concat(F.lit("symbol://"), F.replace("p_name", F.lit(" "), F.lit("%20")), F.lit("+"), F.replace("p_brand", F.lit("#"), F.lit("%23")))
+    return read(spark, sf_dir, "part").select("p_partkey", resource_name(uri, "symbol").alias("name"))
+
+
+@query("SELECT event_id, ['k', event_type, 'rest', user_id::VARCHAR] AS names, [false, true, true, false] AS dynamic FROM events")
+def dynamic_route_segments(spark, sf_dir):
+    """Routes with segments that stand for a value and for all that follow."""
+    route = F.concat(F.lit("/k/["), "event_type", F.lit("]/[...rest]/"), "user_id")
+    own = read(spark, sf_dir, "events").select("event_id", route_segments(route).alias("s"))
+    return own.select("event_id", F.col("s.name").alias("names"), F.col("s.dynamic").alias("dynamic"))
+
+
+SUFFIXES_SQL = "['.ts', '/index.ts', '.tsx', '/index.tsx', '.js']"
+RELATIVE_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(lang, 'none') AS lang FROM documents),
+files AS (SELECT '/src/' || lang || '/d' || doc_id || {SUFFIXES_SQL}[(doc_id % 5 + 1)::INT] AS path FROM d),
+x AS (SELECT '/src/' || lang || '/m' || doc_id || '.ts' AS source_file, './d' || doc_id + 1 AS specifier, '/src/' || lang || '/d' || (doc_id + 1) AS base FROM d
+  UNION ALL SELECT '/src/' || lang || '/m' || doc_id || '.ts', '.././en/../en/d' || doc_id + 2, '/src/en/d' || (doc_id + 2) FROM d),
+tried AS (SELECT source_file, specifier, base || {SUFFIXES_SQL}[rank] AS target_file, rank FROM x, range(1, 5) AS t(rank))
+SELECT source_file, specifier, arg_min(target_file, rank) AS target_file FROM tried JOIN files ON path = target_file GROUP BY source_file, specifier"""
+
+
+@query(RELATIVE_SQL)
+def resolve_relative_imports(spark, sf_dir):
+    """Modules of one folder and of another one, by each suffix; what only a ``.js`` file would answer is not found."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("lang", F.lit("none")).alias("lang"))
+    folder = F.concat(F.lit("/src/"), "lang", F.lit("/"))
+    ending = F.element_at(F.array(*[F.lit(x) for x in (*projects.SUFFIXES, ".js")]), (F.col("doc_id") % 5 + 1).cast("int"))
+    files = docs.select(F.concat(folder, F.lit("d"), "doc_id", ending).alias("path"))
+    each = F.array(F.concat(F.lit("./d"), F.col("doc_id") + 1), F.concat(F.lit(".././en/../en/d"), F.col("doc_id") + 2))
+    imports = docs.select(F.concat(folder, F.lit("m"), "doc_id", F.lit(".ts")).alias("path"), F.explode(each).alias("specifier"))
+    return projects.resolve_imports(imports, files, with_specifier=True)
+
+
+CODE_SQL = r"""
+SELECT doc_id::VARCHAR AS path, unnest(['./a' || doc_id, './b' || (doc_id % 7), '../c/' || coalesce(lang, '')]) AS specifier FROM documents"""
+
+
+@query(CODE_SQL)
+def imports_in_code(spark, sf_dir):
+    """Sources in which the documents' texts stand in comments, strings and templates, beside imports that are none."""
+    bare = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\\*/'\"`${}]", " ")
+    line = F.regexp_replace(bare, r"\s", " ")
+    content = F.concat(
+        F.lit("import a, { b as c } from './a"), "doc_id", F.lit("';\n/* import no from './no1'\n"), bare, F.lit("*/\n// import './no2' "), line,
+        F.lit("\nconst s = \"import './no3' "), line, F.lit("\"; import * as ns from \"./b"), F.col("doc_id") % 7, F.lit("\"\nconst t = `\nimport './no4'\n"), bare, F.lit("${f('`', `import './no5'`)}`, r = /[`\"']import '.no6'/\n"),
+        F.lit("import {\n  d, // from './no7'\n  type E\n} from '../c/"), F.coalesce("lang", F.lit("")), F.lit("'\nimport('./no8')\n"),
+    )
+    return projects.import_specifiers(read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), content.alias("content")))
+
+
+def reindexed(spark: SparkSession, sf_dir: str) -> maintain.State:
+    g, refs = load(spark, sf_dir), named_refs(spark, sf_dir)
+    again, fresh = read_again(g)
+    return maintain.reindex(maintain.State(g.symbols, refs, g.files.select("path", "content_hash", "symbol_count")), again, fresh, refs.limit(0))
+
+
+@query(with_graph("SELECT path, CASE WHEN path IN ('/proj/Brand#2.ts', '/proj/region_2.ts') THEN sha256(content_hash) ELSE content_hash END AS content_hash, symbol_count FROM (SELECT file_path AS path, count(*)::BIGINT AS symbol_count, sha256(string_agg(name, chr(10) ORDER BY id)) AS content_hash FROM symbols GROUP BY file_path)"))
+def reindex_files(spark, sf_dir):
+    """File records after the re-index: new ones for what changed, old ones where parsing failed."""
+    return reindexed(spark, sf_dir).files
+
+
+@query("SELECT '/proj/region_3.ts' AS path, 'cannot be parsed' AS error FROM (SELECT count(*) AS n FROM nation WHERE n_regionkey = 3) WHERE n > 0")
+def reindex_errors(spark, sf_dir):
+    return reindexed(spark, sf_dir).errors

@@ -33,10 +33,28 @@ def read_aliases(spark: SparkSession, path: str, root: str) -> DataFrame:
     return each.select(F.struct("alias", "at").alias("turn"), "pattern", F.concat(F.lit(root.rstrip("/") + "/"), "value").alias("target"))
 
 
+#: What is read as one piece of code. Comments, strings, templates (with strings and one more template inside their
+#: insertions) and regular expressions are consumed whole, so an import inside them is none; ``import(...)``,
+#: ``import x = ...`` and ``x.import`` are no import statements.
+_COMMENT = r"/\*(?s:.*?)\*/|//[^\n]*+"
+_STRING = r"""'[^'\\\n]*+(?:\\(?s:.)[^'\\\n]*+)*+'|"[^"\\\n]*+(?:\\(?s:.)[^"\\\n]*+)*+\""""
+_TEMPLATE = rf"`[^`\\$]*+(?:(?:\\(?s:.)|\$\{{[^`'\"{{}}]*+(?:(?:`[^`]*+`|{_STRING}|\{{[^{{}}]*+\}})[^`'\"{{}}]*+)*+\}}|\$)[^`\\$]*+)*+`"
+_REGEX = r"(?<=[=(,:!&|?\[;{}]\s{0,9})/(?![*/])[^/\\\[\n]*+(?:(?:\\.|\[[^\]\\\n]*+(?:\\.[^\]\\\n]*+)*+\])[^/\\\[\n]*+)*+/"
+_IMPORT = rf"""(?<![\w$.])import(?:\s|{_COMMENT})++(?:type\s+)?(?:((?:[\w$*{{}},\s]|{_COMMENT})+?)\s*+from)?\s*+(?:'([^'\n]*+)'|"([^"\n]*+)")"""
+CODE = f"{_IMPORT}|{_COMMENT}|{_TEMPLATE}|{_STRING}|{_REGEX}"
+
+
+def _statements(content: Column) -> Column:
+    """Import statements of a source text in order: clause (empty for side effects), specifier."""
+    part = lambda n: F.regexp_extract_all(content, F.lit(CODE), F.lit(n))
+    each = F.arrays_zip(part(1).alias("clause"), part(2).alias("one"), part(3).alias("two"))
+    named = F.transform(each, lambda x: F.struct(F.regexp_replace(x["clause"], _COMMENT, " ").alias("clause"), F.concat(x["one"], x["two"]).alias("specifier")))
+    return F.filter(named, lambda x: x["specifier"] != "")
+
+
 def import_specifiers(files: DataFrame) -> DataFrame:
-    """(path, specifier): distinct modules that a file imports, side effects included."""
-    pattern = r"""(?m)^\s*import\s+(?:type\s+)?(?:[\w$*{}\s,]+?\s+from\s+)?['"]([^'"]+)['"]"""
-    return files.select("path", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(pattern), F.lit(1)))).alias("specifier"))
+    """(path, specifier): distinct modules that a file's import statements name, side effects included."""
+    return files.select("path", F.explode(F.array_distinct(F.transform(_statements(F.col("content")), lambda x: x["specifier"]))).alias("specifier"))
 
 
 def normal_path(path: Column) -> Column:
@@ -47,8 +65,7 @@ def normal_path(path: Column) -> Column:
 
 def imported_names(files: DataFrame) -> DataFrame:
     """(path, position, specifier, name): each name that a file's imports bring in, default ones too, under the name it is exported by."""
-    pattern = r"""(?m)^\s*import\s+(?:type\s+)?([\w$*{}\s,]+?)\s+from\s+['"]([^'"]+)['"]"""
-    each = files.select("path", F.posexplode(F.arrays_zip(F.regexp_extract_all("content", F.lit(pattern), F.lit(1)).alias("clause"), F.regexp_extract_all("content", F.lit(pattern), F.lit(2)).alias("specifier"))).alias("position", "x"))
+    each = files.select("path", F.posexplode(F.filter(_statements(F.col("content")), lambda x: x["clause"] != "")).alias("position", "x"))
     clause = F.col("x.clause")
     named = F.split(F.regexp_extract(clause, r"\{([^}]*)\}", 1), ",")
     default = F.array(F.regexp_extract(clause, r"^\s*([\w$]+)\s*(?:,|$)", 1))

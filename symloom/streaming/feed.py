@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -34,11 +35,45 @@ def latest_state(feed: DataFrame, key: str, order: list[str], op: str, removed:
     return last.select(key, "x.*").where(F.col(op) != removed)
 
 
+def _last_of_each(batch: DataFrame) -> DataFrame:
+    return batch.groupBy("path").agg(F.max_by(F.struct(*[c for c in batch.columns if c != "path"]), "ts").alias("x")).select("path", "x.*")
+
+
+class Updates:
+    """A running query over a change feed, which can be ended between two batches."""
+
+    def __init__(self, feed: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, name: str, **trigger):
+        self._idle = threading.Lock()
+
+        def once(batch: DataFrame, epoch: int) -> None:
+            with self._idle:
+                apply(_last_of_each(batch), epoch)
+
+        self.query = feed.writeStream.foreachBatch(once).option("checkpointLocation", checkpoint).queryName(name).trigger(**trigger).start()
+
+    def drain(self, timeout: float = 5.0) -> bool:
+        """End after the batch in flight; False if that took longer than ``timeout`` seconds and was cut off.
+
+        A batch that was applied, but not yet noted in the checkpoint, comes again after a restart: ``apply`` tells by
+        its epoch (as ``StoredGraph.update`` does).
+        """
+        over = self._idle.acquire(timeout=timeout)
+        try:
+            self.query.stop()
+        finally:
+            if over:
+                self._idle.release()
+        return over
+
+
 def run_updates(feed: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, name: str = "graph-updates") -> StreamingQuery:
-    """Hand every micro-batch of a feed to ``apply`` once per path: only each path's last event counts."""
+    """Hand what is there of a feed to ``apply``, in micro-batches with their epochs: only each path's last event counts.
+
+    A batch that failed comes again with the same epoch; epochs go on as long as the checkpoint is kept.
+    """
+    return Updates(feed, apply, checkpoint, name, availableNow=True).query
 
-    def once(batch: DataFrame, epoch: int) -> None:
-        last = batch.groupBy("path").agg(F.max_by(F.struct(*[c for c in batch.columns if c != "path"]), "ts").alias("x")).select("path", "x.*")
-        apply(last, epoch)
 
-    return feed.writeStream.foreachBatch(once).option("checkpointLocation", checkpoint).queryName(name).trigger(availableNow=True).start()
+def follow(feed: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, name: str = "graph-updates", every: str = "1 second") -> Updates:
+    """The same, on and on; :meth:`Updates.drain` ends it."""
+    return Updates(feed, apply, checkpoint, name, processingTime=every)
