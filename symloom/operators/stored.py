@@ -26,9 +26,11 @@ from pyspark.sql import functions as F
 
 from symloom.operators.maintain import changed
 from symloom.operators.resolve import with_ends
+from symloom.schema import FILE_IMPORTS, demand_valid
 from symloom.shared import create_new, exists, list_names, new_folder, remove, written
 
-#: Partitions of each table, and buckets in each.
+#: Partitions of each table, and buckets in each: what a change of one file rewrites is one in so many of its rows, so
+#: both grow with the project.
 PARTS, BUCKETS = 64, 8
 OVERWRITE = "spark.sql.sources.partitionOverwriteMode"
 PENDING = "name string, path string, parts array<int>, epoch long"
@@ -47,7 +49,11 @@ class Touched:
 
 
 class StoredGraph:
-    """symbols, refs (with both ends, null where unresolved), files, names and targets in one database."""
+    """symbols, refs (with both ends, null where unresolved), files, names, targets, imports and importers in one database.
+
+    Import pairs stand twice, by the file that imports and by the one that is imported, so either side is read or
+    deleted by its own partitions.
+    """
 
     def __init__(self, spark: SparkSession, database: str, folder: str | None = None, parts: int = PARTS, buckets: int = BUCKETS):
         self.spark, self.database, self.parts, self.buckets = spark, database, parts, buckets
@@ -59,7 +65,8 @@ class StoredGraph:
         return F.pmod(F.xxhash64(key), F.lit(self.parts)).cast("int").alias("part")
 
     def _put(self, df: DataFrame, name: str, key: str, bucket: str | None = None) -> None:
-        rows = df.withColumn("part", self.part(key)).repartition(self.parts, "part")
+        # Adaptive execution splits a partition that a common name or a large file makes too large for a task.
+        rows = df.withColumn("part", self.part(key)).hint("rebalance", "part")
         writer = rows.write.format("parquet").option("path", f"{self.folder}/{name}").partitionBy("part")
         (writer.bucketBy(self.buckets, bucket).sortBy(bucket) if bucket else writer).mode("overwrite").saveAsTable(f"{self.database}.{name}")
 
@@ -91,19 +98,26 @@ class StoredGraph:
     def targets_of(self, refs: DataFrame) -> DataFrame:
         return refs.select(self.aim(refs).alias("aim"), "source_file").where("aim is not null").distinct()
 
-    def create(self, symbols: DataFrame, named_refs: DataFrame, files: DataFrame) -> StoredGraph:
-        """All tables anew, from whole ones: symbols, references by name, files (path, content_hash, symbol_count)."""
+    def create(self, symbols: DataFrame, named_refs: DataFrame, files: DataFrame, imports: DataFrame | None = None) -> StoredGraph:
+        """All tables anew, from whole ones: symbols, references by name, files (path, content_hash, symbol_count).
+
+        Rows that break a rule of the schema raise ValidationError, here and in updates, before anything is written.
+        """
+        demand_valid(symbols, named_refs)
         self._put(symbols, "symbols", "file_path", "id")
         self._put(files.select("path", "content_hash", "symbol_count"), "files", "path")
         self._put(self.names_of(self.symbols), "names", "name")
         self._put(with_ends(named_refs.select(*REF_KEY), self.symbols), "refs", "source_file", "target_symbol_id")
         self._put(self.targets_of(self.table("refs")), "targets", "aim")
+        pairs = self.spark.createDataFrame([], FILE_IMPORTS) if imports is None else imports.select("source_file", "target_file").distinct()
+        self._put(pairs, "imports", "source_file")
+        self._put(self.table("imports").drop("part"), "importers", "target_file")
         return self
 
     def reset(self) -> None:
         """No rows; the tables stay."""
         none = lambda name, *drop: self.spark.createDataFrame([], self.table(name).drop("part", *drop).schema)
-        self.create(none("symbols"), none("refs", "source_symbol_id", "target_symbol_id"), none("files"))
+        self.create(none("symbols"), none("refs", "source_symbol_id", "target_symbol_id"), none("files"), none("imports"))
 
     # Changes.
     def _of(self, keys: DataFrame, column: str) -> list[int]:
@@ -147,7 +161,7 @@ class StoredGraph:
 
     def _put_partitions(self, name: str, ready: DataFrame, parts: list[int]) -> None:
         table = f"{self.database}.{name}"
-        ready.repartition(max(1, len(parts)), "part").write.mode("overwrite").insertInto(table)
+        ready.hint("rebalance", "part").write.mode("overwrite").insertInto(table)
         for empty in set(parts) - {r[0] for r in ready.select("part").distinct().collect()}:
             self.spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION (part = {empty})")
             remove(self.spark, f"{self.folder}/{name}/part={empty}")  # an external table keeps its files otherwise
@@ -157,11 +171,12 @@ class StoredGraph:
         """The last epoch that was applied, -1 before the first."""
         return max((int(n) for n in list_names(self.spark, f"{self.folder}/_epochs") if n.isdigit()), default=-1)
 
-    def update(self, read: DataFrame, symbols: DataFrame, named_refs: DataFrame, epoch: int | None = None) -> Touched:
+    def update(self, read: DataFrame, symbols: DataFrame, named_refs: DataFrame, imports: DataFrame | None = None, epoch: int | None = None) -> Touched:
         """Files were read again: path, content_hash, symbol_count, error (a row for each), and what was parsed from them.
 
         Files with their stored hash or with an error keep what is stored. A file that is gone comes with a null hash
-        and no rows: its record goes too. An epoch that was applied before changes nothing.
+        and no rows: its record goes too, and so do imports of it. Without ``imports`` (source_file, target_file) those
+        of files that are still there stay. An epoch that was applied before changes nothing.
         """
         self.recover()
         out = Touched()
@@ -173,6 +188,7 @@ class StoredGraph:
         without = lambda name, parts, column: self._at(name, parts).drop("part").join(good.select(F.col("path").alias(column)), column, "left_anti")
         at_files = self._of(good, "path")
         fresh, fresh_refs = written(of(symbols, "file_path"), "fresh-symbols"), of(named_refs.select(*REF_KEY), "source_file")
+        demand_valid(fresh, fresh_refs)
         fresh_names = self.names_of(fresh)
         names = written(of(self._at("symbols", at_files), "file_path").select("name").union(fresh.select("name")).distinct(), "touched-names")
         # Whom the change concerns.
@@ -195,11 +211,32 @@ class StoredGraph:
             self._stage("names", without("names", at_names, "file_path").unionByName(fresh_names), "name", at_names),
             self._stage("targets", without("targets", at_targets, "source_file").unionByName(new_targets), "aim", at_targets),
             self._stage("refs", same.unionByName(ends), "source_file", at_refs),
+            *self._staged_imports(good, imports),
             self._stage("files", without("files", at_files, "path").unionByName(good.where("content_hash is not null")), "path", at_files),
         ], epoch)
         out.files, out.names, out.references, out.targets, out.resolved = len(at_files), len(at_names), len(at_refs), len(at_targets), again.count()
         return out
 
+    def _staged_imports(self, good: DataFrame, imports: DataFrame | None) -> list[dict]:
+        """Both tables of import pairs, of the partitions that the files of ``good`` touch on either side."""
+        gone = good.where("content_hash is null").select("path")
+        at_sources, at_gone = self._of(good, "path"), self._of(gone, "path")
+        own = lambda df, files, side: df.join(files.select(F.col("path").alias(side)), side, "left_semi").select("source_file", "target_file")
+        rest = lambda df, files, side: df.join(files.select(F.col("path").alias(side)), side, "left_anti").select("source_file", "target_file")
+        old = own(self._at("imports", at_sources), good, "source_file")
+        fresh = rest(own(old if imports is None else imports.distinct(), good.where("content_hash is not null"), "source_file"), gone, "target_file")
+        fresh = written(fresh, "fresh-imports")
+        lost = written(own(self._at("importers", at_gone), gone, "target_file"), "lost-imports")
+        sources = sorted({*at_sources, *self._of(lost, "source_file")})
+        targets = sorted({*at_gone, *self._of(old, "target_file"), *self._of(fresh, "target_file")})
+        after = lambda name, parts: rest(rest(self._at(name, parts), good, "source_file"), gone, "target_file").unionByName(fresh)
+        return [self._stage("imports", after("imports", sources), "source_file", sources), self._stage("importers", after("importers", targets), "target_file", targets)]
+
+    def related_files(self, path: str) -> DataFrame:
+        """(file_path, direction, other_file) of one file, from its partition on either side."""
+        there = lambda name, side, other, direction: self.table(name).where((F.col("part") == self.part(F.lit(path))) & (F.col(side) == path)).select(F.lit(path).alias("file_path"), F.lit(direction).alias("direction"), F.col(other).alias("other_file"))
+        return there("imports", "source_file", "target_file", "imports_from").union(there("importers", "target_file", "source_file", "imported_by"))
+
     def _resolved(self, refs: DataFrame, symbols_at: Callable[[list[int]], DataFrame], names_at: Callable[[list[int]], DataFrame]) -> DataFrame:
         """Both ends of references, from the partitions of their files and names alone."""
         files = written(refs.select(F.col("source_file").alias("file_path")).union(refs.select("target_file")).where("file_path is not null").distinct(), "files-of-ends")

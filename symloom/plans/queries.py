@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from symloom.functions.text import ROUTE_METHODS, calls_own, decorator_name, hrefs, last_segment, resource_name, route_method, route_segments, shown_value, signature_line, unquoted
 from symloom.operators import lookup, maintain, resolve, search, stored, traverse
 from symloom.plans.graph import Graph, IMPORTS_SQL, MIXED_SQL, NAMED_SQL, RESOLVED_SQL, RULES_SQL, load, mixed_refs, named_refs, with_graph
-from symloom.schema import validate
+from symloom.schema import validate, validate_keys
 from symloom.shared import new_folder
 from symloom.sources import listing, projects
 from symloom.streaming import feed, timers
@@ -542,7 +542,7 @@ def reindex(spark, sf_dir):
 def stored_graph(spark: SparkSession, sf_dir: str) -> stored.StoredGraph:
     """The graph in tables of their own; 8 partitions are enough for some 30 files."""
     g, name = load(spark, sf_dir), f"graph_{uuid.uuid4().hex[:12]}"
-    return stored.StoredGraph(spark, name, new_folder(spark, name), parts=8, buckets=2).create(g.symbols, named_refs(spark, sf_dir), g.files)
+    return stored.StoredGraph(spark, name, new_folder(spark, name), parts=8, buckets=2).create(g.symbols, named_refs(spark, sf_dir), g.files, g.file_imports)
 
 
 @query(with_graph(REINDEX_SQL, NAMED_SQL))
@@ -564,6 +564,16 @@ def stored_symbols(spark, sf_dir):
     return graph.symbols.select("id", "name", "kind", "file_path", "line", "parent_id")
 
 
+@query(with_graph("SELECT '/proj/region_1.ts' AS file_path, 'imports_from' AS direction, target_file AS other_file FROM file_imports WHERE source_file = '/proj/region_1.ts' AND target_file LIKE '%2%' AND target_file <> '/proj/Brand#3.ts' UNION ALL SELECT '/proj/region_1.ts', 'imported_by', source_file FROM file_imports WHERE target_file = '/proj/region_1.ts' AND source_file <> '/proj/Brand#3.ts'", IMPORTS_SQL))
+def stored_related_files(spark, sf_dir):
+    """A file's imports on either side after its own were replaced and another file was deleted."""
+    graph, g = stored_graph(spark, sf_dir), load(spark, sf_dir)
+    own = g.files.where("path = '/proj/region_1.ts'").select("path", F.sha2("content_hash", 256).alias("content_hash"), "symbol_count", F.lit(None).cast("string").alias("error"))
+    graph.update(own, g.symbols, named_refs(spark, sf_dir), g.file_imports.where("source_file = '/proj/region_1.ts' and target_file like '%2%'"))
+    graph.delete(spark.createDataFrame([("/proj/Brand#3.ts",)], "path string"))
+    return graph.related_files("/proj/region_1.ts")
+
+
 @query(with_graph("SELECT target_name AS symbol_name, source_name AS caller_name, source_file AS caller_file, 'direct' AS confidence FROM resolved WHERE source_symbol_id IS NOT NULL AND target_symbol_id IS NOT NULL AND target_name = (SELECT min(p_name) FROM part) GROUP BY ALL", *RESOLUTION))
 def stored_callers(spark, sf_dir):
     """Callers by a join of bucketed tables."""
@@ -667,6 +677,24 @@ def validate_damaged_graph(spark, sf_dir):
     return validate(symbols, references)
 
 
+KEYS_SQL = """
+, s AS (SELECT id, name, kind, file_path, line, parent_id FROM symbols WHERE id % 9 <> 0 UNION ALL SELECT id, name, kind, file_path, line, parent_id FROM symbols WHERE id % 14 = 0 UNION ALL SELECT id + 900000000000, name, kind, file_path, line, parent_id FROM symbols WHERE id % 15 = 0)
+SELECT 'symbol_id' AS rule, (count(*) - count(DISTINCT id))::BIGINT AS violations FROM s
+UNION ALL SELECT 'symbol_place', (count(*) - count(DISTINCT (file_path, name, kind, line)))::BIGINT FROM s
+UNION ALL SELECT 'file_path', count(DISTINCT file_path)::BIGINT FROM symbols
+UNION ALL SELECT 'symbol_parent', count(*)::BIGINT FROM s WHERE parent_id NOT IN (SELECT id FROM s)
+UNION ALL SELECT 'edge_source', count(*)::BIGINT FROM refs WHERE source_symbol_id NOT IN (SELECT id FROM s)
+UNION ALL SELECT 'edge_target', count(*)::BIGINT FROM refs WHERE target_symbol_id NOT IN (SELECT id FROM s)"""
+
+
+@query(with_graph(KEYS_SQL))
+def validate_graph_keys(spark, sf_dir):
+    """Symbols of which some are gone, some there twice and some under another id; every file twice."""
+    g = load(spark, sf_dir)
+    again = g.symbols.where("id % 14 = 0").union(g.symbols.where("id % 15 = 0").withColumn("id", F.col("id") + 900000000000))
+    return validate_keys(g.symbols.where("id % 9 <> 0").union(again), g.references, g.files.union(g.files))
+
+
 @query("SELECT p_partkey, p_name || '+' || p_brand AS name FROM part")
 def encoded_resource_names(spark, sf_dir):
     """Names with blanks and number signs in addresses; a plus sign stands for itself."""

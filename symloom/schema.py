@@ -33,3 +33,20 @@ def validate(symbols: DataFrame, references: DataFrame) -> DataFrame:
     two = references.agg(bad(~F.col("ref_kind").isin(*REF_KINDS)).alias("ref_kind"), bad(~F.col("confidence").isin(*CONFIDENCES)).alias("confidence"))
     flat = lambda df: df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("rule"), F.col(c).alias("violations")) for c in df.columns])).alias("x")).select("x.*")
     return flat(one).union(flat(two))
+
+
+def validate_keys(symbols: DataFrame, references: DataFrame, files: DataFrame) -> DataFrame:
+    """(rule, violations): rows beyond the first of a key, and rows that point to nothing."""
+    count = lambda df, rule: df.agg(F.count(F.lit(1)).alias("violations")).select(F.lit(rule).alias("rule"), "violations")
+    beyond = lambda df, rule, *keys: df.groupBy(*keys).agg((F.count(F.lit(1)) - 1).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("violations")).select(F.lit(rule).alias("rule"), "violations")
+    ids = symbols.select("id").distinct()
+    missing = lambda df, column, rule: count(df.select(F.col(column).alias("id")).where("id is not null").join(ids, "id", "left_anti"), rule)
+    out = beyond(symbols, "symbol_id", "id").union(beyond(symbols, "symbol_place", "file_path", "name", "kind", "line")).union(beyond(files, "file_path", "path"))
+    return out.union(missing(symbols, "parent_id", "symbol_parent")).union(missing(references, "source_symbol_id", "edge_source")).union(missing(references, "target_symbol_id", "edge_target"))
+
+
+def demand_valid(symbols: DataFrame, references: DataFrame) -> None:
+    """Raise ValidationError, naming the rules, if some rows break them."""
+    broken = {r["rule"]: r["violations"] for r in validate(symbols, references).where("violations > 0").collect()}  # a row for each rule
+    if broken:
+        raise ValidationError("rows break rules: " + ", ".join(f"{k} ({n})" for k, n in sorted(broken.items())))

@@ -6,6 +6,7 @@ import uuid
 import pytest
 
 from symloom.operators import maintain, resolve, stored
+from symloom.schema import ValidationError
 
 SYMBOLS = "id long, name string, kind string, file_path string, line int, parent_id long, modifiers string"
 REFS = "source_name string, source_file string, source_parent_name string, target_name string, target_file string, target_parent_name string, ref_kind string, source_line int, confidence string"
@@ -160,3 +161,41 @@ def test_deletion_and_reset(spark):
     assert {r["path"] for r in store.files.collect()} == set(tree.files)
     store.reset()
     assert store.symbols.count() == store.references.count() == store.files.count() == 0
+
+
+def test_rows_that_break_a_rule_are_refused(spark):
+    tree = Tree(10, 4, 4)
+    store = new_store(spark, tree, parts=2, buckets=1)
+    before = rows(store.symbols.select("id"))
+    tree.files[tree.paths[0]] = ("new", [(999, None, "module", tree.paths[0], 1, None, "")], [])
+    with pytest.raises(ValidationError, match=r"symbol_kind \(1\), symbol_name \(1\)"):
+        store.update(tree.read(spark, tree.paths[:1]), *tree.tables(spark, tree.paths[:1]))
+    assert rows(store.symbols.select("id")) == before
+
+
+def test_imports_of_either_side(spark):
+    tree = Tree(11, 9, 5)
+    store = new_store(spark, tree, parts=4, buckets=1)
+    pairs = {(a, b) for a in tree.paths for b in tree.paths if a != b and tree.rng.random() < 0.4}
+    frame = lambda rows: spark.createDataFrame(sorted(rows), "source_file string, target_file string")
+    store.create(*tree.tables(spark), tree.read(spark, list(tree.files)).drop("error"), frame(pairs))
+    changed, gone = tree.paths[:2], tree.paths[2:4]
+    for p in changed:
+        tree.write(p)
+    fresh = {(changed[0], tree.paths[5]), (changed[1], tree.paths[3]), (tree.paths[6], changed[0])}  # the last is none of theirs
+    store.update(tree.read(spark, changed), *tree.tables(spark, changed), frame(fresh | {(changed[0], tree.paths[5])}))
+    pairs = {p for p in pairs if p[0] not in changed} | {p for p in fresh if p[0] in changed}
+    for name in ("imports", "importers"):
+        assert rows(store.table(name).select("source_file", "target_file")) == sorted(pairs)
+    for p in gone:
+        tree.files.pop(p)
+    store.delete(spark.createDataFrame([(p,) for p in gone], "path string"))
+    pairs = {p for p in pairs if p[0] not in gone and p[1] not in gone}
+    for name in ("imports", "importers"):
+        assert rows(store.table(name).select("source_file", "target_file")) == sorted(pairs)
+    path = tree.paths[5]
+    want = [(path, "imports_from", b) for a, b in pairs if a == path] + [(path, "imported_by", a) for a, b in pairs if b == path]
+    assert rows(store.related_files(path)) == sorted(want, key=str)
+    tree.write(path)
+    store.update(tree.read(spark, [path]), *tree.tables(spark, [path]))  # without imports those of the file stay
+    assert rows(store.table("imports").select("source_file", "target_file")) == sorted(pairs)
