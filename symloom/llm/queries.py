@@ -113,6 +113,36 @@ SELECT source, source_size, coalesce(least(full_size, (SELECT rest FROM t) * wei
 """
 
 
+#: Row by row from the front: the cheapest audit to each state, inserted rows after each row included. The checksum is
+#: made byte by byte from a table that is made bit by bit.
+REPAIR_SQL = r"""
+WITH RECURSIVE tab AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384::BIGINT) ELSE a // 2 END) ORDER BY i) AS t FROM range(256) AS r(i)),
+o AS (SELECT coalesce(conv_id::VARCHAR, 'none') AS c, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+d AS (SELECT o.*, xor(list_reduce([4294967295::BIGINT] || list_transform(range(1, length(k) + 1), lambda i: ascii(k[i])::BIGINT), lambda x, b: xor(x // 256, t[(xor(x, b) % 256 + 1)::INT])), 4294967295::BIGINT) % 20 AS kind FROM o, tab),
+r0 AS (SELECT c, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM d),
+r1 AS (SELECT *, trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare, left(role, 1) AS initial, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i, row_number() OVER (PARTITION BY c, role, text ORDER BY turn NULLS FIRST, copy) AS nth FROM r0),
+r AS (SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, lag(initial) OVER (PARTITION BY c ORDER BY i) || initial AS pair FROM r1),
+sums AS (SELECT c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM r GROUP BY c),
+moves(st, x, nxt) AS (VALUES ('', 's', 's'), ('', 'u', 'u'), ('s', 'u', 'u'), ('u', 'a', 'a'), ('a', 'u', 'u')),
+one AS (SELECT st, nxt FROM moves WHERE x <> 's'),
+ins AS (SELECT st, st AS nxt, 0 AS price, '' AS letters FROM (SELECT DISTINCT st FROM moves) UNION ALL SELECT st, nxt, 5, 'I' FROM one UNION ALL SELECT a.st, b.nxt, 10, 'II' FROM one a JOIN one b ON b.st = a.nxt WHERE a.st <> b.nxt),
+edit AS (SELECT st, nxt, 'K' AS letter, 0 AS price, x FROM moves UNION ALL SELECT st, nxt, 'R', 1, NULL FROM moves WHERE x <> 's' UNION ALL SELECT DISTINCT st, st, 'D', 2, NULL FROM moves),
+cells AS (
+  SELECT c, 0::BIGINT AS i, nxt AS st, {'cost': price::BIGINT, 'audit': letters} AS best FROM sums, ins WHERE ins.st = ''
+  UNION ALL
+  SELECT c, i, st, min(best) AS best FROM (
+    SELECT r.c, r.i, ins.nxt AS st, {'cost': (cells.best.cost + edit.price + ins.price + CASE WHEN fault = 'truncated' AND letter <> 'D' THEN 5 ELSE 0 END)::BIGINT, 'audit': cells.best.audit || letter || letters} AS best
+    FROM cells JOIN r ON r.c = cells.c AND r.i = cells.i + 1 JOIN edit ON edit.st = cells.st AND (letter = 'D' OR fault NOT IN ('blank', 'duplicate')) AND (edit.x IS NULL OR edit.x = r.initial) JOIN ins ON ins.st = edit.nxt) GROUP BY c, i, st),
+done AS (SELECT cells.c, min(best) AS best FROM cells JOIN sums ON sums.c = cells.c AND cells.i = sums.n WHERE st IN ('', 'a') GROUP BY cells.c),
+l0 AS (SELECT c, best.audit AS audit, unnest(range(1, length(best.audit) + 1)) AS p FROM done),
+l1 AS (SELECT c, p, audit[p] AS letter, sum(CASE WHEN audit[p] <> 'I' THEN 1 ELSE 0 END) OVER (PARTITION BY c ORDER BY p) AS i FROM l0),
+l2 AS (SELECT l1.c, letter, r.role, r.text, row_number() OVER w AS q, first_value(letter = 'K' AND r.initial = 's') OVER w AS system FROM l1 LEFT JOIN r ON r.c = l1.c AND r.i = l1.i AND letter <> 'I' WHERE letter <> 'D' WINDOW w AS (PARTITION BY l1.c ORDER BY p)),
+l3 AS (SELECT c, string_agg(CASE WHEN letter = 'K' THEN role WHEN (q % 2 = 1) <> system THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN letter = 'I' THEN '' ELSE text END, chr(10) ORDER BY q) AS body FROM l2 GROUP BY c)
+SELECT DISTINCT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.cost, 0) AS cost, coalesce(best.audit, '') AS audit, sha256(coalesce(body, '')) AS repaired_sha256
+FROM o LEFT JOIN sums ON sums.c = o.c LEFT JOIN done ON done.c = o.c LEFT JOIN l3 ON l3.c = o.c
+"""
+
+
 def codebooks_sql() -> str:
     """Assignments and means of two rounds and the last assignment, for vectors of 16 parts of four components."""
     far = " + ".join(f"(p.c[{k}] - b.c[{k}]) * (p.c[{k}] - b.c[{k}])" for k in (1, 2, 3, 4))
@@ -131,4 +161,4 @@ SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS la
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": EXACT_DEDUP_SQL, "op3_warc": WARC_SQL, "mix_targets": TARGETS_SQL, "op12_vector_codes": codebooks_sql()}
+    return {"op8_exact_dedup": EXACT_DEDUP_SQL, "op3_warc": WARC_SQL, "mix_targets": TARGETS_SQL, "op11_conversation_repair": REPAIR_SQL, "op12_vector_codes": codebooks_sql()}
