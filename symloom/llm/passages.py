@@ -14,6 +14,11 @@ belongs to older documents that hold a part of it: a stretch of LONG + LONG_WIND
 every document that holds it, and the smallest document with that run shares LONG words or more. Long matches that
 overlap on a diagonal are one segment, cut into short seeds for the chain.
 
+Pairs of seeds make up for older parts in edited copies too. Where two short seeds within SPREAD words of each other
+have first holders that differ, or one that holds them elsewhere, the pair is a seed of its own (one in PAIRED of
+them, by hash) and linked like the others: whoever holds both so near shares more than the older parts do. Such places
+are few, for a passage that was copied as a whole has one first holder.
+
 A seed that a sample of the documents shows to be very common is dealt to tasks by ranges of document ids: each range
 has a smallest document of its own, and these are linked to the smallest of all. The sample only decides how rows are
 dealt.
@@ -51,6 +56,10 @@ SIMILARITY = 0.8
 #: Seeds that a chain has at least.
 MIN_SEEDS = 2
 WEIGHT, GAP_COST, MAX_GAP = 5.0, 0.15, 48
+#: Words between the seeds of a pair, at most, how much these may be shifted in a holder of both, and one in how many pairs is kept.
+SPREAD, SHIFT, PAIRED = 48, 16, 4
+#: What a match is: to the first holder, to the one before, what a common seed's ranges need, and a first holder itself.
+OWNER, BEFORE, HEAD, ITSELF = range(4)
 #: Words of context read at first at either end; where an alignment goes on past them, so many times as many.
 CONTEXT, MORE_CONTEXT = 96, 8
 #: One in so many documents shows which seeds are common, and how often a seed must be met there to tell.
@@ -143,7 +152,7 @@ class Owners:
         self.first = self.last = self.before = (0, 0)  # (doc, at): of its first, last and last but one document
 
     def take(self, h: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(row, source, its position) of every match, and the rows that are the first of their h."""
+        """(row, source, its position, OWNER or BEFORE) of every match, the rows that are the first of their h, and (document, position) of first holders that others follow."""
         fresh = np.r_[self.key != h[0], h[1:] != h[:-1]]
         new_doc = fresh | np.r_[doc[0] != self.last[0], doc[1:] != doc[:-1]]
         heads, firsts = np.flatnonzero(fresh), np.flatnonzero(new_doc)
@@ -153,11 +162,12 @@ class Owners:
         previous = np.cumsum(new_doc)  # index of the document before each row's own
         row = np.flatnonzero(owner != doc)
         also = row[(docs[previous[row]] != owner[row]) & (at[row] & 1 == 0)]
-        told = np.concatenate([row, also]), np.concatenate([owner[row], docs[previous[also]]]), np.concatenate([place[row], places[previous[also]]])
+        told = np.concatenate([row, also]), np.concatenate([owner[row], docs[previous[also]]]), np.concatenate([place[row], places[previous[also]]]), np.repeat([OWNER, BEFORE], [len(row), len(also)]).astype(np.int8)
+        second = row[new_doc[row] & (docs[previous[row]] == owner[row])]
         end = previous[-1] + 1
         self.key, self.first = h[-1], (owner[-1], place[-1])
         self.last, self.before = (docs[end], places[end]), (docs[end - 1], places[end - 1])
-        return *told, heads
+        return *told, heads, owner[second], place[second]
 
 
 def matches_of(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -195,6 +205,27 @@ def matches_of(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([px[~inside], *xs]), np.concatenate([py[~inside], *ys])
 
 
+def seed_pairs(x: np.ndarray, source: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, first position * 64 + distance) of the kept pairs among one document's short seeds, given each seed's first holder and its position there."""
+    order = np.argsort(x, kind="stable")
+    x, source, y = x[order], source[order], y[order]
+    name = _joined([source.astype(np.uint64), y.astype(np.uint64)])
+    keys, places = [], []
+    for k in range(1, SPREAD + 1):
+        if len(x) <= k:
+            break
+        gap = x[k:] - x[:-k]
+        if (gap > SPREAD).all():
+            break
+        apart = (gap <= SPREAD) & (gap > 0) & ((source[k:] != source[:-k]) | (np.abs(y[k:] - y[:-k] - gap) > SHIFT))
+        i = np.flatnonzero(apart)
+        key = _joined([name[i], name[i + k]])
+        kept = key % np.uint64(PAIRED) == 0
+        keys.append(key[kept].view(np.int64))
+        places.append((x[i] << 6 | gap[i])[kept])
+    return (np.concatenate(keys), np.concatenate(places)) if keys else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
 def chain(x: np.ndarray, y: np.ndarray) -> list[list[int]]:
     """Chains of matches (x, y), as lists of indexes in order, best first; each match is in one chain at most."""
     order = np.lexsort((-y, x)).tolist()
@@ -360,37 +391,67 @@ def fuzzy_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             for batch in batches:
                 if len(batch):
                     h, doc, at = (batch.column(i).to_numpy() for i in range(3))
-                    row, source, place, heads = owners.take(h, doc, at)
+                    row, source, place, kind, heads, first, own_place = owners.take(h, doc, at)
                     none = np.zeros(0, dtype=np.int64)
                     i = np.minimum(np.searchsorted(pieces, h[heads]), len(pieces) - 1) if len(pieces) else none
                     heads, i = (heads[here := pieces[i] == h[heads]], i[here]) if len(pieces) else (none, none)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.r_[doc[row], doc[heads]]), pa.array(np.r_[source, seed[i]]), pa.array(np.r_[at[row], at[heads]]), pa.array(np.r_[place, at[heads]].astype(np.int32)), pa.array(np.arange(len(row) + len(heads)) >= len(row))], names=["doc_id", "source", "pos", "source_pos", "head"])
+                    kinds = np.r_[kind, np.full(len(heads), HEAD, np.int8), np.full(len(first), ITSELF, np.int8)]
+                    cols = [np.r_[doc[row], doc[heads], first], np.r_[source, seed[i], first], np.r_[at[row], at[heads], own_place].astype(np.int32), np.r_[place, at[heads], own_place].astype(np.int32), kinds]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["doc_id", "source", "pos", "source_pos", "kind"])
 
         return own
 
-    def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def whole_documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
-
-        def chains(pdf: pd.DataFrame) -> pd.DataFrame:
-            out = []
-            doc, source = pdf["doc_id"].to_numpy(), pdf["source"].to_numpy()
-            cuts = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (source[1:] != source[:-1]), True])
-            x, y = pdf["pos"].to_numpy(), pdf["source_pos"].to_numpy()
-            for lo, hi in zip(cuts, cuts[1:], strict=False):
-                u, v = matches_of(x[lo:hi], y[lo:hi])
-                if len(u) >= MIN_SEEDS:
-                    for cluster in clusters(chain(u, v), u):
-                        every = np.concatenate(cluster)
-                        out.append((int(doc[lo]), int(source[lo]), u[every], v[every], [len(c) for c in cluster]))
-            return pd.DataFrame(out, columns=["doc_id", "source", "xs", "ys", "sizes"])
-
         for pdf in batches:
             pdf = pd.concat([*held, pdf], ignore_index=True) if held else pdf
-            last = ((pdf["doc_id"] == pdf["doc_id"].iloc[-1]) & (pdf["source"] == pdf["source"].iloc[-1])).to_numpy() if len(pdf) else np.zeros(0, dtype=bool)
-            yield chains(pdf[~last])
+            last = (pdf["doc_id"] == pdf["doc_id"].iloc[-1]).to_numpy() if len(pdf) else np.zeros(0, dtype=bool)
+            yield pdf[~last]
             held = [pdf[last]]
-        if held:
-            yield chains(held[0])
+        yield from held
+
+    def chained(doc: np.ndarray, source: np.ndarray, x: np.ndarray, y: np.ndarray, matches: Callable[..., tuple[np.ndarray, np.ndarray]]) -> list[tuple]:
+        """Clusters of chains of each (doc, source), which come in order."""
+        out = []
+        cuts = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (source[1:] != source[:-1]), True]) if len(doc) else []
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            u, v = matches(x[lo:hi], y[lo:hi])
+            if len(u) >= MIN_SEEDS:
+                for cluster in clusters(chain(u, v), u):
+                    every = np.concatenate(cluster)
+                    out.append((int(doc[lo]), int(source[lo]), u[every], v[every], [len(c) for c in cluster], None, None))
+        return out
+
+    def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Chains, and the pairs of seeds that are seeds of their own."""
+        for pdf in whole_documents(batches):
+            doc, source, x, y, kind = (pdf[c].to_numpy() for c in ("doc_id", "source", "pos", "source_pos", "kind"))
+            at = kind != ITSELF
+            out = chained(doc[at], source[at], x[at], y[at], matches_of)
+            at = ((kind == OWNER) | (kind == ITSELF)) & (x & 1 == 0)
+            doc, source, x, y = doc[at], source[at], x[at].astype(np.int64) >> 1, y[at].astype(np.int64) >> 1
+            cuts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1], True]) if len(doc) else []
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                keys, places = seed_pairs(x[lo:hi], source[lo:hi], y[lo:hi])
+                out += [(int(doc[lo]), None, None, None, None, k, p) for k, p in zip(keys.tolist(), places.tolist(), strict=True)]
+            yield pd.DataFrame(out, columns=["doc_id", "source", "xs", "ys", "sizes", "h", "at"]).astype({"source": "Int64", "h": "Int64", "at": "Int64"})
+
+    def own_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owners = Owners()
+        for batch in batches:
+            if len(batch):
+                h, doc, at = (batch.column(i).to_numpy() for i in range(3))
+                row, source, place, *_ = owners.take(h, doc, at << 1)
+                yield pa.RecordBatch.from_arrays([pa.array(doc[row]), pa.array(source), pa.array(at[row]), pa.array(place >> 1)], names=["doc_id", "source", "pos", "source_pos"])
+
+    def both_seeds(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        every = np.unique(np.stack([np.r_[x >> 6, (x >> 6) + (x & 63)], np.r_[y >> 6, (y >> 6) + (y & 63)]], axis=1), axis=0)
+        return every[:, 0].astype(np.int32), every[:, 1].astype(np.int32)
+
+    def link_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in whole_documents(batches):
+            out = chained(*(pdf[c].to_numpy() for c in ("doc_id", "source", "pos", "source_pos")), both_seeds)
+            yield pd.DataFrame([r[:5] for r in out], columns=["doc_id", "source", "xs", "ys", "sizes"])
 
     def cut(texts: pa.Table, wanted: pa.Table) -> pa.Table:
         spans: dict[int, list[tuple[int, int]]] = {}
@@ -436,15 +497,19 @@ def fuzzy_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         bounds = np.array(sample.agg(F.percentile_approx("doc_id", [i / pieces for i in range(1, pieces)], 10_000)).first()[0], dtype=np.int64)
     seeded = rows.mapInArrow(seeds_of(hot, bounds), "h long, doc_id long, pos int")
     dealt = seeded.repartition(F.col("h")).sortWithinPartitions("h", "doc_id", "pos")
-    matches = dealt.mapInArrow(own_of(hot, bounds), "doc_id long, source long, pos int, source_pos int, head boolean")
+    matches = dealt.mapInArrow(own_of(hot, bounds), "doc_id long, source long, pos int, source_pos int, kind byte")
     if common:
         matches = materialise(matches, "matches")
         # The ranges' smallest documents, a row per range of a common seed, are linked to the smallest of all.
         least = F.min(F.struct("doc_id", "pos")).over(Window.partitionBy("source"))
-        heads = matches.where("head").withColumn("least", least).where("doc_id <> least.doc_id")
-        matches = matches.where("not head").drop("head").union(heads.select("doc_id", F.col("least.doc_id"), "pos", F.col("least.pos")))
-    sorted_ = matches.drop("head").repartition(F.col("doc_id")).sortWithinPartitions("doc_id", "source", "pos")
-    found = sorted_.mapInPandas(link, "doc_id long, source long, xs array<int>, ys array<int>, sizes array<int>")
+        heads = matches.where(F.col("kind") == HEAD).withColumn("least", least).where("doc_id <> least.doc_id")
+        matches = matches.union(heads.select("doc_id", F.col("least.doc_id"), "pos", F.col("least.pos"), F.lit(BEFORE).cast("byte")))
+    in_order = lambda df: df.repartition(F.col("doc_id")).sortWithinPartitions("doc_id", "source", "pos")
+    schema = "doc_id long, source long, xs array<int>, ys array<int>, sizes array<int>"
+    linked = materialise(in_order(matches.where(F.col("kind") != HEAD)).mapInPandas(link, schema + ", h long, at long"), "chains-and-pairs")
+    pairs = linked.where("h is not null").select("h", "doc_id", "at").repartition(F.col("h")).sortWithinPartitions("h", "doc_id", "at")
+    more = in_order(pairs.mapInArrow(own_pairs, "doc_id long, source long, pos long, source_pos long")).mapInPandas(link_pairs, schema)
+    found = linked.where("h is null").drop("h", "at").union(more)
     left = materialise(found.withColumn("cluster", F.monotonically_increasing_id()), "chains")
 
     of_chunk = F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int").alias("chunk")
@@ -469,5 +534,8 @@ def fuzzy_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if still.isEmpty():
             break
         left, context = materialise(left.join(still, "cluster", "left_semi"), "open-chains"), context * MORE_CONTEXT
-    # Clusters that were extended over one another tell the same passage once.
-    return done.groupBy("doc_id", "source_doc_id", "start_word", "end_word").agg(F.max(F.struct("matched", "similarity", "source_start", "source_end", "n_seeds")).alias("x")).select("doc_id", "source_doc_id", "start_word", "end_word", "x.source_start", "x.source_end", "x.matched", "x.similarity", "x.n_seeds")
+    # Clusters that were extended over one another tell the same passage once, and none that lies inside another of the pair.
+    once = done.groupBy("doc_id", "source_doc_id", "start_word", "end_word").agg(F.max(F.struct("matched", "similarity", "source_start", "source_end", "n_seeds")).alias("x"))
+    before = Window.partitionBy("doc_id", "source_doc_id").orderBy("start_word", F.desc("end_word")).rowsBetween(Window.unboundedPreceding, -1)
+    once = once.withColumn("reached", F.max("end_word").over(before)).where("reached is null or reached < end_word")
+    return once.select("doc_id", "source_doc_id", "start_word", "end_word", "x.source_start", "x.source_end", "x.matched", "x.similarity", "x.n_seeds")
