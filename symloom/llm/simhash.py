@@ -14,10 +14,13 @@ With ``similarity`` given, fingerprints only propose. They are then two with ind
 five-word shingles, and a pair within reach in either, and within OTHER_BITS in the other one, is proposed: that is
 4.5 standard deviations for texts at the limit, and one chance meeting in a hundred. Rows with a partner get a sketch of one-bit minhashes of the
 same shingles and meet at the anchors once more: pairs whose sketches are CLEARLY on one side of the limit (over four
-standard errors) are linked or left. Of the open ones, unless clear links join their groups, a spanning forest of the
-most similar is compared by the exact Jaccard similarity of the shingles' 64-bit hashes: groups by single linkage
-depend on such a forest alone, so no more pairs than texts leave an anchor. This keeps chance meetings of fingerprints, which grow with the square of
-the corpus, out of the groups, and so allows a wide radius.
+standard errors) are linked or left. The open ones, unless clear links join their groups, are decided by the exact
+Jaccard similarity of the shingles' 64-bit hashes, in rounds. First a spanning forest of the most similar is compared,
+so no more pairs than texts leave an anchor and most groups are whole at once. Where a pair of the forest fails, other
+pairs may still join the two groups: every open pair between groups next to a failed one comes in the next round, but
+for those that were compared before. If they are too many for a task (over FORESTS for each text), FORESTS disjoint
+forests of them come, and another round follows, until none is left. This keeps chance meetings of fingerprints, which
+grow with the square of the corpus, out of the groups, and so allows a wide radius.
 
 At a large anchor a home row skips all that its group already holds, so a cluster of near copies is not compared pair
 by pair once links join it.
@@ -36,9 +39,10 @@ import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from symloom.llm.common import free_names, materialise, text_or_empty
@@ -55,6 +59,8 @@ SKETCH_BITS, SKETCH_WORDS = 1024, 5
 OTHER_BITS = 22
 #: How far from the limit a similarity shown by sketches must be to decide: 4.2 standard errors at 0.8.
 CLEARLY = 0.08
+#: Open pairs for each group, and disjoint forests of them, that a task gives in a round after the first.
+FORESTS = 8
 
 
 def shingle_hashes(text: str, shingle: int) -> np.ndarray:
@@ -210,12 +216,23 @@ def _spanning(a: np.ndarray, b: np.ndarray, cost: np.ndarray, parent: np.ndarray
         parent = forest(a[pick], b[pick], len(parent), parent)
 
 
-def _compare(anchor: np.ndarray, is_home: np.ndarray, fp: np.ndarray, node: np.ndarray, threshold: int, marks: np.ndarray | None = None, like: int = 0, open_: int = 0, parts: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _forests(a: np.ndarray, b: np.ndarray, cost: np.ndarray, parent: np.ndarray, n: int) -> np.ndarray:
+    """Which of the pairs a, b are n disjoint spanning forests, each the cheapest of what those before it left."""
+    left, chosen = np.arange(len(a)), [np.zeros(0, dtype=np.int64)]
+    for _ in range(n):
+        pick = _spanning(a[left], b[left], cost[left], parent)
+        chosen.append(left[pick])
+        left = np.delete(left, pick)
+    return np.concatenate(chosen)
+
+
+def _compare(anchor: np.ndarray, is_home: np.ndarray, fp: np.ndarray, node: np.ndarray, threshold: int, marks: np.ndarray | None = None, like: int = 0, open_: int = 0, parts: int = 1, joined: np.ndarray | None = None, failed: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Links (nodes, nodes, bits) among rows sorted by anchor, homes before replicas.
 
     A pair counts at the anchors of the first piece in which it is near, so that one piece tells of a cluster, not all.
     Sure links, a forest, have bits -1. With marks, up to ``like`` differing bits are sure; up to ``open_`` are open,
-    and a forest of those with fewest bits is given.
+    and a forest of those with fewest bits is given. With joined (a label of each node's group), all open pairs are
+    given but ``failed`` ones (rows of two nodes), or, if they are too many, FORESTS forests and a row with bits -2.
     """
     names, own = np.unique(node, return_inverse=True)
     start = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
@@ -224,6 +241,27 @@ def _compare(anchor: np.ndarray, is_home: np.ndarray, fp: np.ndarray, node: np.n
     parent = np.arange(len(names))
     cut, of_piece = pieces(parts), anchor >> 60
     unsure: list[np.ndarray] = []
+    kept, thinned, tested = 1, False, np.zeros(0, dtype=np.int64)
+    key = lambda a, b: np.minimum(a, b) * len(names) + np.maximum(a, b)
+    if joined is not None:
+        label = np.zeros(len(names), dtype=np.int64)
+        label[own] = joined
+        _, first, back = np.unique(label, return_index=True, return_inverse=True)
+        parent, kept = first[back], FORESTS
+        at = np.minimum(np.searchsorted(names, failed), len(names) - 1)
+        tested = key(*at[(names[at] == failed).all(axis=1)].T)
+
+    def thin() -> None:
+        nonlocal thinned
+        pairs = np.concatenate(unsure, axis=1)
+        if joined is not None:
+            pairs = pairs[:, np.unique(key(pairs[0], pairs[1]), return_index=True)[1]]
+            pairs = pairs[:, parent[pairs[0]] != parent[pairs[1]]]
+            if pairs.shape[1] <= kept * len(first):
+                unsure[:] = [pairs]
+                return
+            thinned = True
+        unsure[:] = [pairs[:, _forests(*pairs, parent, kept)]]
 
     def join(left: np.ndarray, right: np.ndarray) -> None:
         nonlocal parent
@@ -241,13 +279,14 @@ def _compare(anchor: np.ndarray, is_home: np.ndarray, fp: np.ndarray, node: np.n
             left, right = left[apart], right[apart]
             bits = _differing(marks, left, right)
             maybe = (bits > like) & (bits <= open_)
+            if len(tested):
+                maybe &= ~np.isin(key(own[left], own[right]), tested)
             if maybe.any():
                 unsure.append(np.stack([own[left[maybe]], own[right[maybe]], bits[maybe]]))
             left, right = left[bits <= like], right[bits <= like]
         parent = forest(own[left], own[right], len(names), parent)
-        if sum(x.shape[1] for x in unsure) > max(BLOCK, 2 * len(names)):  # twice what a forest can hold
-            pairs = np.concatenate(unsure, axis=1)
-            unsure[:] = [pairs[:, _spanning(*pairs, parent)]]
+        if sum(x.shape[1] for x in unsure) > max(BLOCK, 2 * kept * len(names)):  # over twice what forests can hold
+            thin()
 
     # Small anchors: each home row against all rows of its anchor, a bounded number of pairs at a time.
     size = end - start
@@ -277,9 +316,11 @@ def _compare(anchor: np.ndarray, is_home: np.ndarray, fp: np.ndarray, node: np.n
                 join(np.repeat(left, len(part)), np.tile(part, len(left)))
             step = min(HOMES_AT_ONCE, step * 2)
     if unsure:
-        pairs = np.concatenate(unsure, axis=1)
-        a, b, bits = pairs[:, _spanning(*pairs, parent)]
+        thin()
+        a, b, bits = unsure[0]
         yield names[np.maximum(a, b)], names[np.minimum(a, b)], bits
+        if thinned:
+            yield names[:1], names[:1], np.array([-2])
     linked = np.flatnonzero(parent != np.arange(len(names)))
     yield names[linked], names[parent[linked]], np.full(len(linked), -1)
 
@@ -296,13 +337,16 @@ def links(prints: DataFrame, threshold: int = THRESHOLD, parts: int = PARTS, lik
     """(fp, node) with distinct fp to edges (a, b, bits) that join all nodes whose fingerprints differ in few enough bits.
 
     With ``like``, (fp, node, mark): marks are compared too, bit by bit. Up to ``like`` differing bits an edge is sure
-    (its bits are -1), up to ``open_`` it is open. What a task sends to an anchor is packed into one row.
+    (its bits are -1), up to ``open_`` it is open. With (group, failed) too, group joins nodes beforehand and failed has
+    pairs of nodes that are out of the question, 16 bytes each. (fp, mark) without a node gives no edges but (fp, mark)
+    of those with a partner. What a task sends to an anchor is packed into one row.
     """
     t = threshold // parts
-    marked = like is not None
+    marked, grouped, bare = like is not None, "group" in prints.columns, "node" not in prints.columns
     wide = marked and prints.schema["mark"].dataType.simpleString() == "binary"
     at_once = 1024 if wide else 8192
-    names = ["anchor", "homes", "fp", "node", *(["mark"] if marked else [])]
+    fixed = ["fp", *([] if bare else ["node"]), *(["mark"] if marked else []), *(["group"] if grouped else [])]
+    names = ["anchor", "homes", *fixed, *(["failed"] if grouped else [])]
     cut = pieces(parts)
 
     def values(column: pa.Array) -> np.ndarray:
@@ -313,7 +357,8 @@ def links(prints: DataFrame, threshold: int = THRESHOLD, parts: int = PARTS, lik
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _of_size(batches, at_once):
-            cols = [values(batch.column(i)) for i in range(len(names) - 2)]
+            cols = [values(batch.column(i)) for i in range(len(fixed))]
+            failed = batch.column(len(fixed)).to_pylist() if grouped else []
             for k, (low, width) in enumerate(cut):
                 value = cols[0] >> np.uint64(low) & np.uint64((1 << width) - 1)
                 row, anchor = anchors(value, width, t)
@@ -325,41 +370,64 @@ def links(prints: DataFrame, threshold: int = THRESHOLD, parts: int = PARTS, lik
                 packed = [[x[row[i:j]].tobytes() for i, j in zip(start.tolist(), ends, strict=True)] for x in cols]
                 key = (anchor[start] | np.uint64(k) << np.uint64(60)).view(np.int64)
                 homes = np.add.reduceat(at_home.astype(np.int32), start)
+                if grouped:  # a pair is out of the question wherever one of its nodes is at home
+                    packed.append([b"".join([failed[r] for r in row[i : i + h].tolist()]) for i, h in zip(start.tolist(), homes.tolist(), strict=True)])
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(homes, pa.int32()), *[pa.array(x, pa.binary()) for x in packed]], names=names)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
         rows, limit = 0, 50_000
 
-        def emit(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        def emit(cols: list[np.ndarray], failed: np.ndarray | None) -> Iterator[pa.RecordBatch]:
             order = np.lexsort((~cols[1], cols[0]))
-            anchor, at_home, fp, node, *mark = (x[order] for x in cols)
-            for a, b, bits in _compare(anchor, at_home, fp, node.view(np.int64), threshold, mark[0] if marked else None, like or 0, open_ or like or 0, parts):
-                if len(a):
+            anchor, at_home, *cols = (x[order] for x in cols)
+            own = dict(zip(fixed, cols, strict=True))
+            if bare:  # nodes by number
+                by = np.lexsort((own["mark"][:, 0], own["fp"]))
+                fp, mark = own["fp"][by], own["mark"][by, 0]
+                new = np.r_[True, (fp[1:] != fp[:-1]) | (mark[1:] != mark[:-1])]
+                own["node"] = np.empty(len(by), dtype=np.int64)
+                own["node"][by] = np.cumsum(new) - 1
+            group = own["group"].view(np.int64) if grouped else None
+            for a, b, bits in _compare(anchor, at_home, own["fp"], own["node"].view(np.int64), threshold, own.get("mark"), like or 0, open_ or like or 0, parts, group, failed):
+                if len(a) and bare:
+                    ends = np.unique(np.concatenate([a, b]))
+                    yield pa.RecordBatch.from_arrays([pa.array(x[new][ends].view(np.int64)) for x in (fp, mark)], names=["fp", "mark"])
+                elif len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(bits.astype(np.int32))], names=["a", "b", "bits"])
 
+        def pairs(at: np.ndarray, blobs: list[bytes]) -> list[np.ndarray]:
+            sizes = np.array([len(x) // 16 for x in blobs])
+            return [np.repeat(at, sizes), np.frombuffer(b"".join(blobs), dtype=np.int64).reshape(-1, 2)]
+
+        gone: list[list[np.ndarray]] = []
         for batch in _of_size(batches, 256):
             fps = batch.column(2).to_pylist()
             sizes = np.array([len(x) // 8 for x in fps])
             place = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            cols = [np.repeat(batch.column(0).to_numpy(), sizes), place < np.repeat(batch.column(1).to_numpy(), sizes), *[np.frombuffer(b"".join(x), dtype=np.uint64) for x in (fps, batch.column(3).to_pylist())]]
-            if marked:
-                cols.append(np.frombuffer(b"".join(batch.column(4).to_pylist()), dtype=np.uint64).reshape(len(place), -1))
+            cols = [np.repeat(batch.column(0).to_numpy(), sizes), place < np.repeat(batch.column(1).to_numpy(), sizes)]
+            for k, name in enumerate(fixed):
+                x = np.frombuffer(b"".join(batch.column(2 + k).to_pylist()), dtype=np.uint64)
+                cols.append(x.reshape(len(place), -1) if name == "mark" else x)
+            if grouped:
+                gone.append(pairs(batch.column(0).to_numpy(), batch.column(len(names) - 1).to_pylist()))
             held.append(cols)
             rows += len(place)
             if rows >= limit:
                 kept = [np.concatenate(x) for x in zip(*held, strict=True)]
                 whole = int(np.searchsorted(kept[0], kept[0][-1]))  # the last anchor may go on
+                at, failed = (np.concatenate(x) for x in zip(*gone, strict=True)) if grouped else (None, None)
                 if whole:
-                    yield from emit([x[:whole] for x in kept])
+                    yield from emit([x[:whole] for x in kept], failed)
+                gone = [[at[at == kept[0][-1]], failed[at == kept[0][-1]]]] if grouped else []
                 held, rows = [[x[whole:].copy() for x in kept]], rows - whole
                 limit = max(50_000, 2 * rows)
         if rows:
-            yield from emit([np.concatenate(x) for x in zip(*held, strict=True)])
+            yield from emit([np.concatenate(x) for x in zip(*held, strict=True)], np.concatenate([f for _, f in gone]) if grouped else None)
 
-    kind = "anchor long, homes int, fp binary, node binary" + ", mark binary" * marked
-    spread = prints.select("fp", "node", *names[4:]).mapInArrow(replicate, kind)
-    return spread.repartition(F.col("anchor")).sortWithinPartitions("anchor").mapInArrow(compare, "a long, b long, bits int")
+    kind = "anchor long, homes int, " + ", ".join(f"{n} binary" for n in names[2:])
+    spread = prints.select(*fixed, *names[2 + len(fixed) :]).mapInArrow(replicate, kind)
+    return spread.repartition(F.col("anchor")).sortWithinPartitions("anchor").mapInArrow(compare, "fp long, mark long" if bare else "a long, b long, bits int")
 
 
 def _of_size(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
@@ -385,16 +453,26 @@ def _distinct_prints(rows: DataFrame, keys: list[str]) -> DataFrame:
     return materialise(rows.where("doc_id is not null").groupBy(*keys).agg(F.min("doc_id").cast("long").alias("node"), F.count(F.lit(1)).alias("n")), "distinct-fingerprints")
 
 
+def _packed_pairs(node: str, others: str) -> Column:
+    """(node, other) of each other, 16 bytes a pair, as numpy reads them."""
+
+    @F.pandas_udf("binary")
+    def pack(own: pd.Series, lists: pd.Series) -> pd.Series:
+        return pd.Series([b"" if x is None else np.stack([np.full(len(x), n, dtype=np.int64), np.asarray(x, dtype=np.int64)], axis=1).tobytes() for n, x in zip(own, lists, strict=True)])
+
+    return pack(F.col(node), F.col(others))
+
+
 def _similar_groups(docs: DataFrame, id_col: str, text_col: str, threshold: int, parts: int, similarity: float) -> DataFrame:
     """doc_id, fp, component_id by exact similarity of proposed pairs."""
     rows = materialise(proposing_prints(docs, id_col, text_col), "fingerprints")
     both = ["fp", "other"]
     prints = _distinct_prints(rows, both)
-    near = prints.where("n > 1").select("node")
+    near = prints.where("n > 1").select(*both)
     for fp, other in (both, both[::-1]):  # rows with a partner by either fingerprint
-        edges = links(prints.select(F.col(fp).alias("fp"), "node", F.col(other).alias("mark")), threshold, parts, OTHER_BITS)
-        near = near.union(edges.select(F.explode(F.array("a", "b")).alias("node")))
-    near = materialise(prints.join(materialise(near, "near-nodes").distinct(), "node", "left_semi").select(*both), "near-fingerprints")
+        met = links(prints.select(F.col(fp).alias("fp"), F.col(other).alias("mark")), threshold, parts, OTHER_BITS)
+        near = near.union(met.select(F.col("fp").alias(fp), F.col("mark").alias(other)).select(*both))
+    near = materialise(near.distinct(), "near-fingerprints")
     near = rows.join(near, both, "left_semi").where("doc_id is not null").select("doc_id")
     id_, = free_names(docs, "id")
     near = materialise(near.select(F.col("doc_id").alias(id_)).distinct(), "near-ids")
@@ -404,26 +482,49 @@ def _similar_groups(docs: DataFrame, id_col: str, text_col: str, threshold: int,
     prints = _distinct_prints(marked, keys)
     # Unequal minima give equal bits half of the time.
     like, open_ = (int(SKETCH_BITS * (1 - similarity + d) / 2) for d in (-CLEARLY, CLEARLY))
-    found = None
-    for fp in both:
-        edges = links(prints.select(F.col(fp).alias("fp"), "node", F.col("sketch").alias("mark")), threshold, parts, like, open_)
-        found = edges if found is None else found.union(edges)
-    found = materialise(found.distinct(), "proposed-pairs")
-    sure = found.where("bits < 0").select("a", "b")
-    # Open pairs that sure links do not join are compared exactly.
-    root = materialise(connected_components(sure), "sure-components")
-    ends = [root.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab"]
-    unsure = found.where("bits >= 0").join(ends[0], "a", "left").join(ends[1], "b", "left").withColumn("x", F.coalesce("root_a", "a")).withColumn("y", F.coalesce("root_b", "b"))
-    best = unsure.where("x <> y").groupBy(F.least("x", "y"), F.greatest("x", "y")).agg(F.min(F.struct("bits", "a", "b")).alias("p"))  # one for two groups
-    unsure = materialise(best.select("p.a", "p.b"), "open-pairs")
-    nodes = materialise(unsure.select(F.explode(F.array("a", "b")).alias(id_)).distinct(), "open-nodes")
-    sets = proposing_prints(docs.join(nodes, F.col(f"`{id_col}`") == F.col(id_), "left_semi"), id_col, text_col, sketches=True, sets=True)
-    sets = sets.join(prints.select(*keys, "node"), keys).where("doc_id = node").groupBy("node").agg(F.first("shingles").alias("shingles"))
-    sets = materialise(sets, "shingle-sets")
-    pairs = unsure.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    alike = pairs.withColumn("common", common).where(F.col("common") >= similarity * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b")
-    edges = sure.union(materialise(alike, "similar-pairs"))
+
+    def proposed(own: DataFrame, name: str, *more: str) -> DataFrame:
+        every = [links(own.select(F.col(fp).alias("fp"), "node", F.col("sketch").alias("mark"), *more), threshold, parts, like, open_) for fp in both]
+        return materialise(every[0].union(every[1]).distinct(), name)
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        """(a, b, alike) by the exact similarity of both texts' shingles."""
+        nodes = materialise(pairs.select(F.explode(F.array("a", "b")).alias(id_)).distinct(), "open-nodes")
+        sets = proposing_prints(docs.join(nodes, F.col(f"`{id_col}`") == F.col(id_), "left_semi"), id_col, text_col, sketches=True, sets=True)
+        sets = sets.join(prints.select(*keys, "node"), keys).where("doc_id = node").groupBy("node").agg(F.first("shingles").alias("shingles"))
+        sets = materialise(sets, "shingle-sets")
+        met = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+        common = F.size(F.array_intersect("x", "y"))
+        met = met.withColumn("common", common).select("a", "b", (F.col("common") >= similarity * (F.size("x") + F.size("y") - F.col("common"))).alias("alike"))
+        return materialise(met, "compared-pairs")
+
+    def between(pairs: DataFrame, root: DataFrame) -> DataFrame:
+        """Pairs of different groups, with their groups x and y."""
+        ends = [root.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab"]
+        met = pairs.join(ends[0], "a", "left").join(ends[1], "b", "left").withColumn("x", F.coalesce("root_a", "a")).withColumn("y", F.coalesce("root_b", "b"))
+        return met.where("x <> y").drop("root_a", "root_b")
+
+    found = proposed(prints, "proposed-pairs")
+    edges = found.where("bits = -1").select("a", "b")
+    root = materialise(connected_components(edges), "sure-components")
+    pairs = between(found.where("bits >= 0"), root).groupBy(F.least("x", "y"), F.greatest("x", "y")).agg(F.min(F.struct("bits", "a", "b")).alias("p"))  # one for two groups
+    pairs, failed, complete = materialise(pairs.select("p.a", "p.b"), "open-pairs"), None, False
+    while not pairs.isEmpty():
+        met = compared(pairs)
+        edges = edges.union(met.where("alike").select("a", "b"))
+        failed = met.where("not alike").select("a", "b") if failed is None else failed.union(met.where("not alike").select("a", "b"))
+        if complete:
+            break
+        root = materialise(connected_components(edges), "similar-components")
+        # Other open pairs of two groups lead out of each past a pair that failed: the groups next to those come again.
+        beside = materialise(between(failed, root), "failed-pairs")
+        groups = beside.select(F.explode(F.array("x", "y")).alias("group")).distinct()
+        own = prints.join(root, "node", "left").withColumn("group", F.coalesce("root", "node")).drop("root").join(groups, "group", "left_semi")
+        both_ways = beside.select(F.col("a").alias("node"), "b").union(beside.select(F.col("b").alias("node"), "a"))
+        lists = both_ways.groupBy("node").agg(F.collect_set("b").alias("out"))
+        own = own.join(lists, "node", "left").withColumn("failed", _packed_pairs("node", "out")).select(*keys, "node", "group", "failed")
+        found = proposed(materialise(own, "nodes-again"), "proposed-again", "group", "failed")
+        pairs, complete = materialise(found.where("bits >= 0").select("a", "b").distinct(), "open-pairs"), found.where("bits = -2").isEmpty()
     alone = rows.join(near, F.col("doc_id") == F.col(id_), "left_anti").select("doc_id", "fp", F.col("doc_id").cast("long").alias("component_id"))
     return _grouped(marked, prints, keys, edges).union(alone)
 
