@@ -153,7 +153,7 @@ class StoredGraph:
         finally:
             self.spark.conf.set(OVERWRITE, before)
         if rows[0]["epoch"] is not None:
-            create_new(self.spark, f"{self.folder}/_epochs/{rows[0]['epoch']:012d}")
+            create_new(self.spark, self._mark(rows[0]["epoch"]))
         remove(self.spark, note)
         for r in rows:
             remove(self.spark, r["path"])
@@ -167,6 +167,9 @@ class StoredGraph:
             remove(self.spark, f"{self.folder}/{name}/part={empty}")  # an external table keeps its files otherwise
         self.spark.catalog.refreshTable(table)
 
+    def _mark(self, epoch: int) -> str:
+        return f"{self.folder}/_epochs/{epoch:012d}"
+
     def epoch(self) -> int:
         """The last epoch that was applied, -1 before the first."""
         return max((int(n) for n in list_names(self.spark, f"{self.folder}/_epochs") if n.isdigit()), default=-1)
@@ -187,6 +190,10 @@ class StoredGraph:
         of = lambda df, column: df.join(good.select(F.col("path").alias(column)), column, "left_semi").select(df.columns)
         without = lambda name, parts, column: self._at(name, parts).drop("part").join(good.select(F.col("path").alias(column)), column, "left_anti")
         at_files = self._of(good, "path")
+        if not at_files:  # nothing changed
+            if epoch is not None:
+                create_new(self.spark, self._mark(epoch))
+            return out
         fresh, fresh_refs = written(of(symbols, "file_path"), "fresh-symbols"), of(named_refs.select(*REF_KEY), "source_file")
         demand_valid(fresh, fresh_refs)
         fresh_names = self.names_of(fresh)
