@@ -274,6 +274,9 @@ def _compare(anchor: np.ndarray, is_home: np.ndarray, fp: np.ndarray, node: np.n
                 told |= (piece > k) & (np.bitwise_count(differ >> np.uint64(low) & np.uint64((1 << width) - 1)) <= threshold // parts)
             near = near[~told]
         left, right = left[near], right[near]
+        if joined is not None:  # each pair at one of its two homes
+            once = own[left] < own[right]
+            left, right = left[once], right[once]
         if marks is not None:
             apart = parent[own[left]] != parent[own[right]]
             left, right = left[apart], right[apart]
@@ -390,8 +393,8 @@ def links(prints: DataFrame, threshold: int = THRESHOLD, parts: int = PARTS, lik
                 own["node"][by] = np.cumsum(new) - 1
             group = own["group"].view(np.int64) if grouped else None
             for a, b, bits in _compare(anchor, at_home, own["fp"], own["node"].view(np.int64), threshold, own.get("mark"), like or 0, open_ or like or 0, parts, group, failed):
-                if len(a) and bare:
-                    ends = np.unique(np.concatenate([a, b]))
+                if len(a) and bare:  # whoever has a partner meets one at its own home
+                    ends = np.intersect1d(np.concatenate([a, b]), own["node"][at_home])
                     yield pa.RecordBatch.from_arrays([pa.array(x[new][ends].view(np.int64)) for x in (fp, mark)], names=["fp", "mark"])
                 elif len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(bits.astype(np.int32))], names=["a", "b", "bits"])

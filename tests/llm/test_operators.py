@@ -310,11 +310,10 @@ def test_pairs_that_hide_behind_others(spark, monkeypatch):
         if jaccard(a, b) >= 0.9 and jaccard(a, c) >= 0.8 > jaccard(b, c) and shown(b, c) >= shown(a, c):
             texts += [b, a, c]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for forests in (simhash.FORESTS, 1):
-        monkeypatch.setattr(simhash, "FORESTS", forests)
-        out = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df, threshold=13, parts=5, similarity=0.8).collect()}
-        near = [i for i in range(0, 75, 3) if min((brute_print(texts[i]) ^ brute_print(texts[i + k])).bit_count() for k in (1, 2)) <= 13]
-        assert sum(out[i + 2] == i for i in near) >= len(near) - 1
+    monkeypatch.setattr(simhash, "FORESTS", 2)
+    out = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df, threshold=13, parts=5, similarity=0.8).collect()}
+    near = [i for i in range(0, 75, 3) if min((brute_print(texts[i]) ^ brute_print(texts[i + k])).bit_count() for k in (1, 2)) <= 13]
+    assert sum(out[i + 2] == i for i in near) >= len(near) - 1
 
 
 def test_open_pairs_in_rounds():
