@@ -232,7 +232,8 @@ def _compare(anchor: np.ndarray, is_home: np.ndarray, fp: np.ndarray, node: np.n
     A pair counts at the anchors of the first piece in which it is near, so that one piece tells of a cluster, not all.
     Sure links, a forest, have bits -1. With marks, up to ``like`` differing bits are sure; up to ``open_`` are open,
     and a forest of those with fewest bits is given. With joined (a label of each node's group), all open pairs are
-    given but ``failed`` ones (rows of two nodes), or, if they are too many, FORESTS forests and a row with bits -2.
+    given but ``failed`` ones (rows of two nodes), or, if they are too many, FORESTS forests and a row with bits -2;
+    sure links are then those between groups, not those that the groups stand for.
     """
     names, own = np.unique(node, return_inverse=True)
     start = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
@@ -250,6 +251,7 @@ def _compare(anchor: np.ndarray, is_home: np.ndarray, fp: np.ndarray, node: np.n
         parent, kept = first[back], FORESTS
         at = np.minimum(np.searchsorted(names, failed), len(names) - 1)
         tested = key(*at[(names[at] == failed).all(axis=1)].T)
+    before = parent.copy()
 
     def thin() -> None:
         nonlocal thinned
@@ -324,7 +326,7 @@ def _compare(anchor: np.ndarray, is_home: np.ndarray, fp: np.ndarray, node: np.n
         yield names[np.maximum(a, b)], names[np.minimum(a, b)], bits
         if thinned:
             yield names[:1], names[:1], np.array([-2])
-    linked = np.flatnonzero(parent != np.arange(len(names)))
+    linked = np.flatnonzero((before == np.arange(len(names))) & (parent != before))  # the first of each group stands for it
     yield names[linked], names[parent[linked]], np.full(len(linked), -1)
 
 

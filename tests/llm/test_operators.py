@@ -338,6 +338,18 @@ def test_open_pairs_in_rounds():
         assert (pairs == want and not over) if forests == 100 else (pairs < want and over and len(pairs) <= 2 * (n // 3))
 
 
+def test_groups_are_not_told_again():
+    """With groups, a task tells no link inside one, however many members it has; a sure link of two groups once."""
+    n = 400
+    marks = np.zeros((n, 16), dtype=np.uint64)
+    for k, group in enumerate((np.arange(n) // 200, np.arange(n) // 100)):  # all marks are alike: the four groups of 100 are joined by links
+        marks[200:] = (1 << 64) - 1
+        found = list(simhash._compare(np.zeros(n, np.uint64), np.ones(n, bool), np.zeros(n, np.uint64), np.arange(n) * 7, 4, marks, 20, 60, 1, group, np.zeros((0, 2), np.int64)))
+        told = [(a // 7, b // 7) for x, y, _ in found for a, b in zip(x.tolist(), y.tolist(), strict=True)]
+        assert len(told) == 2 * k
+        assert all(a // 200 == b // 200 and group[a] != group[b] for a, b in told)
+
+
 def test_pipeline_near_copies_far_apart(spark):
     """Copies clearly over the limit whose plain fingerprints are 12 or 13 bits apart are compared too."""
     import corpus_pipeline
