@@ -64,6 +64,8 @@ OWNER, BEFORE, HEAD, ITSELF = range(4)
 CONTEXT, MORE_CONTEXT = 96, 8
 #: One in so many documents shows which seeds are common, and how often a seed must be met there to tell.
 SAMPLED, LEAST_MET = 64, 50
+#: So many ids are sent to every task, to keep the texts that are still open.
+BROADCAST_IDS = 50_000
 #: Rows times words of context that are in a batch.
 ROWS_OF_WORDS = 200_000
 TABLE = 150_000
@@ -205,25 +207,27 @@ def matches_of(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([px[~inside], *xs]), np.concatenate([py[~inside], *ys])
 
 
-def seed_pairs(x: np.ndarray, source: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, first position * 64 + distance) of the kept pairs among one document's short seeds, given each seed's first holder and its position there."""
-    order = np.argsort(x, kind="stable")
-    x, source, y = x[order], source[order], y[order]
+def seed_pairs(doc: np.ndarray, x: np.ndarray, source: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, hash, first position * 64 + distance) of the kept pairs among the short seeds of each document, given each seed's first holder and its position there."""
+    order = np.lexsort((x, doc))
+    doc, x, source, y = doc[order], x[order], source[order], y[order]
     name = _joined([source.astype(np.uint64), y.astype(np.uint64)])
-    keys, places = [], []
-    for k in range(1, SPREAD + 1):
-        if len(x) <= k:
+    docs, keys, places = [doc[:0]], [np.zeros(0, np.int64)], [x[:0]]
+    i = np.arange(len(x))
+    for k in range(1, SPREAD + 1):  # those whose k-th seed from here is near; further ones are further off
+        i = i[: np.searchsorted(i, len(x) - k)]
+        i = i[(doc[i + k] == doc[i]) & (x[i + k] - x[i] <= SPREAD)]
+        if not len(i):
             break
-        gap = x[k:] - x[:-k]
-        if (gap > SPREAD).all():
-            break
-        apart = (gap <= SPREAD) & (gap > 0) & ((source[k:] != source[:-k]) | (np.abs(y[k:] - y[:-k] - gap) > SHIFT))
-        i = np.flatnonzero(apart)
-        key = _joined([name[i], name[i + k]])
+        gap = x[i + k] - x[i]
+        apart = (gap > 0) & ((source[i + k] != source[i]) | (np.abs(y[i + k] - y[i] - gap) > SHIFT))
+        first, gap = i[apart], gap[apart]
+        key = _joined([name[first], name[first + k]])
         kept = key % np.uint64(PAIRED) == 0
+        docs.append(doc[first[kept]])
         keys.append(key[kept].view(np.int64))
-        places.append((x[i] << 6 | gap[i])[kept])
-    return (np.concatenate(keys), np.concatenate(places)) if keys else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        places.append((x[first] << 6 | gap)[kept])
+    return np.concatenate(docs), np.concatenate(keys), np.concatenate(places)
 
 
 def chain(x: np.ndarray, y: np.ndarray) -> list[list[int]]:
@@ -413,8 +417,13 @@ def fuzzy_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def chained(doc: np.ndarray, source: np.ndarray, x: np.ndarray, y: np.ndarray, matches: Callable[..., tuple[np.ndarray, np.ndarray]]) -> list[tuple]:
         """Clusters of chains of each (doc, source), which come in order."""
         out = []
-        cuts = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (source[1:] != source[:-1]), True]) if len(doc) else []
-        for lo, hi in zip(cuts, cuts[1:], strict=False):
+        if not len(doc):
+            return out
+        cuts = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (source[1:] != source[:-1]), True])
+        bounds = np.stack([cuts[:-1], cuts[1:]], axis=1)
+        if matches is matches_of:  # a short match alone is no chain
+            bounds = bounds[(np.diff(cuts) >= MIN_SEEDS) | np.logical_or.reduceat(x & 1 == 1, cuts[:-1])]
+        for lo, hi in bounds.tolist():
             u, v = matches(x[lo:hi], y[lo:hi])
             if len(u) >= MIN_SEEDS:
                 for cluster in clusters(chain(u, v), u):
@@ -430,11 +439,9 @@ def fuzzy_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             out = chained(doc[at], source[at], x[at], y[at], matches_of)
             at = ((kind == OWNER) | (kind == ITSELF)) & (x & 1 == 0)
             doc, source, x, y = doc[at], source[at], x[at].astype(np.int64) >> 1, y[at].astype(np.int64) >> 1
-            cuts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1], True]) if len(doc) else []
-            for lo, hi in zip(cuts, cuts[1:], strict=False):
-                keys, places = seed_pairs(x[lo:hi], source[lo:hi], y[lo:hi])
-                out += [(int(doc[lo]), None, None, None, None, k, p) for k, p in zip(keys.tolist(), places.tolist(), strict=True)]
             yield pd.DataFrame(out, columns=["doc_id", "source", "xs", "ys", "sizes", "h", "at"]).astype({"source": "Int64", "h": "Int64", "at": "Int64"})
+            doc, keys, places = seed_pairs(doc, x, source, y)
+            yield pd.DataFrame({"doc_id": doc, "source": pd.array([None] * len(doc), "Int64"), "xs": None, "ys": None, "sizes": None, "h": keys, "at": places})
 
     def own_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         owners = Owners()
@@ -513,13 +520,16 @@ def fuzzy_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     left = materialise(found.withColumn("cluster", F.monotonically_increasing_id()), "chains")
 
     of_chunk = F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int").alias("chunk")
-    done, context = None, CONTEXT
+    done, context, texts = None, CONTEXT, rows
     while True:
         span = lambda c: (F.greatest(F.lit(0), F.array_min(c) - context), F.array_max(c) + K + context)  # noqa: B023, E731
         (lo, hi), (lo2, hi2) = span("xs"), span("ys")
         left = left.select("cluster", "doc_id", "source", "xs", "ys", "sizes", lo.alias("lo"), hi.alias("hi"), lo2.alias("lo2"), hi2.alias("hi2"))
         spans = left.select("doc_id", "lo", "hi").union(left.select("source", "lo2", "hi2")).distinct()
-        slices = rows.select("doc_id", "text", of_chunk).groupBy("chunk").cogroup(spans.select("doc_id", "lo", "hi", of_chunk).groupBy("chunk")).applyInArrow(cut, "d long, a int, b int, words array<int>")
+        if done is not None:  # few documents are left
+            ids = materialise(spans.select("doc_id").distinct(), "open-documents")
+            texts = rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+        slices = texts.select("doc_id", "text", of_chunk).groupBy("chunk").cogroup(spans.select("doc_id", "lo", "hi", of_chunk).groupBy("chunk")).applyInArrow(cut, "d long, a int, b int, words array<int>")
         slices = materialise(slices, "slices")
         sides = [slices.select(F.col("d").alias(f"{s}_d"), F.col("a").alias(f"{s}_a"), F.col("b").alias(f"{s}_b"), F.col("words").alias(f"w{s}")) for s in "ab"]
         both = left.join(sides[0], (F.col("doc_id") == F.col("a_d")) & (F.col("lo") == F.col("a_a")) & (F.col("hi") == F.col("a_b")))

@@ -519,6 +519,24 @@ def test_passages_owners():
         assert sorted(followed) == sorted({(r[0], s, p): (s, p) for r, s, p in want if s == min(d for h, d, _ in rows if h == r[0])}[h, s, p] for h, s, p in {(r[0], s, p) for r, s, p in want if s == min(d for h, d, _ in rows if h == r[0])})
 
 
+def test_seed_pairs_of_many_documents():
+    """Pairs of seeds of documents taken together are those of each alone, by plain loops."""
+    rng = np.random.default_rng(8)
+    doc = np.sort(rng.integers(0, 9, 500))
+    x, source, y = rng.integers(0, 300, 500), rng.integers(0, 3, 500), rng.integers(0, 300, 500)
+    want = []
+    for d in range(9):
+        own = sorted((x[i], i) for i in np.flatnonzero(doc == d))
+        for (a, i), (b, j) in itertools.combinations(own, 2):
+            if 0 < b - a <= passages.SPREAD and b - a < 64 and (source[i] != source[j] or abs(y[j] - y[i] - (b - a)) > passages.SHIFT):
+                one, two = (passages._joined([source[[k]].astype(np.uint64), y[[k]].astype(np.uint64)]) for k in (i, j))
+                h = passages._joined([one, two])
+                if h[0] % np.uint64(passages.PAIRED) == 0 and own.index((b, j)) - own.index((a, i)) <= passages.SPREAD:
+                    want.append((d, int(h.view(np.int64)[0]), int(a * 64 + b - a)))
+    assert len(want) > 100 and sorted(zip(*(c.tolist() for c in passages.seed_pairs(doc, x, source, y)), strict=True)) == sorted(want)
+    assert all(len(c) == 0 for c in passages.seed_pairs(*(c[:0] for c in (doc, x, source, y))))
+
+
 def fresh(rng, n):
     return [f"w{rng.randrange(10**9)}" for _ in range(n)]
 
