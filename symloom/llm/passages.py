@@ -35,7 +35,8 @@ within one document are not reported; an empty table gives an empty result; othe
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from itertools import chain as joined_lists
 
 import numpy as np
 import pandas as pd
@@ -70,6 +71,12 @@ BROADCAST_IDS = 50_000
 ROWS_OF_WORDS = 200_000
 TABLE = 150_000
 CHUNK_BYTES = 4 << 20
+#: Characters whose seeds are found at once, rows that are packed at once, and rows of packed tables that are in a batch.
+CHARACTERS, PACKED, PACKED_ROWS = 1 << 20, 1 << 19, 1024
+#: Words that agree before whole blocks of words are compared.
+RUN = 16
+SEED = np.dtype([("h", "<i8"), ("doc_id", "<i8"), ("pos", "<i4")])
+MATCH = np.dtype([("doc_id", "<i8"), ("source", "<i8"), ("pos", "<i4"), ("source_pos", "<i4"), ("kind", "i1")])
 
 
 class WordHashes(dict):
@@ -97,17 +104,26 @@ def _joined(parts: list[np.ndarray]) -> np.ndarray:
     return h ^ h >> np.uint64(31)
 
 
-def _minima(h: np.ndarray, window: int) -> np.ndarray:
-    """Where h is the smallest of a window; of equal ones in a row, as few as leave one to each window."""
-    n = len(h)
-    w = min(window, n)
-    low = h
-    for i in range(1, w):
-        low = np.minimum(low[: n - i], h[i:])
-    kept = np.zeros(n, dtype=bool)
-    for i in range(w):
-        kept[i : i + len(low)] |= h[i : i + len(low)] == low
-    at = np.flatnonzero(kept)
+def _over(best: np.ufunc, h: np.ndarray, window: int) -> np.ndarray:
+    """The best of each window of h; h has at least so many places."""
+    n, size = len(h) - window + 1, 1
+    while size < window:
+        step = min(size, window - size)
+        h, size = best(h[:-step], h[step:]), size + step
+    return h[:n]
+
+
+def _minima(h: np.ndarray, offset: np.ndarray, length: np.ndarray, window: int) -> np.ndarray:
+    """Where h is the smallest of a window of a document's; of equal ones in a row, as few as leave one to each window.
+
+    offset: of each place in its document; length: that document's number of places. Documents are window - 1 places
+    or more apart; one that is shorter than a window has one window."""
+    inside = offset < length
+    high = np.where(inside, h, ~np.uint64(0))
+    low = _over(np.minimum, np.r_[high, np.full(window - 1, ~np.uint64(0))], window)
+    low[~(inside & (offset <= np.maximum(length - window, 0)))] = 0  # no window begins here
+    # A place is kept if it is as small as the largest of its windows' minima: none of these is above it.
+    at = np.flatnonzero(inside & (_over(np.maximum, np.r_[np.zeros(window - 1, np.uint64), low], window) == h))
     same = (h[at[1:]] == h[at[:-1]]) & (np.diff(at) < window)
     if same.any():
         keep, last = np.ones(len(at), dtype=bool), -1
@@ -122,21 +138,87 @@ def _minima(h: np.ndarray, window: int) -> np.ndarray:
     return at
 
 
-def seeds(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(position * 2 + long?, hash) of the kept seeds."""
-    n = len(words) - K + 1
-    if n < 1:
-        return np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64)
-    h = _joined([words[i : i + n] for i in range(K)])
-    at = _minima(h, WINDOW)
-    places, found = [at << 1], [h[at]]
-    n = len(words) - LONG + 1
-    if n > 0:
-        h = _joined([h[i : i + n] for i in range(0, LONG, K)])
-        at = _minima(h, LONG_WINDOW)
-        places.append(at << 1 | 1)
-        found.append(h[at])
-    return np.concatenate(places).astype(np.int32), np.concatenate(found).view(np.int64)
+def seeds(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, position * 2 + long?, hash) of the kept seeds of documents that have so many words each."""
+    gap = max(WINDOW, LONG_WINDOW)
+    starts = np.cumsum(counts + gap) - (counts + gap)
+    number = np.repeat(np.arange(len(counts)), counts + gap)
+    offset = np.arange(len(number)) - starts[number]
+    spread = np.zeros(len(number) + LONG, dtype=np.uint64)
+    spread[:-LONG][offset < counts[number]] = words
+    n = len(number) + LONG - K + 1
+    h = _joined([spread[i : i + n] for i in range(K)])
+    long = _joined([h[i : i + len(number)] for i in range(0, LONG, K)])
+    out = []
+    for h, size, window, mark in ((h[: len(number)], K, WINDOW, 0), (long, LONG, LONG_WINDOW, 1)):
+        at = _minima(h, offset, (counts - size + 1)[number], window)
+        out.append((number[at], (offset[at] << 1 | mark).astype(np.int32), h[at].view(np.int64)))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+def seeds_of_texts(ids: np.ndarray, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(hash, id, position * 2 + long?) of the kept seeds, for some texts at a time."""
+    lo = 0
+    while lo < len(texts):
+        hi, size = lo, 0
+        while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= CHARACTERS):
+            size, hi = size + len(texts[hi]), hi + 1
+        words = [t.encode().lower().split() for t in texts[lo:hi]]
+        counts = np.array([len(w) for w in words], dtype=np.int64)
+        number, pos, h = seeds(np.fromiter(map(HASHES.__getitem__, joined_lists.from_iterable(words)), np.uint64, int(counts.sum())), counts)
+        yield h, ids[lo:hi][number], pos
+        lo = hi
+
+
+def bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
+    return (_joined([key.astype(np.int64).view(np.uint64)]) % np.uint64(buckets)).astype(np.int32)
+
+
+def packed(parts: Iterator[tuple[np.ndarray, ...]], kind: np.dtype, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, rows of that kind as bytes), dealt by the first column: an exchange of few long rows."""
+
+    def pack(held: list[np.ndarray]) -> pa.RecordBatch:
+        rows = np.concatenate(held)
+        bucket = bucket_of(rows[kind.names[0]], buckets)
+        order = np.argsort(bucket, kind="stable")
+        rows, bucket = rows[order], bucket[order]
+        cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
+        data, size = rows.tobytes(), kind.itemsize
+        blocks = [data[a * size : b * size] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]]), pa.array(blocks, pa.binary())], names=["bucket", "data"])
+
+    held, n = [], 0
+    for columns in parts:
+        rows = np.empty(len(columns[0]), dtype=kind)
+        for name, c in zip(kind.names, columns, strict=True):
+            rows[name] = c
+        if len(rows):
+            held.append(rows)
+            n += len(rows)
+        if n >= PACKED:
+            yield pack(held)
+            held, n = [], 0
+    if held:
+        yield pack(held)
+
+
+def unpacked(batches: Iterator[pa.RecordBatch], kind: np.dtype) -> Iterator[list[np.ndarray]]:
+    """The columns of each bucket; the rows of a bucket come one after another."""
+    held, last = [], None
+
+    def columns() -> list[np.ndarray]:
+        rows = np.frombuffer(b"".join(held), dtype=kind)
+        return [rows[n].copy() for n in kind.names]
+
+    for batch in batches:
+        for bucket, data in zip(batch.column("bucket").to_pylist(), batch.column("data").to_pylist(), strict=True):
+            if bucket != last and held:
+                yield columns()
+                held = []
+            last = bucket
+            held.append(data)
+    if held:
+        yield columns()
 
 
 def piece_of(h: np.ndarray, part: np.ndarray) -> np.ndarray:
@@ -283,7 +365,7 @@ def clusters(chains: list[list[int]], x: np.ndarray) -> Iterator[list[list[int]]
         yield sorted(held, key=len, reverse=True)
 
 
-def _common(a: list[int], b: list[int]) -> int:
+def _common(a: Sequence[int], b: Sequence[int]) -> int:
     """Length of the longest common subsequence of two short lists."""
     row = [0] * (len(b) + 1)
     for u in a:
@@ -293,27 +375,39 @@ def _common(a: list[int], b: list[int]) -> int:
     return row[-1]
 
 
-def _extend(a: list[int], b: list[int]) -> tuple[int, int, int]:
+def _extend(a: Sequence[int], b: Sequence[int]) -> tuple[int, int, int]:
     """How far an alignment goes on over the starts of a and b: words of a, words of b, equal words."""
-    i = j = equal = 0
+    i = j = equal = run = 0
     good, balance, peak = (0, 0, 0), 0, 0
-    while i < len(a) and j < len(b) and balance > peak - 6:
+    n, m = len(a), len(b)
+    while i < n and j < m and balance > peak - 6:
         if a[i] == b[j]:
-            i, j, equal, balance = i + 1, j + 1, equal + 1, balance + 1
+            more, run = 1, run + 1
+            if run == RUN:  # blocks, larger while they agree, then smaller
+                step, grows = RUN, True
+                while step >= RUN:
+                    u, v = i + more, j + more
+                    if u + step <= n and v + step <= m and a[u : u + step] == b[v : v + step]:
+                        more += step
+                        step = 2 * step if grows else step // 2
+                    else:
+                        step, grows = step // 2, False
+            i, j, equal, balance = i + more, j + more, equal + more, balance + more
             if balance >= peak:
                 peak, good = balance, (i, j, equal)
         else:
             balance -= 2
-            if i + 1 < len(a) and a[i + 1] == b[j]:
+            run = 0
+            if i + 1 < n and a[i + 1] == b[j]:
                 i += 1
-            elif j + 1 < len(b) and a[i] == b[j + 1]:
+            elif j + 1 < m and a[i] == b[j + 1]:
                 j += 1
             else:
                 i, j = i + 1, j + 1
     return good
 
 
-def align(a: list[int], b: list[int], x: list[int], y: list[int]) -> tuple[int, int, int, int, int]:
+def align(a: Sequence[int], b: Sequence[int], x: list[int], y: list[int]) -> tuple[int, int, int, int, int]:
     """Ranges in a and b of the alignment through the seeds at x, y, and its number of equal words."""
     end_a, end_b, equal = x[0] + K, y[0] + K, K
     for u, v in zip(x[1:], y[1:], strict=True):
@@ -334,7 +428,7 @@ def align(a: list[int], b: list[int], x: list[int], y: list[int]) -> tuple[int,
     return x[0] - less_a, end_a + more_a, y[0] - less_b, end_b + more_b, equal + more + less
 
 
-def similar(a: list[int], b: list[int], x: list[int], y: list[int], min_words: int, similarity: float) -> Iterator[tuple[int, int, int, int, int, int]]:
+def similar(a: Sequence[int], b: Sequence[int], x: list[int], y: list[int], min_words: int, similarity: float) -> Iterator[tuple[int, int, int, int, int, int]]:
     """Alignments (ranges, equal words, seeds) along a chain that are long and similar enough, of the whole chain or of its parts."""
     a0, a1, b0, b1, equal = align(a, b, x, y)
     if min(a1 - a0, b1 - b0) < min_words:
@@ -352,7 +446,7 @@ def _inside(a: int, b: int, ranges: list[tuple]) -> bool:
     return any(r[0] <= a and b <= r[1] for r in ranges)
 
 
-def aligned(a: list[int], b: list[int], xs: list[list[int]], ys: list[list[int]], min_words: int, similarity: float) -> list[tuple[int, int, int, int, int, int]]:
+def aligned(a: Sequence[int], b: Sequence[int], xs: list[list[int]], ys: list[list[int]], min_words: int, similarity: float) -> list[tuple[int, int, int, int, int, int]]:
     """The passages of a cluster of chains; none lies inside another one here."""
     out: list[tuple[int, int, int, int, int, int]] = []
     for x, y in zip(xs, ys, strict=True):
@@ -370,40 +464,62 @@ def fuzzy_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     chunks = max(1, -(-total // CHUNK_BYTES))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = tasks * max(1, -(-chunks // tasks))  # of packed rows, each with the seeds of some CHUNK_BYTES
+
+    def sample_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for h, _, _ in seeds_of_texts(batch.column(0).to_numpy(), batch.column(1).to_pylist()):
+                yield pa.RecordBatch.from_arrays([pa.array(h)], names=["h"])
 
     def seeds_of(hot: np.ndarray, bounds: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-        def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def find(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
             for batch in batches:
-                for lo in range(0, len(batch), 512):
-                    part = batch.slice(lo, 512)
-                    found = [seeds(word_hashes(t.as_py())) for t in part.column(1)]
-                    ids = np.repeat(part.column(0).to_numpy(), [len(p) for p, _ in found])
-                    h = np.concatenate([h for _, h in found])
+                for h, ids, pos in seeds_of_texts(batch.column(0).to_numpy(), batch.column(1).to_pylist()):
                     if len(hot):
                         common = hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h
                         h = np.where(common, piece_of(h, np.searchsorted(bounds, ids, side="right")), h)
-                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(ids), pa.array(np.concatenate([p for p, _ in found]))], names=["h", "doc_id", "pos"])
+                    yield h, ids, pos
 
-        return find
+        return lambda batches: packed(find(batches), SEED, buckets)
 
     def own_of(hot: np.ndarray, bounds: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-        def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            owners = Owners()
+        def own(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
             pieces = piece_of(np.repeat(hot, len(bounds) + 1), np.tile(np.arange(len(bounds) + 1), len(hot)))
             order = np.argsort(pieces)
             pieces, seed = pieces[order], np.repeat(hot, len(bounds) + 1)[order]
-            for batch in batches:
-                if len(batch):
-                    h, doc, at = (batch.column(i).to_numpy() for i in range(3))
-                    row, source, place, kind, heads, first, own_place = owners.take(h, doc, at)
-                    none = np.zeros(0, dtype=np.int64)
-                    i = np.minimum(np.searchsorted(pieces, h[heads]), len(pieces) - 1) if len(pieces) else none
-                    heads, i = (heads[here := pieces[i] == h[heads]], i[here]) if len(pieces) else (none, none)
-                    kinds = np.r_[kind, np.full(len(heads), HEAD, np.int8), np.full(len(first), ITSELF, np.int8)]
-                    cols = [np.r_[doc[row], doc[heads], first], np.r_[source, seed[i], first], np.r_[at[row], at[heads], own_place].astype(np.int32), np.r_[place, at[heads], own_place].astype(np.int32), kinds]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["doc_id", "source", "pos", "source_pos", "kind"])
-
-        return own
+            for h, doc, at in unpacked(batches, SEED):
+                order = np.argsort(h)
+                same = h[order[1:]] == h[order[:-1]]
+                met = np.r_[False, same] | np.r_[same, False]  # a seed met once matches nothing
+                if len(pieces):
+                    met |= pieces[np.minimum(np.searchsorted(pieces, h[order]), len(pieces) - 1)] == h[order]
+                order = order[met]
+                if not len(order):
+                    continue
+                h, doc, at = h[order], doc[order], at[order]
+                order = np.lexsort((at, doc, h))
+                h, doc, at = h[order], doc[order], at[order]
+                row, source, place, kind, heads, first, own_place = Owners().take(h, doc, at)
+                none = np.zeros(0, dtype=np.int64)
+                i = np.minimum(np.searchsorted(pieces, h[heads]), len(pieces) - 1) if len(pieces) else none
+                heads, i = (heads[here := pieces[i] == h[heads]], i[here]) if len(pieces) else (none, none)
+                kinds = np.r_[kind, np.full(len(heads), HEAD, np.int8), np.full(len(first), ITSELF, np.int8)]
+                yield np.r_[doc[row], doc[heads], first], np.r_[source, seed[i], first], np.r_[at[row], at[heads], own_place], np.r_[place, at[heads], own_place], kinds
+
+        return lambda batches: packed(own(batches), MATCH, buckets)
+
+    def heads_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The ranges' smallest documents, as rows."""
+        for batch in batches:
+            for data in batch.column("data").to_pylist():
+                rows = np.frombuffer(data, dtype=MATCH)
+                rows = rows[rows["kind"] == HEAD]
+                if len(rows):
+                    yield pa.RecordBatch.from_arrays([pa.array(rows[n].copy()) for n in ("doc_id", "source", "pos")], names=["doc_id", "source", "pos"])
+
+    def pack_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ([batch.column(i).to_numpy() for i in range(4)] for batch in batches)
+        return packed(((*r, np.full(len(r[0]), BEFORE, np.int8)) for r in rows), MATCH, buckets)
 
     def whole_documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -431,17 +547,22 @@ def fuzzy_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     out.append((int(doc[lo]), int(source[lo]), u[every], v[every], [len(c) for c in cluster], None, None))
         return out
 
-    def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Chains, and the pairs of seeds that are seeds of their own."""
-        for pdf in whole_documents(batches):
-            doc, source, x, y, kind = (pdf[c].to_numpy() for c in ("doc_id", "source", "pos", "source_pos", "kind"))
+        names = ["doc_id", "source", "xs", "ys", "sizes", "h", "at"]
+        kinds = [pa.int64(), pa.int64(), *[pa.list_(pa.int32())] * 3, pa.int64(), pa.int64()]
+        for doc, source, x, y, kind in unpacked(batches, MATCH):
+            order = np.lexsort((x, source, doc))
+            order = order[kind[order] != HEAD]
+            doc, source, x, y, kind = (c[order] for c in (doc, source, x, y, kind))
             at = kind != ITSELF
             out = chained(doc[at], source[at], x[at], y[at], matches_of)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
             at = ((kind == OWNER) | (kind == ITSELF)) & (x & 1 == 0)
-            doc, source, x, y = doc[at], source[at], x[at].astype(np.int64) >> 1, y[at].astype(np.int64) >> 1
-            yield pd.DataFrame(out, columns=["doc_id", "source", "xs", "ys", "sizes", "h", "at"]).astype({"source": "Int64", "h": "Int64", "at": "Int64"})
-            doc, keys, places = seed_pairs(doc, x, source, y)
-            yield pd.DataFrame({"doc_id": doc, "source": pd.array([None] * len(doc), "Int64"), "xs": None, "ys": None, "sizes": None, "h": keys, "at": places})
+            doc, keys, places = seed_pairs(doc[at], x[at].astype(np.int64) >> 1, source[at], y[at].astype(np.int64) >> 1)
+            if len(doc):
+                yield pa.RecordBatch.from_arrays([pa.array(doc), *(pa.nulls(len(doc), t) for t in kinds[1:5]), pa.array(keys), pa.array(places)], names=names)
 
     def own_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         owners = Owners()
@@ -472,9 +593,9 @@ def fuzzy_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         out = []
         for d, own in spans.items():
             words = (word_hashes(chosen[d]) >> np.uint64(33)).astype(np.int32)
-            out += [(d, a, b, words[a:b]) for a, b in own]
+            out += [(d, a, b, words[a:b].tobytes()) for a, b in own]
         cols = list(zip(*out, strict=True)) if out else [[]] * 4
-        return pa.Table.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32())), strict=True)], names=["d", "a", "b", "words"])
+        return pa.Table.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["d", "a", "b", "words"])
 
     names = ["doc_id", "source_doc_id", "start_word", "end_word", "source_start", "source_end", "matched", "similarity", "n_seeds"]
 
@@ -482,10 +603,11 @@ def fuzzy_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for pdf in batches:
             out = []
             for cluster, doc, source, xs, ys, sizes, lo, lo2, hi, hi2, wa, wb in zip(*(pdf[c] for c in ("cluster", "doc_id", "source", "xs", "ys", "sizes", "lo", "lo2", "hi", "hi2", "wa", "wb")), strict=True):
+                wa, wb = memoryview(wa).cast("i"), memoryview(wb).cast("i")
                 if len(wa) < xs.max() - lo + K or len(wb) < ys.max() - lo2 + K:
                     continue  # seeds of another row with this id
                 ends = np.cumsum(sizes)[:-1]
-                found = aligned(wa.tolist(), wb.tolist(), [x.tolist() for x in np.split(xs - lo, ends)], [y.tolist() for y in np.split(ys - lo2, ends)], min_words, similarity)
+                found = aligned(wa, wb, [x.tolist() for x in np.split(xs - lo, ends)], [y.tolist() for y in np.split(ys - lo2, ends)], min_words, similarity)
                 if any((a0 == 0 < lo) or (b0 == 0 < lo2) or a1 == hi - lo or b1 == hi2 - lo2 for a0, a1, b0, b1, *_ in found):
                     out.append((cluster, True, doc, source, *[0] * 7))  # goes on past what was read
                     continue
@@ -495,25 +617,26 @@ def fuzzy_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # Common seeds, at most 2 * tasks of them, and ranges of ids to deal them by.
     sample = rows.where(F.pmod(F.xxhash64(F.lit(9), "doc_id"), F.lit(SAMPLED)) == 0)
     none = np.zeros(0, dtype=np.int64)
-    met = materialise(sample.mapInArrow(seeds_of(none, none), "h long, doc_id long, pos int").groupBy("h").agg(F.count(F.lit(1)).alias("n")), "seed-sample")
+    met = materialise(sample.mapInArrow(sample_seeds, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")), "seed-sample")
     share = max(LEAST_MET, (met.agg(F.sum("n")).first()[0] or 0) / (2 * tasks))
     common = sorted((r["h"], r["n"]) for r in met.where(F.col("n") > share).collect())
     hot, bounds = np.array([h for h, _ in common], dtype=np.int64), none
     if common:
         pieces = min(tasks, max([2, *(int(n / share) for _, n in common)]))
         bounds = np.array(sample.agg(F.percentile_approx("doc_id", [i / pieces for i in range(1, pieces)], 10_000)).first()[0], dtype=np.int64)
-    seeded = rows.mapInArrow(seeds_of(hot, bounds), "h long, doc_id long, pos int")
-    dealt = seeded.repartition(F.col("h")).sortWithinPartitions("h", "doc_id", "pos")
-    matches = dealt.mapInArrow(own_of(hot, bounds), "doc_id long, source long, pos int, source_pos int, kind byte")
-    if common:
-        matches = materialise(matches, "matches")
-        # The ranges' smallest documents, a row per range of a common seed, are linked to the smallest of all.
-        least = F.min(F.struct("doc_id", "pos")).over(Window.partitionBy("source"))
-        heads = matches.where(F.col("kind") == HEAD).withColumn("least", least).where("doc_id <> least.doc_id")
-        matches = matches.union(heads.select("doc_id", F.col("least.doc_id"), "pos", F.col("least.pos"), F.lit(BEFORE).cast("byte")))
+    dealt = lambda df: df.repartitionById(tasks, F.col("bucket") % tasks).sortWithinPartitions("bucket")
+    table = "bucket int, data binary"
+    with arrow_rows(spark, PACKED_ROWS):
+        matches = dealt(rows.mapInArrow(seeds_of(hot, bounds), table)).mapInArrow(own_of(hot, bounds), table)
+        if common:
+            matches = materialise(matches, "matches")
+            # The ranges' smallest documents, a row per range of a common seed, are linked to the smallest of all.
+            least = F.min(F.struct("doc_id", "pos")).over(Window.partitionBy("source"))
+            heads = matches.mapInArrow(heads_of, "doc_id long, source long, pos int").withColumn("least", least).where("doc_id <> least.doc_id")
+            matches = matches.union(heads.select("doc_id", F.col("least.doc_id").alias("source"), "pos", F.col("least.pos").alias("source_pos")).mapInArrow(pack_heads, table))
+        schema = "doc_id long, source long, xs array<int>, ys array<int>, sizes array<int>"
+        linked = materialise(dealt(matches).mapInArrow(link, schema + ", h long, at long"), "chains-and-pairs")
     in_order = lambda df: df.repartition(F.col("doc_id")).sortWithinPartitions("doc_id", "source", "pos")
-    schema = "doc_id long, source long, xs array<int>, ys array<int>, sizes array<int>"
-    linked = materialise(in_order(matches.where(F.col("kind") != HEAD)).mapInPandas(link, schema + ", h long, at long"), "chains-and-pairs")
     pairs = linked.where("h is not null").select("h", "doc_id", "at").repartition(F.col("h")).sortWithinPartitions("h", "doc_id", "at")
     more = in_order(pairs.mapInArrow(own_pairs, "doc_id long, source long, pos long, source_pos long")).mapInPandas(link_pairs, schema)
     found = linked.where("h is null").drop("h", "at").union(more)
@@ -529,7 +652,7 @@ def fuzzy_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if done is not None:  # few documents are left
             ids = materialise(spans.select("doc_id").distinct(), "open-documents")
             texts = rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
-        slices = texts.select("doc_id", "text", of_chunk).groupBy("chunk").cogroup(spans.select("doc_id", "lo", "hi", of_chunk).groupBy("chunk")).applyInArrow(cut, "d long, a int, b int, words array<int>")
+        slices = texts.select("doc_id", "text", of_chunk).groupBy("chunk").cogroup(spans.select("doc_id", "lo", "hi", of_chunk).groupBy("chunk")).applyInArrow(cut, "d long, a int, b int, words binary")
         slices = materialise(slices, "slices")
         sides = [slices.select(F.col("d").alias(f"{s}_d"), F.col("a").alias(f"{s}_a"), F.col("b").alias(f"{s}_b"), F.col("words").alias(f"w{s}")) for s in "ab"]
         both = left.join(sides[0], (F.col("doc_id") == F.col("a_d")) & (F.col("lo") == F.col("a_a")) & (F.col("hi") == F.col("a_b")))

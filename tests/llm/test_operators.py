@@ -537,6 +537,72 @@ def test_seed_pairs_of_many_documents():
     assert all(len(c) == 0 for c in passages.seed_pairs(*(c[:0] for c in (doc, x, source, y))))
 
 
+def test_seeds_of_texts_taken_together():
+    """Kept seeds of texts taken together are those of each alone, by plain loops over its windows."""
+    rng = random.Random(4)
+    texts = [" ".join(f"W{rng.randrange(10**6)}" for _ in range(n)) for n in [0, 1, 4, 5, 6, 10, 11, 12, 39, 40, 41, 46, 47, 48, 90, 300] * 3]
+    ids = np.arange(len(texts)) * 7
+    found = [set(zip(*(c.tolist() for c in part), strict=True)) for part in passages.seeds_of_texts(ids, texts)]
+    want = set()
+    for i, t in zip(ids.tolist(), texts, strict=True):
+        words = [np.array([passages.HASHES[w]], dtype=np.uint64) for w in t.encode().lower().split()]
+        short = [passages._joined(words[a : a + passages.K]) for a in range(len(words) - passages.K + 1)]
+        long = [passages._joined(short[a : a + passages.LONG : passages.K]) for a in range(len(words) - passages.LONG + 1)]
+        for runs, window, mark in ((short, passages.WINDOW, 0), (long, passages.LONG_WINDOW, 1)):
+            for a in range(max(1, len(runs) - window + 1) if runs else 0):
+                b = min(range(a, min(a + window, len(runs))), key=lambda k: runs[k][0])  # noqa: B023
+                want.add((int(runs[b].view(np.int64)[0]), i, b * 2 + mark))
+    assert len(want) > 500 and set().union(*found) == want and sum(map(len, found)) == len(want)
+
+
+def test_seeds_are_sent_in_few_long_rows():
+    rng = np.random.default_rng(2)
+    h, doc, at = rng.integers(-(2**63), 2**63, 50_000), rng.integers(0, 900, 50_000), rng.integers(0, 999, 50_000).astype(np.int32)
+    cuts = [0, 10, 10, 30_000, 50_000]
+    sent = list(passages.packed(((h[a:b], doc[a:b], at[a:b]) for a, b in itertools.pairwise(cuts)), passages.SEED, 20))
+    assert sum(map(len, sent)) <= 20
+    found = [list(zip(*(c.tolist() for c in part), strict=True)) for part in passages.unpacked(iter(sent), passages.SEED)]
+    assert sorted(itertools.chain(*found)) == sorted(zip(h.tolist(), doc.tolist(), at.tolist(), strict=True))
+    assert all(len({int(b) for b in passages.bucket_of(np.array([r[0] for r in part]), 20)}) == 1 for part in found)
+
+
+class Counted(list):
+    """Words, and how many were read one by one."""
+
+    read = 0
+
+    def __getitem__(self, i):
+        self.read += not isinstance(i, slice)
+        return super().__getitem__(i)
+
+
+def test_extension_goes_over_equal_words_in_blocks():
+    a = Counted(range(20_000))
+    assert passages._extend(a, Counted(range(20_000))) == (20_000, 20_000, 20_000)
+    assert a.read < 200
+    rng = random.Random(6)
+
+    def plain(a, b):
+        i = j = equal = balance = peak = 0
+        good = (0, 0, 0)
+        while i < len(a) and j < len(b) and balance > peak - 6:
+            if a[i] == b[j]:
+                i, j, equal, balance = i + 1, j + 1, equal + 1, balance + 1
+                if balance >= peak:
+                    peak, good = balance, (i, j, equal)
+            else:
+                balance -= 2
+                over, under = i + 1 < len(a) and a[i + 1] == b[j], j + 1 < len(b) and a[i] == b[j + 1]
+                i, j = i + (over or not under), j + (not over)
+        return good
+
+    for _ in range(300):
+        one = [rng.randrange(50) for _ in range(rng.choice([0, 20, 300, 2000]))]
+        edits = rng.choice([0, 0.003, 0.03, 0.2])
+        two = [x for w in one for x in ([w] if rng.random() >= edits else rng.choice([[], [w, w], [rng.randrange(50)]]))] + [7] * rng.randrange(20)
+        assert passages._extend(one, two) == plain(one, two)
+
+
 def fresh(rng, n):
     return [f"w{rng.randrange(10**9)}" for _ in range(n)]
 
