@@ -35,7 +35,7 @@ within one document are not reported; an empty table gives an empty result; othe
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from itertools import chain as joined_lists
 
 import numpy as np
@@ -69,7 +69,6 @@ SAMPLED, LEAST_MET = 64, 50
 BROADCAST_IDS = 50_000
 #: Rows times words of context that are in a batch.
 ROWS_OF_WORDS = 200_000
-TABLE = 150_000
 CHUNK_BYTES = 4 << 20
 #: Characters whose seeds are found at once, rows that are packed at once, and rows of packed tables that are in a batch.
 CHARACTERS, PACKED, PACKED_ROWS = 1 << 20, 1 << 19, 1024
@@ -79,20 +78,12 @@ SEED = np.dtype([("h", "<i8"), ("doc_id", "<i8"), ("pos", "<i4")])
 MATCH = np.dtype([("doc_id", "<i8"), ("source", "<i8"), ("pos", "<i4"), ("source_pos", "<i4"), ("kind", "i1")])
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= TABLE:
-            self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word)
-        return found
-
-
-HASHES = WordHashes()
 _FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
-def word_hashes(text: str) -> np.ndarray:
-    return np.fromiter(map(HASHES.__getitem__, text.encode().lower().split()), dtype=np.uint64)
+def word_hashes(words: Iterable[bytes], n: int) -> np.ndarray:
+    """Of n words; a table of known ones takes longer than hashing them."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n)
 
 
 def _joined(parts: list[np.ndarray]) -> np.ndarray:
@@ -165,7 +156,7 @@ def seeds_of_texts(ids: np.ndarray, texts: list[str]) -> Iterator[tuple[np.ndarr
             size, hi = size + len(texts[hi]), hi + 1
         words = [t.encode().lower().split() for t in texts[lo:hi]]
         counts = np.array([len(w) for w in words], dtype=np.int64)
-        number, pos, h = seeds(np.fromiter(map(HASHES.__getitem__, joined_lists.from_iterable(words)), np.uint64, int(counts.sum())), counts)
+        number, pos, h = seeds(word_hashes(joined_lists.from_iterable(words), int(counts.sum())), counts)
         yield h, ids[lo:hi][number], pos
         lo = hi
 
@@ -592,7 +583,8 @@ def fuzzy_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     chosen[d] = t
         out = []
         for d, own in spans.items():
-            words = (word_hashes(chosen[d]) >> np.uint64(33)).astype(np.int32)
+            words = chosen[d].encode().lower().split()
+            words = (word_hashes(words, len(words)) >> np.uint64(33)).astype(np.int32)
             out += [(d, a, b, words[a:b].tobytes()) for a, b in own]
         cols = list(zip(*out, strict=True)) if out else [[]] * 4
         return pa.Table.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["d", "a", "b", "words"])

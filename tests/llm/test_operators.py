@@ -545,7 +545,7 @@ def test_seeds_of_texts_taken_together():
     found = [set(zip(*(c.tolist() for c in part), strict=True)) for part in passages.seeds_of_texts(ids, texts)]
     want = set()
     for i, t in zip(ids.tolist(), texts, strict=True):
-        words = [np.array([passages.HASHES[w]], dtype=np.uint64) for w in t.encode().lower().split()]
+        words = [passages.word_hashes([w], 1) for w in t.encode().lower().split()]
         short = [passages._joined(words[a : a + passages.K]) for a in range(len(words) - passages.K + 1)]
         long = [passages._joined(short[a : a + passages.LONG : passages.K]) for a in range(len(words) - passages.LONG + 1)]
         for runs, window, mark in ((short, passages.WINDOW, 0), (long, passages.LONG_WINDOW, 1)):
