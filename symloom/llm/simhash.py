@@ -512,11 +512,12 @@ def _similar_groups(docs: DataFrame, id_col: str, text_col: str, threshold: int,
     found = proposed(prints, "proposed-pairs")
     edges = found.where("bits = -1").select("a", "b")
     root = materialise(connected_components(edges), "sure-components")
+    stars = lambda: root.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))  # noqa: E731  in place of the links that gave them
     pairs = between(found.where("bits >= 0"), root).groupBy(F.least("x", "y"), F.greatest("x", "y")).agg(F.min(F.struct("bits", "a", "b")).alias("p"))  # one for two groups
-    pairs, failed, complete = materialise(pairs.select("p.a", "p.b"), "open-pairs"), None, False
+    pairs, failed, complete, edges = materialise(pairs.select("p.a", "p.b"), "open-pairs"), None, False, stars()
     while not pairs.isEmpty():
         met = compared(pairs)
-        edges = edges.union(met.where("alike").select("a", "b"))
+        edges = stars().union(met.where("alike").select("a", "b"))
         failed = met.where("not alike").select("a", "b") if failed is None else failed.union(met.where("not alike").select("a", "b"))
         if complete:
             break
