@@ -12,7 +12,10 @@ so copies in thousands cost rows in proportion; alternating stars turn links int
 
 With ``similarity`` given, fingerprints only propose. They are then two with independent bits, over a text's distinct
 five-word shingles, and a pair within reach in either, and within OTHER_BITS in the other one, is proposed: that is
-4.5 standard deviations for texts at the limit, and one chance meeting in a hundred. Rows with a partner get a sketch of one-bit minhashes of the
+4.5 standard deviations for texts at the limit, and one chance meeting in a hundred. First the rows that have a partner
+are found. For that the pieces' reaches add up to no more than they must (``reach``), a piece's values are its anchors,
+near rows meet halfway, and sets of which one has less than ``similarity`` times the size of the other, which cannot be
+alike, are not compared: an anchor's rows are sorted by size. Rows with a partner get a sketch of one-bit minhashes of the
 same shingles and meet at the anchors once more: pairs whose sketches are CLEARLY on one side of the limit (over four
 standard errors) are linked or left. The open ones, unless clear links join their groups, are decided by the exact
 Jaccard similarity of the shingles' 64-bit hashes, in rounds. First a spanning forest of the most similar is compared,
@@ -53,6 +56,8 @@ THRESHOLD = 4
 PARTS = 3
 #: Pairs compared at a time in a task, and sketches; rows that make an anchor large, and home rows taken there at a time.
 BLOCK, SKETCH_BLOCK, LARGE, HOMES_AT_ONCE = 1 << 18, 1 << 15, 4096, 32
+#: To find rows with a partner: rows against how many others at a time; rows sent to anchors at a time in a task, and held there.
+LEFTS_AT_ONCE, COLUMNS, SPREAD_AT_ONCE, COMPARE_AT_ONCE = 64, 4096, 1 << 18, 1 << 16
 #: One-bit minhashes in a sketch, and words in their shingles.
 SKETCH_BITS, SKETCH_WORDS = 1024, 5
 #: In how many bits the other fingerprint of a proposed pair may differ.
@@ -133,14 +138,14 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def proposing_prints(docs: DataFrame, id_col: str, text_col: str, sketches: bool = False, sets: bool = False) -> DataFrame:
-    """doc_id, fp and other (two fingerprints), with ``sketches`` also sketch, with ``sets`` also the shingles."""
-    names = ["fp", "other", *(["sketch"] if sketches else []), *(["shingles"] if sets else [])]
+    """doc_id, fp and other (two fingerprints), size (distinct shingles), with ``sketches`` also sketch, with ``sets`` also the shingles."""
+    names = ["fp", "other", "size", *(["sketch"] if sketches else []), *(["shingles"] if sets else [])]
 
     def of(text: str) -> tuple:
         shingles = np.unique(shingle_hashes(text, SKETCH_WORDS))
-        return *map(_signed, fingerprint_pair(shingles)), *([sketch(shingles)] if sketches else []), *([shingles.view(np.int64)] if sets else [])
+        return *map(_signed, fingerprint_pair(shingles)), len(shingles), *([sketch(shingles)] if sketches else []), *([shingles.view(np.int64)] if sets else [])
 
-    return _per_text(docs, id_col, text_col, names, "fp long, other long" + ", sketch binary" * sketches + ", shingles array<long>" * sets, of)
+    return _per_text(docs, id_col, text_col, names, "fp long, other long, size long" + ", sketch binary" * sketches + ", shingles array<long>" * sets, of)
 
 
 def _hamming_homes() -> np.ndarray:
@@ -343,14 +348,12 @@ def links(prints: DataFrame, threshold: int = THRESHOLD, parts: int = PARTS, lik
 
     With ``like``, (fp, node, mark): marks are compared too, bit by bit. Up to ``like`` differing bits an edge is sure
     (its bits are -1), up to ``open_`` it is open. With (group, failed) too, group joins nodes beforehand and failed has
-    pairs of nodes that are out of the question, 16 bytes each. (fp, mark) without a node gives no edges but (fp, mark)
-    of those with a partner. What a task sends to an anchor is packed into one row.
+    pairs of nodes that are out of the question, 16 bytes each. What a task sends to an anchor is packed into one row.
     """
     t = threshold // parts
-    marked, grouped, bare = like is not None, "group" in prints.columns, "node" not in prints.columns
-    wide = marked and prints.schema["mark"].dataType.simpleString() == "binary"
-    at_once = 1024 if wide else 8192
-    fixed = ["fp", *([] if bare else ["node"]), *(["mark"] if marked else []), *(["group"] if grouped else [])]
+    marked, grouped = like is not None, "group" in prints.columns
+    at_once = 1024 if marked else 8192
+    fixed = ["fp", "node", *(["mark"] if marked else []), *(["group"] if grouped else [])]
     names = ["anchor", "homes", *fixed, *(["failed"] if grouped else [])]
     cut = pieces(parts)
 
@@ -387,18 +390,9 @@ def links(prints: DataFrame, threshold: int = THRESHOLD, parts: int = PARTS, lik
             order = np.lexsort((~cols[1], cols[0]))
             anchor, at_home, *cols = (x[order] for x in cols)
             own = dict(zip(fixed, cols, strict=True))
-            if bare:  # nodes by number
-                by = np.lexsort((own["mark"][:, 0], own["fp"]))
-                fp, mark = own["fp"][by], own["mark"][by, 0]
-                new = np.r_[True, (fp[1:] != fp[:-1]) | (mark[1:] != mark[:-1])]
-                own["node"] = np.empty(len(by), dtype=np.int64)
-                own["node"][by] = np.cumsum(new) - 1
             group = own["group"].view(np.int64) if grouped else None
             for a, b, bits in _compare(anchor, at_home, own["fp"], own["node"].view(np.int64), threshold, own.get("mark"), like or 0, open_ or like or 0, parts, group, failed):
-                if len(a) and bare:  # whoever has a partner meets one at its own home
-                    ends = np.intersect1d(np.concatenate([a, b]), own["node"][at_home])
-                    yield pa.RecordBatch.from_arrays([pa.array(x[new][ends].view(np.int64)) for x in (fp, mark)], names=["fp", "mark"])
-                elif len(a):
+                if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(bits.astype(np.int32))], names=["a", "b", "bits"])
 
         def pairs(at: np.ndarray, blobs: list[bytes]) -> list[np.ndarray]:
@@ -432,7 +426,161 @@ def links(prints: DataFrame, threshold: int = THRESHOLD, parts: int = PARTS, lik
 
     kind = "anchor long, homes int, " + ", ".join(f"{n} binary" for n in names[2:])
     spread = prints.select(*fixed, *names[2 + len(fixed) :]).mapInArrow(replicate, kind)
-    return spread.repartition(F.col("anchor")).sortWithinPartitions("anchor").mapInArrow(compare, "fp long, mark long" if bare else "a long, b long, bits int")
+    return spread.repartition(F.col("anchor")).sortWithinPartitions("anchor").mapInArrow(compare, "a long, b long, bits int")
+
+
+def reach(threshold: int, parts: int) -> list[tuple[int, int, int]]:
+    """(lowest bit, width, t) of each piece that counts: fingerprints within ``threshold`` bits are within t in one of them.
+
+    Were they over t in every piece, they would differ in the sum of all t + 1, which is ``threshold`` + 1.
+    """
+    cut, left = pieces(parts), threshold - parts + 1
+    least = sorted(range(parts), key=lambda k: cut[k][1])[: parts - left % parts]  # the narrow pieces get the smaller t
+    found = [(*cut[k], left // parts + (k not in least)) for k in range(parts)]
+    return [x for x in found if x[2] >= 0]
+
+
+def ball(width: int, t: int) -> np.ndarray:
+    """All patterns of at most t of ``width`` bits."""
+    return np.array([sum(1 << b for b in bits) for n in range(t + 1) for bits in itertools.combinations(range(width), n)], dtype=np.uint64)
+
+
+#: What goes to an anchor for a row: its fingerprint that is cut there, the other one, and its number of shingles.
+ROW = np.dtype([("own", "<u8"), ("other", "<u8"), ("size", "<u4")])
+
+
+def _told(anchor: int, turned: int, piece: int, reached: list[tuple[int, int, int]], rows: np.ndarray, threshold: int, similarity: float) -> np.ndarray:
+    """Which of an anchor's rows, sorted by size, are told to have a partner.
+
+    A row is known once a partner of it was seen here, and two rows that are known are not compared, so a cluster is not
+    compared pair by pair. A row that is known is told here, unless it is certain to be told elsewhere: for a pair that
+    an earlier piece (or the fingerprint before) brings together, there; for a pair that meets at the row's home, the
+    anchor that is its own value, there.
+    """
+    low, width, t = reached[piece]
+    own, other, size = (np.ascontiguousarray(rows[x]) for x in ROW.names)
+    part = lambda x, low, width: x >> np.uint64(low) & np.uint64((1 << width) - 1)
+    away = np.bitwise_count(part(own, low, width) ^ np.uint64(anchor))
+    short, long = t // 2, t - t // 2
+    # Larger rows than this cannot be alike, nor smaller ones; with an even t a row is compared with those behind it.
+    upto = np.searchsorted(size, size / similarity + 1e-6, side="right")
+    since = np.arange(len(rows)) if short == long else np.searchsorted(size, size * similarity - 1e-6)
+    lefts = np.arange(len(rows)) if short == long else np.flatnonzero(away <= short)
+    known, told = np.zeros(len(rows), dtype=bool), np.zeros(len(rows), dtype=bool)
+    seen: list[np.ndarray] = []
+
+    def meet() -> None:
+        x, y = np.concatenate(seen, axis=1)
+        seen.clear()
+        others = np.bitwise_count(other[x] ^ other[y])
+        fit = (others <= OTHER_BITS) & (np.maximum(x, y) < upto[np.minimum(x, y)])
+        x, y, others = x[fit], y[fit], others[fit]
+        differ = own[x] ^ own[y]
+        before = (others <= threshold) & (np.bitwise_count(differ) <= OTHER_BITS) if turned else np.zeros(len(x), dtype=bool)
+        for low_, width_, t_ in reached[:piece]:
+            before |= np.bitwise_count(part(differ, low_, width_)) <= t_
+        at_homes = np.bitwise_count(part(differ, low, width)) <= long
+        ends = np.concatenate([x, y])
+        elsewhere = np.concatenate([before | at_homes & (away[x] > 0), before | at_homes & (away[y] > 0)])
+        safe = known.copy()
+        safe[ends[elsewhere]] = True
+        told[ends[~safe[ends]]] = True
+        known[ends] = True
+
+    for i in range(0, len(lefts), LEFTS_AT_ONCE):
+        left = lefts[i : i + LEFTS_AT_ONCE]
+        lo, hi = since[left[0]], upto[left[-1]]
+        old = known[left]
+        turns = [(left[~old], None), (left[old], lo + np.flatnonzero(~known[lo:hi]))] if 2 * old.sum() > len(left) else [(left, None)]
+        for some, others in turns:
+            for j in range(lo, hi, COLUMNS) if others is None else range(0, len(others), COLUMNS):
+                right = slice(j, min(j + COLUMNS, hi)) if others is None else others[j : j + COLUMNS]
+                across = own[right]
+                near = np.flatnonzero((np.bitwise_count(own[some, None] ^ across) <= threshold).ravel())
+                x, y = some[near // len(across)], near % len(across)
+                y = y + j if others is None else right[y]
+                if (apart := x != y).any():
+                    seen.append(np.stack([x[apart], y[apart]]))
+                    if sum(x.shape[1] for x in seen) > COLUMNS:
+                        meet()
+    if seen:
+        meet()
+    return told
+
+
+def partners(prints: DataFrame, threshold: int, parts: int, similarity: float) -> DataFrame:
+    """(fp, other, size), distinct, to those rows of it with a partner; some come several times.
+
+    A partner is near by one fingerprint, and within OTHER_BITS by the other one, and its size allows the similarity. Pieces are
+    narrow here, and every value of a piece is an anchor. With t = a + b, a the smaller half, a row goes to all anchors
+    within b, and two rows of which one is within a and the other within b are compared: so all within t meet, in the
+    middle. In 13 bits that is 14 anchors for a t of 2, where one side alone would have to go to 92.
+    """
+    reached = reach(threshold, parts)
+    at_once = max(1, SPREAD_AT_ONCE // max([1, *(len(ball(width, t - t // 2)) for _, width, t in reached)]))
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        held, rows = [], 0
+        for batch in _of_size(batches, at_once):
+            held.append(np.stack([batch.column(i).to_numpy().view(np.uint64) for i in range(3)]))
+            rows += len(batch)
+            if rows >= at_once:
+                yield np.concatenate(held, axis=1)
+                held, rows = [], 0
+        if rows:
+            yield np.concatenate(held, axis=1)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for fp, other, size in gathered(batches):
+            for turned, (own, second) in enumerate(((fp, other), (other, fp))):
+                rows = np.empty(len(own), dtype=ROW)
+                rows["own"], rows["other"], rows["size"] = own, second, size
+                for k, (low, width, t) in enumerate(reached):
+                    flips = ball(width, t - t // 2)
+                    anchor = ((own >> np.uint64(low) & np.uint64((1 << width) - 1))[:, None] ^ flips).ravel()
+                    order = np.argsort(anchor.astype(np.uint16) if width <= 16 else anchor, kind="stable")
+                    anchor, packed = anchor[order], rows[order // len(flips)]
+                    start = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
+                    key = anchor[start] | np.uint64(turned * len(reached) + k) << np.uint64(56)
+                    ends = (np.r_[start, len(anchor)] * ROW.itemsize).astype(np.int32)
+                    blobs = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(packed.view(np.uint8))])
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), blobs], names=["anchor", "rows"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def emit(anchor: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+            order = np.lexsort((rows["size"], anchor))
+            anchor, rows = anchor[order], rows[order]
+            start = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
+            found = []
+            for a, b in zip(start.tolist(), [*start[1:].tolist(), len(anchor)], strict=True):
+                if b - a > 1:
+                    turned, k = divmod(int(anchor[a]) >> 56, len(reached))
+                    own = rows[a:b]
+                    own = own[_told(int(anchor[a]) & (1 << 56) - 1, turned, k, reached, own, threshold, similarity)]
+                    found.append(np.stack([own[x].astype(np.uint64) for x in (("other", "own") if turned else ("own", "other"))] + [own["size"].astype(np.uint64)]))
+            if found:
+                found = np.unique(np.concatenate(found, axis=1), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in np.ascontiguousarray(found)], names=["fp", "other", "size"])
+
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        n, limit = 0, COMPARE_AT_ONCE
+        for batch in _of_size(batches, 256):
+            blobs = batch.column(1).to_pylist()
+            sizes = np.array([len(x) // ROW.itemsize for x in blobs])
+            held.append((np.repeat(batch.column(0).to_numpy(), sizes), np.frombuffer(b"".join(blobs), dtype=ROW)))
+            n += int(sizes.sum())
+            if n >= limit:
+                anchor, rows = (np.concatenate(x) for x in zip(*held, strict=True))
+                whole = int(np.searchsorted(anchor, anchor[-1]))  # the last anchor may go on
+                if whole:
+                    yield from emit(anchor[:whole], rows[:whole])
+                held, n = [(anchor[whole:].copy(), rows[whole:].copy())], n - whole
+                limit = max(COMPARE_AT_ONCE, 2 * n)
+        if n:
+            yield from emit(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    sent = prints.select("fp", "other", "size").mapInArrow(spread, "anchor long, rows binary")
+    return sent.repartition(F.col("anchor")).sortWithinPartitions("anchor").mapInArrow(compare, "fp long, other long, size long")
 
 
 def _of_size(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
@@ -472,13 +620,10 @@ def _similar_groups(docs: DataFrame, id_col: str, text_col: str, threshold: int,
     """doc_id, fp, component_id by exact similarity of proposed pairs."""
     rows = materialise(proposing_prints(docs, id_col, text_col), "fingerprints")
     both = ["fp", "other"]
-    prints = _distinct_prints(rows, both)
-    near = prints.where("n > 1").select(*both)
-    for fp, other in (both, both[::-1]):  # rows with a partner by either fingerprint
-        met = links(prints.select(F.col(fp).alias("fp"), F.col(other).alias("mark")), threshold, parts, OTHER_BITS)
-        near = near.union(met.select(F.col("fp").alias(fp), F.col("mark").alias(other)).select(*both))
+    prints = _distinct_prints(rows, [*both, "size"])
+    near = prints.where("n > 1").select(*both, "size").union(partners(prints, threshold, parts, similarity))
     near = materialise(near.distinct(), "near-fingerprints")
-    near = rows.join(near, both, "left_semi").where("doc_id is not null").select("doc_id")
+    near = rows.join(near, [*both, "size"], "left_semi").where("doc_id is not null").select("doc_id")
     id_, = free_names(docs, "id")
     near = materialise(near.select(F.col("doc_id").alias(id_)).distinct(), "near-ids")
     own_docs = docs.join(near, F.col(f"`{id_col}`") == F.col(id_), "left_semi")

@@ -10,6 +10,7 @@ import zipfile
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -378,6 +379,71 @@ def test_anchors_cover():
             assert all((i, a) in have for i, a in enumerate(simhash.home(y).tolist()))
 
 
+def test_reach():
+    """However the differing bits fall, one piece has no more than its t of them; no t could be smaller."""
+    rng = np.random.default_rng(1)
+    for threshold, parts in ((13, 5), (4, 3), (7, 4), (2, 5), (9, 2)):
+        reached = simhash.reach(threshold, parts)
+        of_piece = lambda x: [int(x >> low & (1 << width) - 1).bit_count() for low, width, _ in reached]  # noqa: E731, B023
+        for _ in range(300):
+            x = sum(1 << int(b) for b in rng.choice(64, threshold, replace=False))
+            assert any(n <= t for n, (_, _, t) in zip(of_piece(x), reached, strict=True))
+        x = sum(((1 << t + 1) - 1) << low for low, _, t in reached)  # one bit more than t in each
+        assert x.bit_count() == threshold + 1
+
+
+def test_partners_by_brute_force(spark):
+    """Rows with a partner near by either fingerprint, and of a size that allows the similarity: all, and no others."""
+    rng = np.random.default_rng(6)
+    flip = lambda x, n: x ^ sum(1 << int(b) for b in rng.choice(64, n, replace=False))
+    rows = {(0, 0, 0)}
+    for k in range(700):  # a row and one that is about as far as the limits allow; sizes on either side of 0.8
+        fp, other, size = int(rng.integers(0, 1 << 63)), int(rng.integers(0, 1 << 63)), int(rng.integers(5, 2000))
+        near, far = int(rng.integers(0, 17)), int(rng.integers(8, 26))
+        again = (flip(fp, near), flip(other, far)) if k % 2 else (flip(fp, far), flip(other, near))
+        rows |= {(fp, other, size), (*again, int(size * rng.uniform(0.7, 1.3)))}
+    rows |= {(11 << 40, 5 << 50, 100), (11 << 40, 5 << 50, 125), (12 << 30, 3 << 20, 100), (12 << 30, 3 << 20, 126)}  # equal but for the size: 0.8, and less
+    base = [int(x) for x in rng.integers(0, 1 << 63, 2)]
+    rows |= {(flip(base[0], int(rng.integers(0, 5))), flip(base[1], int(rng.integers(0, 5))), int(rng.integers(90, 110))) for _ in range(900)}  # a cluster
+    rows = sorted(rows)
+    fp, other, size = (np.array(x, dtype=np.uint64) for x in zip(*rows, strict=True))
+    one, two = (np.bitwise_count(x[:, None] ^ x) for x in (fp, other))
+    met = ((one <= 13) & (two <= simhash.OTHER_BITS) | (two <= 13) & (one <= simhash.OTHER_BITS)) & (5 * np.minimum(size[:, None], size) >= 4 * np.maximum(size[:, None], size))
+    np.fill_diagonal(met, False)
+    want = {rows[i] for i in np.flatnonzero(met.any(axis=1))}
+    df = spark.createDataFrame(pd.DataFrame({"fp": fp.view(np.int64), "other": other.view(np.int64), "size": size.astype(np.int64)})).repartition(3)
+    out = [tuple(int(x) & (1 << 64) - 1 for x in r) for r in simhash.partners(df, 13, 5, 0.8).collect()]
+    assert set(out) == want and 1200 < len(want) < len(rows) - 300
+    assert len(out) < 4 * len(want)  # most are told at their home alone
+    assert simhash.partners(df.limit(0), 13, 5, 0.8).count() == 0
+
+
+def test_partners_work(monkeypatch):
+    """Of the pairs that could meet, few are compared: at an anchor only those of like sizes, and no two that are known."""
+    counted, count = [0], np.bitwise_count
+
+    def counting(x):
+        counted[0] += x.size
+        return count(x)
+
+    monkeypatch.setattr(simhash.np, "bitwise_count", counting)
+    rng, n = np.random.default_rng(7), 6000
+    reached = simhash.reach(13, 5)
+
+    def told(piece, own, other, size):
+        rows = np.empty(n, dtype=simhash.ROW)
+        rows["own"], rows["other"], rows["size"] = own, other, size
+        counted[0] = 0
+        return simhash._told(0, 0, piece, reached, rows, 13, 0.8).sum()
+
+    own, other = rng.integers(0, 1 << 63, (2, n)).astype(np.uint64)
+    own &= ~np.uint64((1 << 25) - 1)  # all at home
+    assert told(1, own, other, np.sort(np.exp(rng.uniform(2, 10, n)))) == 0 and counted[0] < 0.05 * n * n
+    cluster = rng.integers(0, 8, n).astype(np.uint64) << np.uint64(30)
+    for piece, want in ((0, n), (1, 0)):  # the first piece tells of the cluster, the others need not
+        assert told(piece, cluster, cluster, np.sort(rng.integers(90, 110, n))) == want and counted[0] < 0.05 * n * n
+
+
 def test_toxicity(spark, empty):
     rng = random.Random(2)
     words = [f"w{i}" for i in range(300)]
